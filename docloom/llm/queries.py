@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import fingerprint, language, mixing, pieces
 from .common import table, tune
 
 
@@ -15,8 +15,26 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_encode_pieces": op2_encode_pieces,
     "op3_mix_sources": op3_mix_sources,
+    "op7_language_id": op7_language_id,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
