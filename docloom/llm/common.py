@@ -76,3 +76,24 @@ def clean(text: Column) -> Column:
 
 
 Batches = Iterator["pandas.DataFrame"]  # noqa: F821
+
+
+def written(df: DataFrame, rows_per_file: int = 0) -> tuple[DataFrame, str]:
+    """Write df as Parquet in the shared folder and read it again; with the path, for drop()."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete written intermediates and let Spark clear the shuffle files nobody refers to any more."""
+    import gc
+
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    spark._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, pieces
+from . import fingerprint, language, mixing, pieces, repeats
 from .common import table, tune
 
 
@@ -15,6 +15,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op1_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return pieces.encode(table(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_remove_repeats": op1_remove_repeats,
     "op2_encode_pieces": op2_encode_pieces,
     "op3_mix_sources": op3_mix_sources,
     "op7_language_id": op7_language_id,
