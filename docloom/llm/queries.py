@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, pieces, repeats
+from . import fingerprint, language, mixing, near, pieces, repeats, vectors
 from .common import table, tune
 
 
@@ -25,6 +25,15 @@ def op2_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op4_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return near.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return language.identify(table(spark, sf_dir, "documents"))
@@ -39,6 +48,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_remove_repeats": op1_remove_repeats,
     "op2_encode_pieces": op2_encode_pieces,
     "op3_mix_sources": op3_mix_sources,
+    "op4_near_documents": op4_near_documents,
+    "op5_near_vectors": op5_near_vectors,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
 }
