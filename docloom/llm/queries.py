@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, near, pieces, repeats, vectors
+from . import fingerprint, language, mixing, near, pieces, quality, repeats, vectors
 from .common import table, tune
 
 
@@ -44,6 +44,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_remove_repeats": op1_remove_repeats,
     "op2_encode_pieces": op2_encode_pieces,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_vectors": op5_near_vectors,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
