@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, near, pieces, quality, repeats, vectors
+from . import fingerprint, language, mixing, near, pages, pieces, quality, repeats, vectors
 from .common import table, tune
 
 
@@ -34,6 +34,11 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return language.identify(table(spark, sf_dir, "documents"))
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mix_sources": op3_mix_sources,
     "op4_near_documents": op4_near_documents,
     "op5_near_vectors": op5_near_vectors,
+    "op6_main_text": op6_main_text,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
