@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import fingerprint, language, mixing, near, pages, pieces, quality, repeats, vectors
+from . import fingerprint, language, mixing, near, pages, pieces, quality, repeats, vectors, warc
 from .common import table, tune
 
 
@@ -54,6 +53,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark, 10_000)
+    return warc.resolved_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_remove_repeats": op1_remove_repeats,
     "op2_encode_pieces": op2_encode_pieces,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
+    "op10_resolve_revisits": op10_resolve_revisits,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op10_resolve_revisits": warc.ORACLE}
