@@ -18,6 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,6 +116,9 @@ class Predictor:
                 return self.table[known].mean(0)
         return np.zeros(self.table.shape[1], np.float32)
 
+    def rejects(self, lang: str, score: float) -> bool:
+        return lang == UNDETERMINED or score < min(self.even + EVIDENCE, 0.99)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         found = LETTERS.findall(text.lower()) if text else []
         if not found or not self.m["langs"]:
@@ -152,7 +156,23 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
         for batch in batches:
             got = [p.predict(t) for t in batch["text"]]
             lang, score = zip(*got, strict=True) if got else ((), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score, "rejected": [a == UNDETERMINED or s < min(p.even + EVIDENCE, 0.99) for a, s in got]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score, "rejected": [p.rejects(a, s) for a, s in got]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def accepted(docs: DataFrame, model: dict | None = None) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, all columns kept; a null lang is filled by the prediction."""
+    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+
+    def run(batches):
+        p = Predictor(shared.value)
+        for batch in batches:
+            got = [p.predict(t) for t in batch.column("text").to_pylist()]
+            keep = pa.array([not p.rejects(*x) for x in got], pa.bool_())
+            at = batch.schema.get_field_index("lang")
+            filled = pa.array([a if a is not None else b for a, (b, _) in zip(batch.column(at).to_pylist(), got, strict=True)], pa.string())
+            yield batch.set_column(at, "lang", filled).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -49,10 +49,10 @@ def source_targets(sizes: DataFrame, passes: int = MAX_PASSES) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", with_source: bool = False) -> DataFrame:
     """Words taken of each row of ``docs`` (doc_id, text, source; other columns are ignored).
 
-    Returns doc_id, size, source_size, target, taken, one row per input row. Null or blank text has
+    Returns doc_id, size, source_size, target, taken (and source, if asked for), one row per input row. Null or blank text has
     size 0 and is never taken; null is a source of its own, last in order; rows repeated or without
     doc_id are queued like any others (their order among themselves is by size); an empty table
     gives an empty result. The last copy to fit the budget is taken in part.
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     copies = copies.withColumn("range", F.least(F.floor(F.coalesce("finish", F.lit(2.0)) * RANGES), F.lit(2 * RANGES)))
     spread = F.when(F.col("range") == 2 * RANGES, F.substring("h", 1, digits)).otherwise(F.lit(""))  # far beyond the cut, order no longer matters
     copies = copies.withColumn("spread", spread).withColumn("budget_size", F.when(F.col("range") < 2 * RANGES, F.col("size")).otherwise(F.lit(0)))
-    copies = cut(copies.select("doc_id", "size", "source_size", "target", "sid", "cell", "rn", "h", "copy", "finish", "range", "spread", "budget_size"))
+    copies = cut(copies.select("doc_id", "source", "size", "source_size", "target", "sid", "cell", "rn", "h", "copy", "finish", "range", "spread", "budget_size"))
     totals = copies.groupBy("range").agg(F.sum("budget_size").alias("n"))
     ahead = totals.withColumn("ahead", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).select("range", "ahead")
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
@@ -85,7 +85,32 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     cum = copies.withColumn("within", F.sum("size").over(queue) - F.col("size"))
     cum = cum.join(F.broadcast(ahead), "range").join(F.broadcast(budget))  # at most 2 * RANGES + 1 rows, and one
     got = F.when(F.col("range") < 2 * RANGES, F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("ahead") - F.col("within")))).otherwise(F.lit(0))
-    return cum.groupBy("sid", "cell", "rn", "doc_id", "size", "source_size", "target").agg(F.sum(got).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    out = cum.groupBy("sid", "cell", "rn", "doc_id", "source", "size", "source_size", "target").agg(F.sum(got).cast("long").alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", *(["source"] if with_source else []))
+
+
+def copies_taken(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: each in as many copies as needed, at most three.
+
+    The one copy at the end of the budget keeps the words taken, joined by spaces; rows that the budget
+    doesn't reach go. Rows that share doc_id, source and size are matched to the mix by their rank, in
+    order of text. All columns of ``docs`` are kept; n_chars, if there, is counted again.
+    """
+    mine = ["doc_id", "source", "size"]
+    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rank = F.row_number().over(Window.partitionBy(*mine).orderBy("text"))
+    taken = mix(docs, with_source=True).select(*[F.col(c).alias(f"{c}_taken") for c in mine], "taken")
+    taken = taken.withColumn("rank_taken", F.row_number().over(Window.partitionBy(*[f"{c}_taken" for c in mine]).orderBy("taken")))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_taken")) & F.col("source").cast("string").eqNullSafe(F.col("source_taken")) & (F.col("size") == F.col("size_taken"))
+    same &= (F.col("rank") <= F.col("rank_taken")) & (F.col("rank") >= F.col("rank_taken"))  # not a key, so that both windows' shuffles serve the join
+    both = sized.withColumn("rank", rank).join(taken, same).where("taken > 0")
+    copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
+    both = both.withColumn("copy", copy).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    both = both.withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return both.select(docs.columns)
 
 
 ORACLE = r"""

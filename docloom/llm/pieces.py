@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
-KEPT_WORDS = 200_000  # words whose paths a worker keeps; beyond that it starts afresh
+KEPT_WORDS = 400_000  # words whose paths a worker keeps; beyond that it starts afresh
 KEPT_LENGTH = 64
 
 
@@ -38,19 +38,32 @@ KEPT_LENGTH = 64
 class Vocabulary:
     """Pieces with a space written as a space, their scores, and the ids of the 256 bytes."""
 
-    pieces: dict[str, tuple[int, float]]
+    pieces: dict[str, tuple[int, float, tuple[int]]]
     byte_ids: list[int]
     byte_score: float
     surface: list[bytes]  # by id
     dummy_prefix: bool = True
     longest: int = field(init=False)
+    starts: dict = field(init=False)
     words: re.Pattern = field(init=False)
 
     def __post_init__(self) -> None:
         self.longest = max((len(p) for p in self.pieces), default=1)
-        free = not any(" " in p.lstrip(" ") for p in self.pieces)
-        lines = not any("\n" in p and len(p) > 1 for p in self.pieces)
-        self.words = re.compile((r"\n| *[^ \n]+| +" if lines else r" *[^ ]+| +") if free else r"[\s\S]+")
+        self.starts = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces  # pieces and what they start with
+        self.words = self._words()
+
+    def _words(self) -> re.Pattern:
+        """What cuts a text into words no piece reaches across: before a space, around a line end, after
+        letters before a mark that follows a letter in no piece. Where pieces hold these, there's no cut."""
+        long = [p for p in self.pieces if len(p) > 1]
+        if any(" " in p.lstrip(" ") for p in long):
+            return re.compile(r"[\s\S]+")
+        letter = re.compile(r"[^\W\d_]")
+        after = {y for p in long for x, y in zip(p, p[1:], strict=False) if letter.match(x)}
+        marks = "".join(c for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" if c not in after)
+        ends = re.escape(marks) + " " + ("\n" if "\n" not in after else "")
+        line = "" if any("\n" in p for p in long) else "\n"
+        return re.compile((r"\n| *[^\W\d_]+(?=[%s]|\Z)| *[^ \n]+| +" if line else r" *[^\W\d_]+(?=[%s]|\Z)| *[^ ]+| +") % ends)
 
 
 def load(path: str = DEFAULT_MODEL) -> Vocabulary:
@@ -70,24 +83,65 @@ def load(path: str = DEFAULT_MODEL) -> Vocabulary:
         if model.is_byte(i):
             b = int(model.id_to_piece(i)[1:-1], 16)
             byte_ids[b], surface[i] = i, bytes([b])
-    return Vocabulary({text[i]: (i, scores[i]) for i in normal}, byte_ids, min(scores.values()) - 10, surface, model.encode("a")[:1] == model.encode(" a")[-1:] or bool(surface[model.encode("a")[0]].startswith(b" ")))
+    return Vocabulary({text[i]: (i, scores[i], (i,)) for i in normal}, byte_ids, min(scores.values()) - 10, surface, model.encode("a")[:1] == model.encode(" a")[-1:] or bool(surface[model.encode("a")[0]].startswith(b" ")))
 
 
-def word_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best paths through the lattice of one word, best first, ties by piece ids."""
+def lattice(v: Vocabulary, word: str) -> tuple[list[list[tuple[int, tuple[int, ...], float]]], list[float]]:
+    """By end position the edges (start, ids, score) into it, and the best score of a path to it."""
     size = len(word)
-    into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(size + 1)]  # by end: start, ids, score
+    into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(size + 1)]
     best = [0.0] + [-math.inf] * size
+    get = v.starts.get
     for i in range(size):
-        found = False
-        for j in range(i + 1, min(size, i + v.longest) + 1):
-            if (hit := v.pieces.get(word[i:j])) is not None:
-                found |= j == i + 1
-                into[j].append((i, (hit[0],), hit[1]))
-        if not found:
+        known = best[i]
+        one = False
+        for j in range(i + 1, size + 1):
+            hit = get(word[i:j])
+            if hit is None:
+                break
+            if hit:
+                if j == i + 1:
+                    one = True
+                into[j].append((i, hit[2], hit[1]))
+                if known + hit[1] > best[j]:
+                    best[j] = known + hit[1]
+        if not one:
             raw = word[i].encode()
-            into[i + 1].append((i, tuple(v.byte_ids[b] for b in raw), v.byte_score * len(raw)))
-        best[i + 1] = max(best[s] + score for s, _, score in into[i + 1]) if into[i + 1] else -math.inf
+            score = v.byte_score * len(raw)
+            into[i + 1].append((i, tuple([v.byte_ids[b] for b in raw]), score))
+            if known + score > best[i + 1]:
+                best[i + 1] = known + score
+    return into, best
+
+
+def best_two(v: Vocabulary, word: str) -> tuple[float, tuple[int, ...], float]:
+    """Score and ids of the best path, and by how much the second best is worse, without a search."""
+    into, best = lattice(v, word)
+    size = len(word)
+    second = [-math.inf] * (size + 1)
+    back: list[tuple[int, tuple[int, ...]] | None] = [None] * (size + 1)
+    for j in range(1, size + 1):
+        one = two = -math.inf
+        for start, ids, score in into[j]:
+            x = best[start] + score
+            if x > one:
+                one, two, back[j] = x, one, (start, ids)
+            elif x > two:
+                two = x
+            if second[start] + score > two:
+                two = second[start] + score
+        second[j] = two
+    ids, at = (), size
+    while at:
+        at, some = back[at]
+        ids = some + ids
+    return best[size], ids, best[size] - second[size]
+
+
+def word_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best paths through the lattice of one word, best first."""
+    into, best = lattice(v, word)
+    size = len(word)
     queue = [(-best[size], 0, size, 0.0, None)]
     ticket, out = 1, []
     while queue and len(out) < n:
@@ -109,35 +163,33 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, nbest: int = NBEST):
         self.v, self.n, self.kept = vocabulary, nbest, {}
 
-    def paths(self, word: str):
-        got = self.kept.get(word)
-        if got is None:
-            got = word_paths(self.v, word, self.n)
-            got = (got[0][0], got[0][1], got[0][0] - got[1][0] if len(got) > 1 else math.inf, got)
-            if len(word) <= KEPT_LENGTH:
-                if len(self.kept) >= KEPT_WORDS:
-                    self.kept.clear()
-                self.kept[word] = got
+    def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
+        got = best_two(self.v, word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self.kept) >= KEPT_WORDS:
+                self.kept.clear()
+            self.kept[word] = got
         return got
 
-    def encode(self, text: str) -> tuple[array, list[tuple[float, tuple[tuple[int, int], ...]]], list]:
-        """Ids of the best path; for each of the N best its score and its (word, choice) differences; the words' paths."""
+    def encode(self, text: str) -> tuple[array, list, list]:
+        """Ids of the best path; for each of the N best its score and its (word, choice, ids) differences; the words' best."""
         words = self.v.words.findall(f" {text}" if self.v.dummy_prefix and text else text)
-        kept, paths = self.kept, self.paths
-        found = [kept.get(w) or paths(w) for w in words]
+        kept, new = self.kept.get, self.best
+        found = [kept(w) or new(w) for w in words]
         ids = array("i", chain.from_iterable([x[1] for x in found]))
         total = math.fsum([x[0] for x in found])
         near = heapq.nsmallest(self.n - 1, [(x[2], k) for k, x in enumerate(found) if x[2] < math.inf])
+        options = {k: word_paths(self.v, words[k], self.n) for _, k in near}
         queue: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]  # loss, choices by rank in `near`
-        best: list[tuple[float, tuple[tuple[int, int], ...]]] = []
+        best: list[tuple[float, tuple[tuple[int, int, tuple[int, ...]], ...]]] = []
         while queue and len(best) < self.n:
             loss, choice = heapq.heappop(queue)
-            best.append((total - loss, tuple((near[r][1], c) for r, c in choice)))
+            best.append((total - loss, tuple((near[r][1], c, options[near[r][1]][c][1]) for r, c in choice)))
             last = choice[-1] if choice else (-1, 0)
             if choice:
-                options = found[near[last[0]][1]][3]
-                if last[1] + 1 < len(options):
-                    heapq.heappush(queue, (loss + options[last[1]][0] - options[last[1] + 1][0], (*choice[:-1], (last[0], last[1] + 1))))
+                mine = options[near[last[0]][1]]
+                if last[1] + 1 < len(mine):
+                    heapq.heappush(queue, (loss + mine[last[1]][0] - mine[last[1] + 1][0], (*choice[:-1], (last[0], last[1] + 1))))
             for r in range(last[0] + 1, len(near)):
                 heapq.heappush(queue, (loss + near[r][0], (*choice, (r, 1))))
         return ids, best, found
@@ -146,8 +198,8 @@ class Encoder:
         _, best, found = self.encode(text)
         out = []
         for score, choice in best:
-            at = dict(choice)
-            out.append((score, list(chain.from_iterable(x[3][at[k]][1] if k in at else x[1] for k, x in enumerate(found)))))
+            at = {k: ids for k, _, ids in choice}
+            out.append((score, list(chain.from_iterable(at.get(k, x[1]) for k, x in enumerate(found)))))
         return out
 
     def decode(self, ids) -> str:
@@ -189,9 +241,9 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, nbest: int = NBEST) -> D
                             at += len(x[1])
                     digest, at = hashlib.sha256(), 0
                     raw = memoryview(ids).cast("B")
-                    for k, c in sorted(choice):
+                    for k, _, other in sorted(choice):
                         digest.update(raw[4 * at : 4 * starts[k]])
-                        digest.update(array("i", found[k][3][c][1]).tobytes())
+                        digest.update(array("i", other).tobytes())
                         at = starts[k] + len(found[k][1])
                     digest.update(raw[4 * at :])
                     hashes.append(digest.hexdigest())
