@@ -6,18 +6,13 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ratio_of(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-@F.pandas_udf("string")
-def title(x: pd.Series) -> pd.Series:
-    """Capital after every character that is no letter, as in O'Neil A.B."""
-    return x.map(lambda s: None if s is None else s.title())

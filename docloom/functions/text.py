@@ -115,3 +115,9 @@ def obtained_mark(nums: Column, in_words: Column) -> Column:
     tail = last(nums)
     usable = F.exists(nums, lambda n: n != 0) & tail.between(0, 200) & ~((F.size(nums) == 1) & tail.isin(100, 125, 150))
     return F.coalesce(spelt, F.when(usable, tail))
+
+
+def title(x: Column) -> Column:
+    """Each run of letters with a capital first, as in O'Neil A.B."""
+    chars = F.split(x, "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when((i > 0) & F.regexp_like(F.get(chars, i - 1), F.lit(r"\p{L}")), F.lower(c)).otherwise(F.upper(c))), "")

@@ -11,5 +11,5 @@ DOCUMENT = T.StructType(
         T.StructField("width", T.IntegerType()), T.StructField("center_std", T.DoubleType()), T.StructField("pass_no", T.IntegerType()), T.StructField("tokens", TOKENS),
     ]
 )
-SUBJECTS = "array<struct<subject:string,marks:int,certainty:string,additional:boolean>>"
+SUBJECTS = T.ArrayType(T.StructType([T.StructField("subject", T.StringType()), T.StructField("marks", T.IntegerType()), T.StructField("certainty", T.StringType()), T.StructField("additional", T.BooleanType())]))
 REQUEST = "ts timestamp_ntz, ok boolean, latency_ms double"
