@@ -12,8 +12,10 @@ equal anchors, so only the suffixes at anchors are sorted, and the result is sti
 3. The suffixes are sorted by the distributed merge sort of `suffixes`; the common prefixes it keeps
    tell how far to the right of the anchor any other suffix agrees, and bound the windows to look at.
 4. A context with copies is repeated throughout. Other windows are compared within their group of
-   suffixes with one gram; groups that are large or cross a range's edge are compared by a further
-   shuffle of window hashes (128 bits), so no group is gathered in a task.
+   suffixes with one gram, those of a group that crosses a range's edge after they are brought together.
+   Of groups over GROUP suffixes, what neighbours in the
+   order share is settled at once, and each window that the order leaves open goes once per run of
+   neighbours into a further shuffle of window hashes (128 bits), so no group is gathered in a task.
 5. The repeated windows go back to the documents.
 """
 
@@ -24,10 +26,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, written
+from .common import drop, partitions, written
 from .suffixes import common_prefix, sorted_ranges
 
 LENGTH = 400
@@ -104,92 +107,198 @@ def _contexts(length: int):
     return run
 
 
+MARKS = "cls binary, o1 long, o2 long, win binary, pid int, s binary, first int, best int, lo int, hi int, before int, behind int, gram long, n long"
+_KINDS = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+_NAMES = [c.split()[0] for c in MARKS.split(", ")]
+_REST = (None,) * 10
+
+
+def _text(s: bytes, first: int) -> bytes:
+    return s[first:][::-1] + s[:first]
+
+
+def _to_compare(cls: bytes, s: bytes, first: int, best: int, lo: int, hi: int, other: int, length: int):
+    """Rows of the windows of a suffix that only a further comparison can settle.
+
+    A window reaches d bytes before the anchor and ``length - d`` from it on. Suffixes with the same
+    bytes from the anchor on share at most ``best`` before it, others at most ``other`` from it on;
+    the windows with lo <= d <= hi are the preceding suffix's too, which puts them forward.
+    """
+    left = len(s) - first
+    t = _text(s, first)
+    for d in range(max(length - first, 0), left + 1):
+        if (d <= best or d >= length - other) and not lo <= d <= hi:
+            yield (cls, left - d, left - d, xxhash.xxh3_128_digest(t[left - d : left - d + length]), *_REST)
+
+
+def _settle(group: list, length: int) -> list[tuple]:
+    """Repeated windows (cls, from, to) of a whole group of sorted (shared before, item), compared by themselves."""
+    n = len(group)
+    order = sorted((item[0][item[1] :], k) for k, (_, item) in enumerate(group))
+    near = [0] * n
+    for (s, i), (t, j) in zip(order, order[1:], strict=False):
+        c = common_prefix(s, t)
+        near[i], near[j] = max(near[i], c), max(near[j], c)
+    seen: dict[bytes, int] = {}
+    mine = []
+    for k, (shared, (s, first, _, copies)) in enumerate(group):
+        right = min(max(shared if k else 0, group[k + 1][0] if k + 1 < n else 0), first)
+        left = len(s) - first
+        t = _text(s, first)
+        for o in range(max(0, left - near[k]), min(len(s) - length, left - length + right) + 1):
+            w = xxhash.xxh3_128_digest(t[o : o + length])
+            seen[w] = seen.get(w, 0) + 1
+            if copies == 1:
+                mine.append((k, o, w))
+    out: list[list] = []
+    last = None
+    for k, o, w in mine:
+        if seen[w] > 1:
+            if last == (k, o - 1):
+                out[-1][2] = o
+            else:
+                out.append([group[k][1][2], o, o])
+            last = (k, o)
+    return [tuple(r) for r in out]
+
+
+def _settle_groups(length: int):
+    """Over suffixes sorted by (gram, string), of groups that went over several ranges."""
+
+    def run(batches):
+        group: list = []
+        gram = None
+        for batch in batches:
+            rows: list[tuple] = []
+            for g, *item in zip(*(batch.column(c).to_pylist() for c in ("gram", "s", "first", "cls", "n")), strict=True):
+                if group and g != gram:
+                    rows += _settle(group, length)
+                    group = []
+                group.append((common_prefix(group[-1][1][0], item[0]) if group else 0, tuple(item)))
+                gram = g
+            yield _intervals(rows)
+        yield _intervals(_settle(group, length) if group else [])
+
+    return run
+
+
+def _intervals(rows: list[tuple]):
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 3, _KINDS, strict=False)], _NAMES[:3])
+
+
 def _visit(length: int, gram: int, most: int):
-    """Over sorted suffixes: rows (cls, o1, o2) of repeated windows, or (cls, o1, o2, window) to compare on."""
+    """Over sorted suffixes: rows of MARKS. With neither window nor string, windows o1 to o2 repeat;
+    with a window, it is to be compared; with a string, its windows are to be found when the borders
+    of its range are known; without class, what the range tells its neighbours of its borders."""
 
     def visit(stream):
+        pid = TaskContext.get().partitionId()
         rows: list[tuple] = []
 
-        def windows(item, right: int, left: int):
-            """Offsets of the windows that reach at most `right` behind and `left` before the anchor."""
-            string, first, _, _ = item
-            before = len(string) - first
-            return range(max(0, before - left), min(len(string) - length, before - length + right) + 1)
-
-        def text(item) -> bytes:
-            return item[0][item[1] :][::-1] + item[0][: item[1]]
-
-        def settle(group: list, edge: bool) -> None:
-            """group: (shared before, item); edge: others of the group may be elsewhere."""
+        def settle_by_order(group: list, open_left: bool, open_right: bool) -> None:
+            """A group that is large or goes on elsewhere: what neighbours share is settled by their order."""
             n = len(group)
-            for _, item in group:
-                if item[3] > 1:
-                    rows.append((item[2], 0, len(item[0]) - length, None))
-            if n == 1 and not edge:
-                return
-            right = []
-            for k, (shared, item) in enumerate(group):
-                near = max(shared if k else 0, group[k + 1][0] if k + 1 < n else 0)
-                if edge and (k == 0 or k == n - 1):
-                    near = len(item[0])
-                right.append(min(near, item[1]))
-            left = [len(item[0]) - item[1] for _, item in group]
-            if edge:
-                for (_, item), r, m in zip(group, right, left, strict=True):
-                    t = text(item)
-                    rows.extend((item[2], o, o, xxhash.xxh3_128_digest(t[o : o + length])) for o in windows(item, r, m))
-                return
-            order = sorted((item[0][item[1] :], k) for k, (_, item) in enumerate(group))
-            near = [0] * n
-            for (s, i), (t, j) in zip(order, order[1:], strict=False):
-                c = common_prefix(s, t)
-                near[i], near[j] = max(near[i], c), max(near[j], c)
-            seen: dict[bytes, int] = {}
-            mine = []
-            for k, (_, item) in enumerate(group):
-                t = text(item)
-                for o in windows(item, right[k], min(left[k], near[k])):
-                    w = xxhash.xxh3_128_digest(t[o : o + length])
-                    seen[w] = seen.get(w, 0) + 1
-                    if item[3] == 1:
-                        mine.append((k, o, w))
-            run = None
-            for k, o, w in mine:
-                if seen[w] < 2:
-                    continue
-                if run and run[0] == k and run[2] == o - 1:
-                    run[2] = o
-                else:
-                    if run:
-                        rows.append((group[run[0]][1][2], run[1], run[2], None))
-                    run = [k, o, o]
-            if run:
-                rows.append((group[run[0]][1][2], run[1], run[2], None))
+            strings = [item[0] for _, item in group]
+            firsts = [item[1] for _, item in group]
+            right = [0] + [min(group[k][0], firsts[k - 1], firsts[k]) for k in range(1, n)] + [0]
+            left = [0] + [common_prefix(strings[k - 1][firsts[k - 1] :], strings[k][firsts[k] :]) for k in range(1, n)] + [0]
+            same = [False] + [right[k] == firsts[k] == firsts[k - 1] for k in range(1, n)] + [False]
+            start = 0
+            while start < n:
+                end = start
+                while same[end + 1]:
+                    end += 1
+                # What others share from the anchor on is at most what the neighbour's whole string shares.
+                before = min(group[start][0], firsts[start]) if start else None if open_left else 0
+                behind = min(group[end + 1][0], firsts[start]) if end + 1 < n else None if open_right else 0
+                for k in range(start, end + 1):
+                    s, first, cls, copies = group[k][1]
+                    size = len(s) - first
+                    if copies == 1:
+                        for j in (k, k + 1):
+                            if 0 < j < n and left[j] >= length - right[j]:
+                                rows.append((cls, size - left[j], size - length + right[j], None, *_REST))
+                    best = max(left[k] if same[k] else 0, left[k + 1] if same[k + 1] else 0)
+                    if (k == 0 and open_left) or (k == n - 1 and open_right):
+                        best = size
+                    lo, hi = length - right[k], left[k]
+                    if open_left or open_right:
+                        rows.append((cls, None, None, None, pid, s, first, best, lo, hi, before, behind, xxhash.xxh3_64_intdigest(s[:gram]) >> 1, copies))
+                    else:
+                        rows.extend(_to_compare(cls, s, first, best, lo, hi, max(before, behind), length))
+                start = end + 1
+
+        def settle(group: list, open_left: bool, open_right: bool) -> None:
+            rows.extend((item[2], 0, len(item[0]) - length, None, *_REST) for _, item in group if item[3] > 1)
+            if open_left or open_right or len(group) > most:
+                settle_by_order(group, open_left, open_right)
+            elif len(group) > 1:
+                rows.extend((*r, None, *_REST) for r in _settle(group, length))
 
         def batch():
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cls", "o1", "o2", "win"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * len(_KINDS), _KINDS, strict=True)], _NAMES)
             rows.clear()
             return out
 
         group: list = []
-        edge = True  # the first group may have begun in another range
+        begun = False
+        head = tail = last = None  # the first suffix, the bytes from the anchor on of its run and of the last one
+        behind_head = before_tail = None  # what the first other suffix shares with them
         for shared, item in stream:
+            right = item[0][: item[1]]
+            if head is None:
+                head, first_right, tail = item[0], right, right
+            elif right != tail:
+                if behind_head is None:
+                    behind_head = min(shared, len(tail))
+                tail, before_tail = right, min(shared, len(right))
+            last = item[0]
             if group and shared < gram:
-                settle(group, edge)
-                group, edge = [], False
-            elif len(group) >= most:  # a large group goes on in pieces, its windows to the shuffle
-                settle(group, True)
-                group, edge = [], True
+                settle(group, not begun, False)
+                group, begun = [], True
             group.append((shared, item))
             if len(rows) >= 20_000:
                 yield batch()
         if group:
-            settle(group, True)
+            settle(group, not begun, True)
+            rows.append((None, len(first_right), len(tail), last, pid, head, None, None, None, None, before_tail, behind_head, None, None))
         yield batch()
 
     return visit
 
 
+def _open_windows(length: int, borders: dict[int, tuple]):
+    """Windows of the suffixes whose group goes on in other ranges, once all borders are known."""
+    ranges = sorted(borders)
+
+    def reach(right: bytes, pid: int, step: int) -> int:
+        """What the nearest suffix with other bytes from the anchor on shares with these, looking one way."""
+        at = ranges.index(pid) + step
+        while 0 <= at < len(ranges):
+            head, first, tail, last, before_tail, behind_head = borders[ranges[at]]
+            near, size, known = (tail, last, before_tail) if step < 0 else (head, first, behind_head)
+            if near[:size] != right:
+                return common_prefix(near, right)
+            if known is not None:
+                return known
+            at += step
+        return 0
+
+    def run(batches):
+        found: dict[tuple[int, bytes], tuple[int, int]] = {}
+        for batch in batches:
+            rows: list[tuple] = []
+            for cls, pid, s, first, best, lo, hi, before, behind in zip(*(batch.column(c).to_pylist() for c in ("cls", "pid", "s", "first", "best", "lo", "hi", "before", "behind")), strict=True):
+                key = (pid, s[:first])
+                if key not in found:
+                    found[key] = (reach(key[1], pid, -1), reach(key[1], pid, 1))
+                other = max(found[key][0] if before is None else before, found[key][1] if behind is None else behind)
+                rows += [r[:4] for r in _to_compare(cls, s, first, best, lo, hi, other, length)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, _KINDS, strict=False)], _NAMES[:4])
+
+    return run
+
+
 def _removed(length: int, keep_text: bool):
     def run(batches):
         for batch in batches:
@@ -243,14 +352,21 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
     drop(spark)
     size = strings.agg(F.coalesce(F.sum(F.octet_length("s")), F.lit(0)), F.count("*")).first()
 
-    marks, at_marks = written(sorted_ranges(strings, size[0], size[1], _visit(length, gram, group), "cls binary, o1 long, o2 long, win binary"))
+    marks, at_marks = written(sorted_ranges(strings, size[0], size[1], _visit(length, gram, group), MARKS))
     drop(spark, at_strings)
+    ends = {r["pid"]: (bytes(r["s"]), r["o1"], bytes(r["win"]), r["o2"], r["before"], r["behind"]) for r in marks.where("cls is null").collect()}  # one row a range
+    waiting = marks.where("cls is not null and s is not null")
+    grams = waiting.groupBy("gram").agg(F.count("*").alias("size"))
+    apart = waiting.join(grams.where(F.col("size") <= group).select("gram"), "gram", "left_semi").select("gram", "s", "first", "cls", "n")
+    apart = apart.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "s").mapInArrow(_settle_groups(length), "cls binary, o1 long, o2 long").withColumn("win", F.lit(None).cast("binary"))
+    large = waiting.join(grams.where(F.col("size") > group).select("gram"), "gram", "left_semi").mapInArrow(_open_windows(length, ends), "cls binary, o1 long, o2 long, win binary")
+    marks, at_settled = written(marks.where("cls is not null and s is null").select("cls", "o1", "o2", "win").union(apart).union(large))
     open_ = marks.where("win is not null")
     shared = open_.groupBy("win").agg(F.count_distinct("cls").alias("n")).where("n > 1").select("win")
     settled = marks.where("win is null").select("cls", "o1", "o2").union(open_.join(shared, "win", "left_semi").select("cls", "o1", "o2"))
     cuts = found.join(settled, "cls").groupBy("d", "x").agg(F.collect_set(F.shiftleft(F.col("lo") + F.col("o1"), 32).bitwiseOR(F.col("lo") + F.col("o2"))).alias("cuts"))
     cuts, _ = written(cuts)
-    drop(spark, at_found, at_marks)
+    drop(spark, at_found, at_marks, at_settled)
     if keep_text:
         base = docs.withColumn("text", text).withColumns(keys).join(cuts, ["d", "x"], "left").drop("d", "x")
         own = [f for f in docs.schema.fields if f.name != "text"]
