@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, drop
 
 
 def linked_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -15,37 +15,47 @@ def linked_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame])
 
     ``verify`` takes distinct pairs (a, b) and returns those that are links. Components only need
     one path, so a round compares the members of a bucket with its pivots alone, and members that
-    a link has joined are not compared again. Pivots then leave the bucket, and the rest goes on
-    with eight times as many, until each bucket is used up or lies in one component: then any two
-    members were compared or are in one component, so no link between components is missed.
+    a link has joined are not compared again. While that links many, a member meets one pivot a round
+    over all its buckets. Then it meets those of each bucket, pivots then leave the bucket and the rest goes on,
+    with more pivots, and many more if a round links few of its pairs, until each bucket is used up or
+    lies in one component: then any two members were compared or are in one component, so no link
+    between components is missed.
 
     Returns (node, root) for the nodes that have a link.
     """
     spark = buckets.sparkSession
-    left = buckets.where("bucket is not null and id is not null").select("bucket", "id").distinct()
-    several = left.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    left = cut(left.join(several, "bucket", "left_semi"))
+    left = buckets.where("bucket is not null and id is not null").select("bucket", "id").distinct().withColumn("root", F.col("id"))
+    left = _open(left)
     tested = links = labels = None
-    pivots = 1
+    pivots, light = 1, True
     while not left.isEmpty():
-        chosen = left.groupBy("bucket", F.pmod(F.hash("id"), F.lit(pivots)).alias("salt")).agg(F.min("id").alias("pivot")).select("bucket", "pivot")
-        chosen = cut(chosen)
-        pairs = left.join(chosen, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+        chosen = left.groupBy("bucket", F.pmod(F.hash("id"), F.lit(pivots)).alias("salt")).agg(F.min("id").alias("pivot"))
+        chosen = cut(chosen.join(left.withColumnsRenamed({"id": "pivot", "root": "pivot_root"}), ["bucket", "pivot"]).select("bucket", "pivot", "pivot_root"))
+        meet = (left["bucket"] == chosen["bucket"]) & (left["id"] != chosen["pivot"]) & (left["root"] != chosen["pivot_root"])
+        pairs = left.join(chosen, meet).select("id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if labels is not None:
-            for end in ("a", "b"):
-                pairs = pairs.join(labels.withColumnsRenamed({"node": end, "root": f"{end}_root"}), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
-            pairs = pairs.where("a_root <> b_root").select("a", "b")
-        pairs = cut(pairs)
+        if light:
+            pairs = pairs.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+        pairs = cut(pairs.select("a", "b").distinct())
         found = cut(verify(pairs).select("a", "b"))
         tested = pairs if tested is None else cut(tested.union(pairs))
-        if not found.isEmpty():
+        compared, linked = pairs.count(), found.count()
+        if linked:
             links = found if links is None else cut(links.union(found))
             labels = components(links)
-        left = left.join(chosen.withColumnRenamed("pivot", "id"), ["bucket", "id"], "left_anti")
-        placed = left if labels is None else left.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-        several = placed.groupBy("bucket").agg(F.min("root" if labels is not None else "id").alias("lo"), F.max("root" if labels is not None else "id").alias("hi")).where("lo <> hi").select("bucket")
-        left = cut(left.join(several, "bucket", "left_semi"))
-        pivots *= 8
+        if not light:
+            pivots *= 2 if linked >= 0.15 * compared else 8
+            left = left.join(chosen.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti")
+        light = light and linked > 0.3 * compared
+        if linked:
+            left = left.drop("root").join(labels.withColumnsRenamed({"node": "id"}), "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+        left = _open(left)
+        drop(spark)
     return labels if labels is not None else spark.createDataFrame([], "node long, root long")
+
+
+def _open(left: DataFrame) -> DataFrame:
+    """The buckets that still hold several components."""
+    several = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    return cut(left.join(several, "bucket", "left_semi"))

@@ -32,33 +32,41 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, which outlives any executor."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.constraintPropagation.enabled")
+    conf.set("spark.sql.constraintPropagation.enabled", "false")  # a checkpoint keeps the constraints, and loops multiply them
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set("spark.sql.constraintPropagation.enabled", before)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (a, b), both long: rows (node, root), root the smallest node.
 
-    Each round points every node at its smallest neighbour, follows the pointers until they rest,
-    and contracts the edges, so the edge table shrinks geometrically. Minima are aggregated map-side;
-    joins meet at most one row per key on one side, so that a hub's rows can be split. Edges with a
-    null end and loops are ignored; an empty table gives an empty result.
+    Each round points every node at its smallest neighbour, follows the pointers, and contracts the
+    edges, which mostly leaves less than half of them; where it doesn't, as on a long path in order,
+    the next round follows the pointers until they rest. Minima are aggregated map-side; joins meet at
+    most one row per key on one side, so that a hub's rows can be split. Edges with a null end and
+    loops are ignored; an empty table gives an empty result.
     """
     edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels: DataFrame | None = None
-    for _ in range(rounds):
-        if edges.isEmpty():
-            break
+    size, chase = edges.count(), False
+    while size:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
         while True:
-            onward = step.select(F.col("node").alias("to"), F.col("to").alias("then")).where("to <> then")
-            if onward.join(step.where("node <> to").select("to").distinct(), "to", "left_semi").isEmpty():
+            onward = step.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("then"))
+            step = cut(step.join(onward, "to", "left").select("node", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")))
+            moved = chase and not step.where("moved").isEmpty()
+            step = step.drop("moved")
+            if not moved:
                 break
-            step = cut(step.join(onward, "to", "left").select("node", F.coalesce("then", "to").alias("to")))
         if labels is None:
             labels = step.withColumnRenamed("to", "root")
         else:
@@ -66,6 +74,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         for end in ("a", "b"):
             edges = edges.join(step.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        before, size = size, edges.count()
+        chase = size > before / 2
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels

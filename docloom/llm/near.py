@@ -23,8 +23,8 @@ from .common import cut, drop, written
 
 WORDS = 5
 SIMILARITY = 0.8
-SKETCHES = 20
-MINIMA = 4
+SKETCHES = 24
+MINIMA = 5
 SEED = 4
 _KEPT = 1_000_000
 _U = np.uint64
