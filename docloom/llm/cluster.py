@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop
+from .common import components, cut_plain, drop
 
 
 def linked_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -30,19 +30,19 @@ def linked_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame])
     pivots, light = 1, True
     while not left.isEmpty():
         chosen = left.groupBy("bucket", F.pmod(F.hash("id"), F.lit(pivots)).alias("salt")).agg(F.min("id").alias("pivot"))
-        chosen = cut(chosen.join(left.withColumnsRenamed({"id": "pivot", "root": "pivot_root"}), ["bucket", "pivot"]).select("bucket", "pivot", "pivot_root"))
+        chosen = cut_plain(chosen.join(left.withColumnsRenamed({"id": "pivot", "root": "pivot_root"}), ["bucket", "pivot"]).select("bucket", "pivot", "pivot_root"))
         meet = (left["bucket"] == chosen["bucket"]) & (left["id"] != chosen["pivot"]) & (left["root"] != chosen["pivot_root"])
         pairs = left.join(chosen, meet).select("id", "pivot", F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         if light:
             pairs = pairs.groupBy("id").agg(F.min("pivot").alias("pivot")).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = cut(pairs.select("a", "b").distinct())
-        found = cut(verify(pairs).select("a", "b"))
-        tested = pairs if tested is None else cut(tested.union(pairs))
+        pairs = cut_plain(pairs.select("a", "b").distinct())
+        found = cut_plain(verify(pairs).select("a", "b"))
+        tested = pairs if tested is None else cut_plain(tested.union(pairs))
         compared, linked = pairs.count(), found.count()
         if linked:
-            links = found if links is None else cut(links.union(found))
+            links = found if links is None else cut_plain(links.union(found))
             labels = components(links)
         if not light:
             pivots *= 2 if linked >= 0.15 * compared else 8
@@ -58,4 +58,4 @@ def linked_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame])
 def _open(left: DataFrame) -> DataFrame:
     """The buckets that still hold several components."""
     several = left.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    return cut(left.join(several, "bucket", "left_semi"))
+    return cut_plain(left.join(several, "bucket", "left_semi"))

@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.constraintPropagation.enabled", before)
 
 
+def cut_plain(df: DataFrame) -> DataFrame:
+    """cut() that also forgets how the rows are dealt and sorted: under joins in a loop these multiply, and planning with them."""
+    spark, made = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(made.queryExecution().toRdd(), made.schema(), False), spark)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,15 +60,15 @@ def components(edges: DataFrame) -> DataFrame:
     most one row per key on one side, so that a hub's rows can be split. Edges with a null end and
     loops are ignored; an empty table gives an empty result.
     """
-    edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = cut_plain(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels: DataFrame | None = None
     size, chase = edges.count(), False
     while size:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
-        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
+        step = cut_plain(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to")))
         while True:
             onward = step.where("node <> to").select(F.col("node").alias("to"), F.col("to").alias("then"))
-            step = cut(step.join(onward, "to", "left").select("node", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")))
+            step = cut_plain(step.join(onward, "to", "left").select("node", F.coalesce("then", "to").alias("to"), F.col("then").isNotNull().alias("moved")))
             moved = chase and not step.where("moved").isEmpty()
             step = step.drop("moved")
             if not moved:
@@ -70,10 +76,10 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = step.withColumnRenamed("to", "root")
         else:
-            labels = cut(labels.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            labels = cut_plain(labels.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         for end in ("a", "b"):
             edges = edges.join(step.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        edges = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = cut_plain(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         before, size = size, edges.count()
         chase = size > before / 2
     if labels is None:

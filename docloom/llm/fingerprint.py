@@ -8,6 +8,11 @@ edits between them, so the Hamming distance of what they wrote follows the edit
 The fingerprint keeps sampled bits of the written string: ``BITS`` at random steps of each octave
 [2^k, 2^(k+1)), up to the octave in which the text ends, so texts of any length have one and the same
 sampling. The likeness of two fingerprints weighs octaves by their lengths.
+
+Near copies anywhere in the table meet by bands: each of ``BANDS`` band keys joins ``BAND`` sampled
+bits, dealt over the octaves by their lengths. Keys take only steps before a length of a grid of half
+octaves, the last that the walk reaches, and also the one before where a walk shorter by what
+``NEAR`` allows would end below. Fingerprints that share a key are verified as a whole; see alike().
 """
 
 from __future__ import annotations
@@ -19,16 +24,21 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .cluster import linked_classes
+from .common import cut, drop, partitions, written
 
 BITS = 64
 PERIOD = 8192  # the shared bits repeat after so many steps
 CLASSES = 256
 FIRST = 4  # octaves below 2^FIRST are one
 SEED = 20
+NEAR = 0.9
+BANDS = 16
+BAND = 28  # bits a band, 32 at most
 
 
 def _bits() -> np.ndarray:
@@ -101,6 +111,116 @@ def likeness(a: str, b: str) -> float:
     return agreed / total
 
 
+class Bands:
+    """Band keys and whole comparison of fingerprints with the lengths of their walks."""
+
+    def __init__(self) -> None:
+        self.walker = Walker()
+        self.chosen: dict[int, np.ndarray] = {}
+        self.ends: list[int] = []
+
+    def bits(self, level: int) -> np.ndarray:
+        """The places in a fingerprint of the bits of each band, all at steps before 2^(level / 2)."""
+        if level not in self.chosen:
+            length = 2 ** (level / 2)
+            rng = np.random.default_rng([SEED, BANDS, level])
+            octaves = max(0, math.ceil(level / 2) - FIRST) + 1
+            edges = [0, *[1 << (FIRST + k) for k in range(octaves)]]
+            share = np.array([min(high, length) - low for low, high in zip(edges, edges[1:], strict=False)]) / length
+            counts = [max(1, int(np.searchsorted(self.walker.octave(k)[0], length))) for k in range(octaves)]
+            rows = []
+            for _ in range(BANDS):
+                dealt = np.bincount(rng.choice(octaves, BAND, p=share), minlength=octaves)
+                rows.append(np.concatenate([k * BITS + rng.choice(m, n, replace=n > m) for k, (m, n) in enumerate(zip(counts, dealt, strict=True))]))
+            self.chosen[level] = np.array(rows)
+        return self.chosen[level]
+
+    def keys(self, marks: list[str], steps: list[int]) -> list[list[int]]:
+        """Band keys of each fingerprint; a walk without steps has none."""
+        out: list[list[int]] = [[] for _ in marks]
+        wanted: dict[int, list[int]] = {}
+        for i, n in enumerate(steps):
+            if n:
+                level = math.floor(2 * math.log2(n))
+                wanted.setdefault(level, []).append(i)
+                if level and NEAR * n < 2 ** (level / 2):
+                    wanted.setdefault(level - 1, []).append(i)
+        value = 1 << np.arange(BAND, dtype=np.int64)
+        for level, rows in wanted.items():
+            at = self.bits(level)
+            width = (int(at.max()) // BITS + 1) * BITS // 4
+            raw = np.frombuffer(bytes.fromhex("".join(marks[i][:width] for i in rows)), np.uint8).reshape(len(rows), -1)
+            found = np.unpackbits(raw, axis=1)[:, at] @ value + (np.arange(BANDS, dtype=np.int64) << 32) + (level << 40)
+            for i, got in zip(rows, found.tolist(), strict=True):
+                out[i] += got
+        return out
+
+    def end(self, k: int) -> int:
+        """The bits of an octave that lies behind the end of a text."""
+        while len(self.ends) <= k:
+            _, sign = self.walker.octave(len(self.ends))
+            bit = (sign ^ (sign >> 31)) >> 17 & 1
+            self.ends.append(int.from_bytes(np.packbits(bit.astype(np.uint8)).tobytes()))
+        return self.ends[k]
+
+    def alike(self, a: str, a_steps: int, b: str, b_steps: int) -> bool:
+        """Whether the walks agree in a share NEAR of the steps of the longer one, by all sampled bits before its end."""
+        if a == b and a_steps == b_steps:
+            return True
+        least, most = sorted((a_steps, b_steps))
+        if least < NEAR * most:
+            return False
+        width = BITS // 4
+        total = agreed = 0.0
+        for k in range(max(len(a), len(b)) // width):
+            low = 0 if k == 0 else 1 << (FIRST + k - 1)
+            high = 1 << (FIRST + k)
+            n = BITS if most >= high else int(np.searchsorted(self.walker.octave(k)[0], most))
+            if n:
+                x, y = (int(m, 16) if (m := t[k * width : (k + 1) * width]) else self.end(k) for t in (a, b))
+                same = 1 - ((x ^ y) >> (BITS - n)).bit_count() / n
+                span = min(high, most) - low
+                total += span
+                agreed += span * max(0.0, 2 * same - 1)
+        return agreed >= NEAR * total - 1e-9 and total > 0
+
+
+def _band_rows(batches):
+    bands = Bands()
+    for batch in batches:
+        got = bands.keys(batch.column("fingerprint").to_pylist(), batch.column("steps").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(got, pa.list_(pa.int64()))], ["id", "keys"])
+
+
+def _verify_rows(batches):
+    bands = Bands()
+    for batch in batches:
+        sides = [batch.column(c).to_pylist() for c in ("p", "p_steps", "q", "q_steps")]
+        keep = [bands.alike(*x) for x in zip(*sides, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_classes(made: DataFrame) -> DataFrame:
+    """Rows (mark, class_id) for the marks of ``made`` (doc_id, fingerprint, steps, mark): the smallest doc_id of the class."""
+    nodes, at_nodes = written(made.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("steps").alias("steps")))
+    buckets, at_buckets = written(nodes.select("mark", "fingerprint", "steps").mapInArrow(_band_rows, "id long, keys array<long>").select("id", F.explode("keys").alias("bucket")))
+    several = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
+    shared = cut(buckets.join(several, "bucket", "left_semi"))
+    drop(made.sparkSession, at_buckets)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(nodes.select(F.col("mark").alias("a"), F.col("fingerprint").alias("p"), F.col("steps").alias("p_steps")), "a")
+        both = one.join(nodes.select(F.col("mark").alias("b"), F.col("fingerprint").alias("q"), F.col("steps").alias("q_steps")), "b")
+        return both.select("a", "b", "p", "p_steps", "q", "q_steps").mapInArrow(_verify_rows, "a long, b long")
+
+    roots = linked_classes(shared, verify)
+    rooted = nodes.select("mark", "least").join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    out = cut(rooted.join(least, "root").select("mark", "class_id"))
+    drop(made.sparkSession, at_nodes)
+    return out
+
+
 def edited(text: str, following: str) -> str:
     n = len(text) // 3
     return text[: len(text) - n] + following[:n] if n else text
@@ -137,10 +257,13 @@ def ordered_with_next(docs: DataFrame, n: int | None = None) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint each row of ``docs`` (doc_id integer, text; other columns are ignored) and its edited text.
 
-    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id.
     The next document is the one of the next lower doc_id; after the last comes the first; a single
     document follows itself. Null text counts as empty. Rows with equal or no doc_id follow each
     other by a hash of their text, null ids after all others. An empty table gives an empty result.
+
+    class_id is the smallest doc_id of the rows that links of near copies join, wherever they stand:
+    fingerprints that share a band key and are alike(). It is null if no row of the class has a doc_id.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -153,6 +276,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             ends = w.ends(classes(points))
             return points, ends, w.digest(points, np.asarray(ends, np.int64))
 
+        def mark_of(mark: str, steps: int) -> int:
+            return int.from_bytes(hashlib.blake2b(f"{steps} {mark}".encode(), digest_size=8).digest(), signed=True)
+
         def finish(now: tuple, after: tuple) -> tuple:
             doc_id, text, points, ends, mark = now
             n = len(text)
@@ -162,9 +288,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             both = np.concatenate([points[:keep], tail])
             new_ends = ends[:keep] + w.ends(classes(tail), ends[keep - 1] if keep else 0)
             other = mark if changed == text else w.digest(both, np.asarray(new_ends, np.int64))
-            return doc_id, n, hashlib.sha256(changed.encode()).hexdigest(), mark, other, likeness(mark, other), likeness(mark, after[4])
+            return doc_id, n, hashlib.sha256(changed.encode()).hexdigest(), mark, other, likeness(mark, other), likeness(mark, after[4]), (steps := ends[-1] if ends else 0), mark_of(mark, steps)
 
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "steps", "mark"]
         for batch in batches:
             out = []
             for doc_id, text, copy in zip(batch["doc_id"], batch["text"], batch["copy"], strict=True):
@@ -173,6 +299,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if held is not None:
                     out.append(finish(held, now))
                 held = None if copy else now
-            yield pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+            yield pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64", "steps": "int64", "mark": "int64"})
 
-    return ordered_with_next(docs).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    made, _ = written(ordered_with_next(docs).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, steps long, mark long"))
+    drop(docs.sparkSession)
+    return made.join(near_classes(made), "mark").drop("mark", "steps")

@@ -219,6 +219,28 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(table(spark, rows).limit(0)).count() == 0
 
 
+def test_fingerprint_classes(spark):
+    r = random.Random(16)
+    texts = ["".join(r.choice("abcdefgh é") for _ in range(r.randint(1, 900))) for _ in range(40)] + [None, ""]
+    copies = []
+    for k, t in enumerate(texts[:40]):
+        at = r.randrange(len(t))
+        copies.append(t[:at] + r.choice(["", "x", "yz"]) + t[at + 1 :] if k % 3 else t)  # none of them next to its source by doc_id
+    rows = [(i, t, "s", "en") for i, t in enumerate(texts + copies)] + [(5, texts[5], "s", "en"), (None, texts[7], "s", "en"), (None, "q" * 50, "s", "en")]
+    bands = fingerprint.Bands()
+    out = fingerprint.fingerprints(table(spark, rows)).collect()
+    found = {x.doc_id: x for x in out}
+    steps = []
+    for t in texts + copies:
+        ends = bands.walker.ends(fingerprint.classes(fingerprint.code_points(t or "")))
+        steps.append(ends[-1] if ends else 0)
+    n = len(steps)
+    links = [(i, j) for i in range(n) for j in range(i) if bands.alike(found[i].fingerprint, steps[i], found[j].fingerprint, steps[j])]
+    assert sum(j < 40 and i == j + 42 for i, j in links) > 25
+    assert [found[i].class_id for i in range(n)] == roots(n, links)
+    assert sorted([x.class_id for x in out if x.doc_id is None], key=str) == [found[7].class_id, None] and len(out) == len(rows)
+
+
 def test_quality(spark):
     r = random.Random(8)
     good = lambda: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 8))) for _ in range(60))
