@@ -6,11 +6,15 @@ have in the text, so it tells texts apart that hold the same shingles in another
 sketch in common are candidates. A candidate pair is verified by aligning the two sequences within a
 band as wide as the similarity allows: matches / (length a + length b - matches) >= 0.8, the
 Jaccard similarity of the labelled shingles with their order kept.
+
+Sketches of several minima miss pairs of few shingles, so those have an exact path: sequences of at
+most ``SHORT`` shingles meet by every subsequence that is long enough to be what a pair has in common.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 MINIMA = 5
+SHORT = 10
 SEED = 4
 _KEPT = 1_000_000
 _U = np.uint64
@@ -92,6 +97,25 @@ def sketches(h: np.ndarray, count: int = SKETCHES, minima: int = MINIMA) -> list
     return np.concatenate(out).view(np.int64).tolist()
 
 
+def short_keys(h: np.ndarray, similarity: float) -> list[int]:
+    """Hashes of the subsequences that may be all that a sequence and a similar one have in common."""
+    out = []
+    for less in range(int(len(h) * (1 - similarity) + 1e-9) + 1):
+        picked = h[np.array(list(combinations(range(len(h)), len(h) - less)))]
+        s = np.full(len(picked), _SALTS[-1])
+        for k in range(picked.shape[1]):
+            s = _mix(s * _U(0x9E3779B97F4A7C15) + picked[:, k])
+        out.append(s)
+    return np.unique(np.concatenate(out)).view(np.int64).tolist()
+
+
+def candidate_keys(h: np.ndarray, count: int, minima: int, similarity: float) -> list[int]:
+    """The buckets of a sequence of shingles: its sketches, and the keys of the exact path for a short
+    one; those alone if whatever is similar must be short too."""
+    short = short_keys(h, similarity) if 0 < len(h) <= SHORT else []
+    return short if short and len(h) <= SHORT * similarity + 1e-9 else short + sketches(labelled(h), count, minima)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether an alignment of the sequences matches enough: m / (len a + len b - m) >= similarity.
 
@@ -138,11 +162,11 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return matches >= need
 
 
-def _sketch_rows(count: int, minima: int):
+def _sketch_rows(count: int, minima: int, similarity: float):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            got = [sketches(labelled(shingles(t, hashes)), count, minima) for t in batch.column("text").to_pylist()]
+            got = [candidate_keys(shingles(t, hashes), count, minima, similarity) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(got, pa.list_(pa.int64()))], ["d", "h", "sketches"])
 
     return run
@@ -173,7 +197,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, count: int
     empty table gives an empty result.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("d"), F.md5("text").alias("h"), "text").where("d is not null and text is not null")
-    made, at_made = written(plain.mapInArrow(_sketch_rows(count, minima), "d long, h string, sketches array<long>"))
+    made, at_made = written(plain.mapInArrow(_sketch_rows(count, minima, similarity), "d long, h string, sketches array<long>"))
     first = made.groupBy("h").agg(F.min("d").alias("rep"))
     buckets = made.join(first, "h").where("d = rep").select(F.col("d").alias("id"), F.explode("sketches").alias("bucket"))
     several = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")

@@ -147,6 +147,26 @@ def test_near_documents(spark):
     assert near.near_duplicates(table(spark, rows).limit(0)).count() == 0
 
 
+def test_near_short_documents(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for k in range(160):
+        t = [word() for _ in range((9, 10, 14, 8)[k % 4])]  # 5, 6, 10 and 4 shingles
+        texts += [t, t[1:] if k % 8 < 4 else t[:-1]]
+        texts += [t[1:-1]] if k % 4 == 2 else []
+    texts.append(["a"] * 9)
+    texts.append(["a"] * 8)
+    hashes = near.WordHashes()
+    seq = [near.shingles(" ".join(t), hashes) for t in texts]
+    n = len(texts)
+    links = [(i, j) for i in range(n) for j in range(i) if near.aligned(seq[i], seq[j])]
+    assert len(links) >= 40 + 40 + 3 * 40 + 1
+    out = near.near_duplicates(table(spark, [(i, " ".join(t), "s", "en") for i, t in enumerate(texts)])).collect()
+    got = {x.doc_id: x.class_id for x in out}
+    assert [got[i] for i in range(n)] == roots(n, links)
+
+
 def test_alignment_keeps_order():
     a = np.arange(100, dtype=np.uint64)
     assert near.aligned(a, np.delete(a, [3, 50]))
