@@ -48,8 +48,9 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Resolve the revisits among ``records``.
 
     Columns: record_id (unique, ordered), type, url, ts (ordered), headers map<string,string> with
-    lower-case names, digest, n_bytes; others are ignored. Type `response` is a full response,
-    `revisit` a not-modified one; other types and a null type are left out.
+    lower-case names, digest, n_bytes, and http_status where there is one; others are ignored. Type
+    `response` is a full response unless its http_status says otherwise (206, or not of class 200; null
+    counts as full), `revisit` a not-modified one; other types and a null type are left out.
 
     Returns per revisit: record_id, canonical_url, status, refers_to, digest, n_bytes, headers. Status
     is `resolved`; `mismatch` if the latest earlier response has other validators; `unverified` if the
@@ -59,7 +60,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     headers count as none. An empty table gives an empty result.
     """
     spark = records.sparkSession
-    rows = records.where("type in ('response', 'revisit')").select("record_id", (F.col("type") == "revisit").cast("int").alias("revisit"), canonical_url(F.col("url")).alias("curl"), "ts", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest", "n_bytes")
+    records = records.where("type in ('response', 'revisit')")
+    if "http_status" in records.columns:
+        records = records.where("type = 'revisit' or http_status is null or (http_status between 200 and 299 and http_status <> 206)")
+    rows = records.select("record_id", (F.col("type") == "revisit").cast("int").alias("revisit"), canonical_url(F.col("url")).alias("curl"), "ts", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest", "n_bytes")
     light = rows.select("curl", "ts", "record_id", "revisit", F.when(F.col("curl").isNull() | F.col("ts").isNull(), 1).otherwise(0).alias("lost"))
     order = ["curl", "ts", "record_id"]
     id_kind = records.schema["record_id"].dataType.simpleString()
@@ -154,11 +158,11 @@ def record_bytes(kind: str, url: str, date: str, record_id: str, block: bytes, e
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under a path: record_id, type, url, ts, headers, digest, n_bytes, body.
+    """Records of the WARC files under a path: record_id, type, url, ts, headers, digest, n_bytes, body, http_status.
 
     Revisits of other profiles than server-not-modified get type `duplicate`. A file is read by one
     task as a whole, as Spark's binary source hands it over (below 2 GB); records without an HTTP
-    block have null headers and their block as body.
+    block have null headers and http_status and their block as body.
     """
     import hashlib
 
@@ -170,13 +174,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     h = r["headers"]
                     kind = h.get("warc-type")
                     http = r["block"].startswith(b"HTTP/")
-                    _, headers, body = http_parts(r["block"]) if http else (None, None, r["block"])
+                    status, headers, body = http_parts(r["block"]) if http else (None, None, r["block"])
                     if kind == "revisit" and h.get("warc-profile") not in NOT_MODIFIED:
                         kind = "duplicate"
-                    out.append((h.get("warc-record-id", "").strip("<>"), kind, h.get("warc-target-uri", "").strip("<>"), h.get("warc-date"), headers, hashlib.sha256(body).hexdigest(), len(body), body))
-                yield pd.DataFrame(out, columns=["record_id", "type", "url", "ts", "headers", "digest", "n_bytes", "body"])
+                    out.append((h.get("warc-record-id", "").strip("<>"), kind, h.get("warc-target-uri", "").strip("<>"), h.get("warc-date"), headers, hashlib.sha256(body).hexdigest(), len(body), body, status))
+                yield pd.DataFrame(out, columns=["record_id", "type", "url", "ts", "headers", "digest", "n_bytes", "body", "http_status"]).astype({"http_status": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record_id string, type string, url string, ts string, headers map<string,string>, digest string, n_bytes long, body binary")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record_id string, type string, url string, ts string, headers map<string,string>, digest string, n_bytes long, body binary, http_status int")
 
 
 def page_captures(pages: DataFrame) -> DataFrame:

@@ -309,3 +309,16 @@ def test_warc_round_trip(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(full) + gzip.compress(again))
     out = warc.resolve_revisits(warc.read_warc(spark, str(tmp_path))).first()
     assert out.status == "resolved" and out.refers_to == "urn:1" and out.headers == {"etag": '"1"', "content-length": "2", "x-a": "b"} and out.n_bytes == 2
+
+
+def test_revisits_refer_to_full_responses(spark, tmp_path):
+    parts = []
+    for k, line in enumerate(("200 OK", "206 Partial Content", "404 Not Found", "503 Service Unavailable", "304 Not Modified")):
+        parts.append(warc.record_bytes("response", "http://a/", f"2020-01-0{k + 1}T00:00:00Z", f"urn:{k}", f'HTTP/1.1 {line}\r\nETag: "{k}"\r\n\r\nb{k}'.encode()))
+    parts.append(warc.record_bytes("response", "dns:a", "2020-01-01T00:00:00Z", "urn:dns", b"a. 1 IN A 1.2.3.4"))
+    parts.append(warc.record_bytes("revisit", "http://a/", "2020-01-09T00:00:00Z", "urn:9", b'HTTP/1.1 304 Not Modified\r\nETag: "0"\r\n\r\n', {"WARC-Profile": warc.NOT_MODIFIED[0]}))
+    (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    records = warc.read_warc(spark, str(tmp_path))
+    assert {r.record_id: r.http_status for r in records.collect()} == {"urn:0": 200, "urn:1": 206, "urn:2": 404, "urn:3": 503, "urn:4": 304, "urn:dns": None, "urn:9": 304}
+    out = warc.resolve_revisits(records).first()
+    assert out.status == "resolved" and out.refers_to == "urn:0" and out.headers == {"etag": '"0"'} and out.n_bytes == 2
