@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Iterator
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,10 +22,12 @@ def tune(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a temporary one only where the cluster names none."""
+    """The folder every executor can reach. Where none is named, a local session gets a temporary one; a cluster has to name it."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -87,17 +90,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def clean(text: Column) -> Column:
-    return F.coalesce(text, F.lit(""))
-
-
-Batches = Iterator["pandas.DataFrame"]  # noqa: F821
-
-
-def written(df: DataFrame, rows_per_file: int = 0) -> tuple[DataFrame, str]:
+def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again; with the path, for drop()."""
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
@@ -106,8 +100,6 @@ def written(df: DataFrame, rows_per_file: int = 0) -> tuple[DataFrame, str]:
 
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written intermediates and let Spark clear the shuffle files nobody refers to any more."""
-    import gc
-
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -24,7 +24,6 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,35 +184,41 @@ class Bands:
         return agreed >= NEAR * total - 1e-9 and total > 0
 
 
-def _band_rows(batches):
+def _compare():
     bands = Bands()
-    for batch in batches:
-        got = bands.keys(batch.column("fingerprint").to_pylist(), batch.column("steps").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(got, pa.list_(pa.int64()))], ["id", "keys"])
-
+    walker = bands.walker
+    width = BITS // 4
 
-def _verify_rows(batches):
-    bands = Bands()
-    for batch in batches:
-        sides = [batch.column(c).to_pylist() for c in ("p", "p_steps", "q", "q_steps")]
-        keep = [bands.alike(*x) for x in zip(*sides, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(payloads):
+        """alike() for all pairs at once: of each pair the longer walk sets how many bits of an octave count."""
+        marks, steps = [p[0] for p in payloads], np.array([p[1] for p in payloads], np.int64)
+        agreed = np.zeros((len(marks), len(marks)))
+        total = np.zeros(len(marks))
+        for k in range(max(map(len, marks)) // width):
+            low, high = 0 if k == 0 else 1 << (FIRST + k - 1), 1 << (FIRST + k)
+            raw = b"".join(bytes.fromhex(m[k * width : (k + 1) * width]) or bands.end(k).to_bytes(BITS // 8) for m in marks)
+            bit = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(marks), -1), axis=1).astype(np.float32) * 2 - 1
+            n = np.where(steps >= high, BITS, np.searchsorted(walker.octave(k)[0], steps))
+            span = np.where(n > 0, np.minimum(high, steps) - low, 0)
+            same = (bit * (np.arange(BITS) < n[:, None])) @ bit.T / np.maximum(n, 1)[:, None]
+            agreed += span[:, None] * np.maximum(same, 0)
+            total += span
+        fine = (agreed >= NEAR * total[:, None] - 1e-9) & (total > 0)[:, None]
+        longer = steps[:, None] >= steps[None, :]
+        may = np.where(longer, fine, fine.T) & (np.minimum(steps[:, None], steps[None, :]) >= NEAR * np.maximum(steps[:, None], steps[None, :]))
+        return may, lambda i, j: True
+
+    return compare
 
 
 def near_classes(made: DataFrame) -> DataFrame:
-    """Rows (mark, class_id) for the marks of ``made`` (doc_id, fingerprint, steps, mark): the smallest doc_id of the class."""
-    nodes, at_nodes = written(made.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("steps").alias("steps")))
-    buckets, at_buckets = written(nodes.select("mark", "fingerprint", "steps").mapInArrow(_band_rows, "id long, keys array<long>").select("id", F.explode("keys").alias("bucket")))
-    several = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    shared = cut(buckets.join(several, "bucket", "left_semi"))
-    drop(made.sparkSession, at_buckets)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(nodes.select(F.col("mark").alias("a"), F.col("fingerprint").alias("p"), F.col("steps").alias("p_steps")), "a")
-        both = one.join(nodes.select(F.col("mark").alias("b"), F.col("fingerprint").alias("q"), F.col("steps").alias("q_steps")), "b")
-        return both.select("a", "b", "p", "p_steps", "q", "q_steps").mapInArrow(_verify_rows, "a long, b long")
-
-    roots = linked_classes(shared, verify)
+    """Rows (mark, class_id) for the marks of ``made`` (doc_id, fingerprint, steps, mark, keys) that links join: the smallest doc_id of the class."""
+    nodes, at_nodes = written(made.groupBy("mark").agg(F.min("doc_id").alias("least"), F.first("fingerprint").alias("fingerprint"), F.first("steps").alias("steps"), F.first("keys").alias("keys")))
+    buckets = nodes.select("mark", F.explode(F.array_distinct("keys")).alias("bucket"))
+    several = buckets.groupBy("bucket").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo <> hi").select("bucket")
+    members = cut(buckets.join(several, "bucket", "left_semi").select("bucket", F.col("mark").alias("node"), F.lit(1).alias("size")))
+    payload = nodes.select(F.col("mark").alias("node"), "fingerprint", "steps").join(members.select("node").distinct(), "node", "left_semi")
+    roots = linked_classes(members, cut(payload), _compare)
     rooted = nodes.select("mark", "least").join(roots.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "least", F.coalesce("root", "mark").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     out = cut(rooted.join(least, "root").select("mark", "class_id"))
@@ -268,7 +273,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        w = Walker()
+        bands = Bands()
+        w = bands.walker
         held: tuple | None = None
 
         def walk(text: str):
@@ -299,8 +305,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if held is not None:
                     out.append(finish(held, now))
                 held = None if copy else now
-            yield pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64", "steps": "int64", "mark": "int64"})
+            made = pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64", "steps": "int64", "mark": "int64"})
+            made["keys"] = bands.keys(made["fingerprint"].tolist(), made["steps"].tolist())
+            yield made
 
-    made, _ = written(ordered_with_next(docs).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, steps long, mark long"))
+    made, _ = written(ordered_with_next(docs).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, steps long, mark long, keys array<long>"))
     drop(docs.sparkSession)
-    return made.join(near_classes(made), "mark").drop("mark", "steps")
+    return made.join(near_classes(made), "mark").drop("mark", "steps", "keys")

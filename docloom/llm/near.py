@@ -67,9 +67,7 @@ def labelled(h: np.ndarray) -> np.ndarray:
     """Mix in how often each value occurred before."""
     order = np.argsort(h, kind="stable")
     s = h[order]
-    new = np.concatenate([[True], s[1:] != s[:-1]])
-    if new.all():
-        return h
+    new = np.concatenate([[True], s[1:] != s[:-1]])[: len(s)]
     start = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
     seen = np.empty(len(h), np.uint64)
     seen[order] = np.arange(len(s)) - start
@@ -116,12 +114,13 @@ def candidate_keys(h: np.ndarray, count: int, minima: int, similarity: float) ->
     return short if short and len(h) <= SHORT * similarity + 1e-9 else short + sketches(labelled(h), count, minima)
 
 
-def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY, counted: bool = False) -> bool:
     """Whether an alignment of the sequences matches enough: m / (len a + len b - m) >= similarity.
 
     Such an alignment leaves at most D = (len a + len b) (1 - s) / (1 + s) elements unmatched, so
     it stays within D of the diagonal. The rows of the band are bits of one integer: a zero marks a
-    position up to which one more element is matched.
+    position up to which one more element is matched. ``counted``: it is known that they have enough
+    elements in common.
     """
     n, m = len(a), len(b)
     if not n or not m:
@@ -130,7 +129,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     if min(n, m) < need:
         return False
     x, y = a.tolist(), b.tolist()
-    if sum((Counter(x) & Counter(y)).values()) < need:
+    if not counted and sum((Counter(x) & Counter(y)).values()) < need:
         return False
     start = 0
     while start < min(n, m) and x[start] == y[start]:
@@ -162,62 +161,127 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return matches >= need
 
 
-def _sketch_rows(count: int, minima: int, similarity: float):
-    def run(batches):
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values each two of the sets share, above the diagonal of a square matrix."""
+    n = len(sets)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+    size = np.diff(np.append(first, len(values)))
+    each = np.repeat(size, size)
+    rare, rare_end = owner[each <= _RARE], np.repeat(first + size, size)[each <= _RARE]
+    at = np.flatnonzero(each <= _RARE)
+    out = np.zeros(n * n, np.int64)
+    for step in range(1, _RARE):  # values of few sets: pairs of their owners
+        near = np.flatnonzero(at + step < rare_end)
+        if not len(near):
+            break
+        out += np.bincount(rare[near] * n + owner[at[near] + step], minlength=n * n)
+    out = out.reshape(n, n)
+    often = np.flatnonzero(size > _RARE)
+    for k in range(0, len(often), 2048):  # the others: products of columns of ones
+        part = often[k : k + 2048]
+        has = np.zeros((n, len(part)), np.float32)
+        for c, g in enumerate(part):
+            has[owner[first[g] : first[g] + size[g]], c] = 1
+        out += np.rint(has @ has.T).astype(np.int64)
+    return out
+
+
+_RARE = 32
+
+
+def _compare(similarity: float):
+    def make():
         hashes = WordHashes()
-        for batch in batches:
-            got = [candidate_keys(shingles(t, hashes), count, minima, similarity) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), pa.array(got, pa.list_(pa.int64()))], ["d", "h", "sketches"])
 
-    return run
+        def compare(payloads):
+            seqs = [shingles(t, hashes) for (t,) in payloads]
+            size = np.array([len(s) for s in seqs])
+            need = similarity * (size[:, None] + size[None, :]) / (1 + similarity) - 1e-9
+            may = (common_counts([labelled(s) for s in seqs]) >= need) & (need > 0)
+            return may, lambda i, j: aligned(seqs[i], seqs[j], similarity, counted=True)
 
+        return compare
 
-def _verify_rows(similarity: float):
+    return make
+
+
+def _sketch_rows(count: int, minima: int, similarity: float):
     def run(batches):
         hashes = WordHashes()
-        last: tuple[str, np.ndarray] | None = None
         for batch in batches:
-            keep = []
-            for p, q in zip(batch.column("p_text").to_pylist(), batch.column("q_text").to_pylist(), strict=True):
-                if last is None or last[0] != p:
-                    last = (p, shingles(p, hashes))
-                keep.append(aligned(last[1], shingles(q, hashes), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            got = [None if t is None else candidate_keys(shingles(t, hashes), count, minima, similarity) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("h"), batch.column("size"), pa.array(got, pa.list_(pa.int64()))], ["d", "h", "size", "sketches"])
 
     return run
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("d"), F.md5("text").alias("h"), F.octet_length("text").cast("long").alias("size"), "text")
+
+
+_MADE = "d long, h string, size long, sketches array<long>"
+
+
+def _text_classes(docs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
+    """Classes of the texts in ``made`` (d, h, sketches) that have copies or near copies: (h, class_d,
+    class_h), the latter of the text with the smallest d, null last."""
+    spark = docs.sparkSession
+    nodes, at_nodes = written(made.groupBy("h").agg(F.min("d").alias("rep"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sketches").alias("sketches")).withColumn("node", F.monotonically_increasing_id()))
+    members = nodes.select("node", "size", F.explode(F.array_distinct("sketches")).alias("bucket"))
+    several = members.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("bucket")
+    members = cut(members.join(several, "bucket", "left_semi").select("bucket", "node", "size"))
+    wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", F.col("h").alias("node_h"), "rep")
+    plain = _hashed(docs)
+    here = (plain["h"] == wanted["node_h"]) & plain["d"].eqNullSafe(wanted["rep"])
+    texts, at_texts = written(plain.join(wanted, here).select("node", "h", "d", "text").dropDuplicates(["h", "d"]).select("node", "text"))
+    drop(spark)
+    roots = linked_classes(members, texts, _compare(similarity))
+    drop(spark, at_texts)
+    rooted = nodes.select("node", "h", "rep", "n").join(roots, "node", "left").select("h", "rep", "n", "root", F.coalesce("root", "node").alias("at"))
+    rooted = rooted.where("root is not null or n > 1")
+    least = rooted.groupBy("at").agg(F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "h")).alias("least"))
+    out = cut(rooted.join(least, "at").select("h", F.col("least.rep").alias("class_d"), F.col("least.h").alias("class_h")))
+    drop(spark, at_nodes)
+    return out
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, count: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
     """Classes of near duplicates among ``docs`` (doc_id integer, text; other columns are ignored).
 
     Returns doc_id, class_id (the smallest doc_id of the class), kept (whether it is that one), one
     row per input row; of repeated rows with the kept doc_id each says kept. Equal texts are one
     class, empty ones included; texts without words equal nothing else; a null text or a null
-    doc_id is in no class (class_id = doc_id, kept). Rows with one doc_id are one document. An
-    empty table gives an empty result.
+    doc_id is in no class (class_id = doc_id, kept). Rows that share a doc_id are judged by their
+    own texts. An empty table gives an empty result.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("d"), F.md5("text").alias("h"), "text").where("d is not null and text is not null")
-    made, at_made = written(plain.mapInArrow(_sketch_rows(count, minima, similarity), "d long, h string, sketches array<long>"))
-    first = made.groupBy("h").agg(F.min("d").alias("rep"))
-    buckets = made.join(first, "h").where("d = rep").select(F.col("d").alias("id"), F.explode("sketches").alias("bucket"))
-    several = buckets.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("bucket")
-    buckets = cut(buckets.join(several, "bucket", "left_semi").distinct())
-    wanted = buckets.select(F.col("id").alias("d")).distinct()
-    texts, at_texts = written(plain.select("d", "text").join(wanted, "d", "left_semi"))
-    drop(docs.sparkSession)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        # The pivot of many pairs is mostly the smaller id: its text joins light rows, and what moves on is dealt by the other.
-        one = pairs.join(texts.withColumnsRenamed({"d": "a", "text": "p_text"}), "a")
-        both = one.join(texts.withColumnsRenamed({"d": "b", "text": "q_text"}), "b")
-        return both.select("a", "b", "p_text", "q_text").mapInArrow(_verify_rows(similarity), "a long, b long")
-
-    roots = linked_classes(buckets, verify)
-    drop(docs.sparkSession, at_texts)
-    classes = cut(first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h", F.coalesce("root", "rep").alias("root")))
-    by_doc = made.select("d", "h").join(classes, "h").groupBy("d").agg(F.min("root").alias("root"))
-    by_doc = cut(by_doc)
-    drop(docs.sparkSession, at_made)
+    made, _ = written(_hashed(docs).mapInArrow(_sketch_rows(count, minima, similarity), _MADE))
+    classes = _text_classes(docs, made.where("d is not null and h is not null"), similarity)
     kind = docs.schema["doc_id"].dataType
-    ids = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.col("doc_id").cast("long")).alias("d"))
-    return ids.join(by_doc, "d", "left").select("doc_id", F.coalesce(F.col("root").cast(kind), F.col("doc_id")).alias("class_id"), (F.col("root").isNull() | (F.col("root") == F.col("d"))).alias("kept"))
+    alone = made.where("d is null or h is null").select("d", F.col("d").alias("class_d"))
+    met = made.where("d is not null and h is not null").select("d", "h").join(classes, "h", "left").select("d", F.coalesce("class_d", "d").alias("class_d"))
+    return met.union(alone).select(F.col("d").cast(kind).alias("doc_id"), F.col("class_d").cast(kind).alias("class_id"), F.col("d").eqNullSafe(F.col("class_d")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY, count: int = SKETCHES, minima: int = MINIMA) -> DataFrame:
+    """One row of each class of near duplicates of ``docs`` (doc_id, text), with all its columns.
+
+    Rows are judged by their own text, so rows that share a doc_id or have none are told apart: the
+    smallest doc_id of the class stays, null last, then the smallest hash; of equal rows one. Rows with
+    a null text all stay.
+    """
+    made, at_made = written(_hashed(docs).where("text is not null").mapInArrow(_sketch_rows(count, minima, similarity), _MADE))
+    classes = _text_classes(docs, made, similarity)
+    met = made.select("d", "h").join(classes, "h").withColumn("stays", (F.col("h") == F.col("class_h")) & F.col("d").eqNullSafe(F.col("class_d")))
+    met = cut(met.groupBy("d", "h", "stays").agg(F.count("*").alias("n")))
+    drop(docs.sparkSession, at_made)
+    lost = met.where("not stays").select(F.col("d").alias("lost_d"), F.col("h").alias("lost_h"))
+    own = F.struct("*")
+    keyed = docs.select(own.alias("row"), F.md5("text").alias("h"), F.col("doc_id").cast("long").alias("d"))
+    left = keyed.join(lost, (F.col("h") == F.col("lost_h")) & F.col("d").eqNullSafe(F.col("lost_d")), "left_anti")
+    if not met.where("stays and n > 1").isEmpty():
+        left = left.where("h is null").unionByName(left.where("h is not null").dropDuplicates(["d", "h"]))
+    return left.select("row.*")
