@@ -6,17 +6,22 @@ or without one the modification date), and the headers of the 304 answer replace
 response, but for the ones that describe the body or the connection.
 
 The as-of join sorts responses and revisits together by (URL, time), cut into ranges at any row, so a
-URL with any share of the captures is spread over tasks. Each range carries the latest response along;
-what a range's first URL needs from the ranges before comes from one row per range.
+URL with any share of the captures is spread over tasks. Each range carries the latest response along
+and puts it beside the revisits that refer to it, so nothing is joined back by id; what a range's first
+URL needs from the ranges before comes from one row per range.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,69 +52,80 @@ def _weak(tag: Column) -> Column:
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Resolve the revisits among ``records``.
 
-    Columns: record_id (unique, ordered), type, url, ts (ordered), headers map<string,string> with
+    Columns: record_id (ordered), type, url, ts (ordered), headers map<string,string> with
     lower-case names, digest, n_bytes, and http_status where there is one; others are ignored. Type
     `response` is a full response unless its http_status says otherwise (206, or not of class 200; null
     counts as full), `revisit` a not-modified one; other types and a null type are left out.
 
-    Returns per revisit: record_id, canonical_url, status, refers_to, digest, n_bytes, headers. Status
+    Returns per revisit row: record_id, canonical_url, status, refers_to, digest, n_bytes, headers. Status
     is `resolved`; `mismatch` if the latest earlier response has other validators; `unverified` if the
     revisit has none (it is resolved all the same); `missing` if there is no earlier response. Earlier
-    means a smaller (ts, record_id); a response of the revisit's own time and a smaller id counts. A
-    revisit with a null url or ts is missing, a response with one is never referred to. Null
+    means a smaller (ts, record_id); a response of the revisit's own time and a smaller or the same id counts. A
+    revisit with a null url or ts is missing, a response with one is never referred to. Repeated revisits
+    are resolved one by one; of responses with equal ts and id one is referred to. Null
     headers count as none. An empty table gives an empty result.
     """
     spark = records.sparkSession
     records = records.where("type in ('response', 'revisit')")
     if "http_status" in records.columns:
         records = records.where("type = 'revisit' or http_status is null or (http_status between 200 and 299 and http_status <> 206)")
-    rows = records.select("record_id", (F.col("type") == "revisit").cast("int").alias("revisit"), canonical_url(F.col("url")).alias("curl"), "ts", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest", "n_bytes")
-    light = rows.select("curl", "ts", "record_id", "revisit", F.when(F.col("curl").isNull() | F.col("ts").isNull(), 1).otherwise(0).alias("lost"))
-    order = ["curl", "ts", "record_id"]
-    id_kind = records.schema["record_id"].dataType.simpleString()
+    rows = records.select(canonical_url(F.col("url")).alias("curl"), "ts", "record_id", (F.col("type") == "revisit").alias("revisit"), F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "digest", F.col("n_bytes").cast("long").alias("n_bytes"))
+    known = F.col("curl").isNotNull() & F.col("ts").isNotNull()
+    order = ["curl", "ts", "record_id", "revisit", "digest"]
 
     def carry(batches):
-        url = latest = first = None
+        pid = TaskContext.get().partitionId()
+        url = first = None
         seen = False
-        tail_pid = TaskContext.get().partitionId()
+        carried = None  # the latest response, as a batch of one row
         for batch in batches:
-            out = []
-            for curl, rid, revisit, lost in zip(batch["curl"], batch["record_id"], batch["revisit"], batch["lost"], strict=True):
-                if lost:
-                    if revisit:
-                        out.append((tail_pid, 0, None, rid, None, 0))
-                    continue
+            data = batch.select(["record_id", "headers", "digest", "n_bytes"])
+            table = pa.Table.from_batches([carried, data] if carried is not None else [data]).combine_chunks()
+            skip = 0 if carried is None else 1
+            latest = None if carried is None else 0
+            take, mine, open_ = [], [], []
+            for k, (curl, revisit) in enumerate(zip(batch.column("curl").to_pylist(), batch.column("revisit").to_pylist(), strict=True)):
                 if not seen or curl != url:
                     if not seen:
                         first = curl
                     url, latest, seen = curl, None, True
                 if revisit:
-                    out.append((tail_pid, 0, curl, rid, latest, int(latest is None and curl == first)))
+                    mine.append(k)
+                    take.append(latest)
+                    open_.append(latest is None and curl == first)
                 else:
-                    latest = rid
-            yield pd.DataFrame(out, columns=["pid", "tail", "curl", "record_id", "refers_to", "open"])
-        if seen and latest is not None:
-            yield pd.DataFrame([(tail_pid, 1, url, None, latest, 0)], columns=["pid", "tail", "curl", "record_id", "refers_to", "open"])
+                    latest = k + skip
+            old = table.take(pa.array(take, pa.int64())).combine_chunks()
+            new = pa.Table.from_batches([batch]).take(pa.array(mine, pa.int64()))
+            if mine:
+                yield _walked(pid, False, open_, new.column("curl"), new.column("record_id"), new.column("headers"), old)
+            carried = None if latest is None else table.slice(latest, 1).to_batches()[0]
+        if carried is not None:
+            empty = pa.Table.from_batches([carried])
+            none = pa.nulls(1, carried.schema.field("record_id").type), pa.nulls(1, carried.schema.field("headers").type)
+            yield _walked(pid, True, [False], pa.array([url], pa.string()), *none, empty)
 
     n = partitions(spark)
-    sorted_rows = light.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    walked, _ = written(sorted_rows.mapInPandas(carry, f"pid int, tail int, curl string, record_id {id_kind}, refers_to {id_kind}, open int"))
-
-    tails = walked.where("tail = 1").select("pid", F.struct("curl", "refers_to").alias("at"))  # one row a range at most
+    kind = records.schema["record_id"].dataType.simpleString()
+    digest = records.schema["digest"].dataType.simpleString()
+    sorted_rows = rows.where(known).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    schema = f"pid int, tail boolean, open boolean, curl string, record_id {kind}, new map<string,string>, refers_to {kind}, old map<string,string>, digest {digest}, n_bytes long"
+    walked, _ = written(sorted_rows.mapInArrow(carry, schema))  # the result reads it
+
+    from_old = ["refers_to", "old", "digest", "n_bytes"]
+    tails = walked.where("tail").select("pid", F.struct("curl", *from_old).alias("at"))  # one row a range at most
     spots = spark.range(n).select(F.col("id").cast("int").alias("pid"))
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     carried = spots.join(tails, "pid", "left").select("pid", F.last("at", ignorenulls=True).over(before).alias("from_before"))
-    found = walked.where("tail = 0").join(F.broadcast(carried), "pid", "left")  # as many rows as ranges
-    from_before = F.when((F.col("open") == 1) & (F.col("from_before.curl") == F.col("curl")), F.col("from_before.refers_to"))
-    found = found.select("record_id", F.coalesce("refers_to", from_before).alias("refers_to"))
-
-    stored = rows.where("revisit = 0").select(F.col("record_id").alias("refers_to"), F.col("headers").alias("old"), "digest", "n_bytes")
-    asked = rows.where("revisit = 1").select("record_id", F.col("curl").alias("canonical_url"), F.col("headers").alias("new"))
-    both = asked.join(found, "record_id").join(stored, "refers_to", "left")
+    found = walked.where("not tail").join(F.broadcast(carried), "pid", "left")  # as many rows as ranges
+    reaches = F.col("open") & (F.col("from_before.curl") == F.col("curl"))
+    found = found.select("record_id", F.col("curl").alias("canonical_url"), "new", *[F.when(reaches, F.col("from_before")[c]).otherwise(F.col(c)).alias(c) for c in from_old])
+    lost = rows.where(~known & F.col("revisit")).select("record_id", F.col("curl").alias("canonical_url"), F.col("headers").alias("new"), *[F.lit(None).cast(walked.schema[c].dataType).alias(c) for c in from_old])
+    both = found.unionByName(lost)
     tag, old_tag = _weak(F.col("new")["etag"]), _weak(F.col("old")["etag"])
     date, old_date = F.trim(F.col("new")["last-modified"]), F.trim(F.col("old")["last-modified"])
     status = (
-        F.when(F.col("refers_to").isNull(), "missing")
+        F.when(F.col("old").isNull(), "missing")
         .when(tag.isNotNull(), F.when(F.coalesce(tag == old_tag, F.lit(False)), "resolved").otherwise("mismatch"))
         .when(date.isNotNull(), F.when(F.coalesce(date == old_date, F.lit(False)), "resolved").otherwise("mismatch"))
         .otherwise("unverified")
@@ -121,20 +137,40 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return both.select("record_id", "canonical_url", "status", "refers_to", F.when(good, F.col("digest")).alias("digest"), F.when(good, F.col("n_bytes")).alias("n_bytes"), F.when(good, merged).alias("headers"))
 
 
+def _walked(pid: int, tail: bool, open_: list[bool], curl, record_id, new, old) -> pa.RecordBatch:
+    columns = [pa.array([pid] * len(open_), pa.int32()), pa.array([tail] * len(open_), pa.bool_()), pa.array(open_, pa.bool_()), curl, record_id, new, *(old.column(c) for c in ("record_id", "headers", "digest", "n_bytes"))]
+    names = ["pid", "tail", "open", "curl", "record_id", "new", "refers_to", "old", "digest", "n_bytes"]
+    return pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.chunked_array([c]) for c in columns], names).combine_chunks().to_batches()[0]
+
+
 def records_of(raw: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or compressed by record: headers in lower case and the block."""
+    """The records of a WARC file, plain or compressed by record: headers in lower case and the block.
+
+    A record whose length is missing or no number ends at the next line that begins a record; one that is
+    cut off, as is the last of a damaged file, has the bytes that are there.
+    """
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
-    while True:
+    try:
         line = stream.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            continue
-        headers: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield {"headers": headers, "block": stream.read(int(headers.get("content-length") or 0))}
+        while line:
+            if not line.startswith(b"WARC/"):
+                line = stream.readline()
+                continue
+            headers: dict[str, str] = {}
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[name.strip().lower()] = value.strip()
+            size = headers.get("content-length", "")
+            if re.fullmatch("[0-9]{1,15}", size):
+                yield {"headers": headers, "block": stream.read(int(size))}
+                line = stream.readline()
+                continue
+            parts = []
+            while (line := stream.readline()) and not line.startswith(b"WARC/"):
+                parts.append(line)
+            yield {"headers": headers, "block": b"".join(parts).removesuffix(b"\r\n\r\n")}
+    except (EOFError, gzip.BadGzipFile, zlib.error):
+        return
 
 
 def http_parts(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
@@ -161,15 +197,15 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files under a path: record_id, type, url, ts, headers, digest, n_bytes, body, http_status.
 
     Revisits of other profiles than server-not-modified get type `duplicate`. A file is read by one
-    task as a whole, as Spark's binary source hands it over (below 2 GB); records without an HTTP
-    block have null headers and http_status and their block as body.
+    task, which Spark's binary source hands it as a whole (below 2 GB), and leaves it by some hundred records;
+    records without an HTTP block have null headers and http_status and their block as body.
     """
-    import hashlib
+    names = ["record_id", "type", "url", "ts", "headers", "digest", "n_bytes", "body", "http_status"]
 
     def run(batches):
         for batch in batches:
             for raw in batch["content"]:
-                out = []
+                out, size = [], 0
                 for r in records_of(raw):
                     h = r["headers"]
                     kind = h.get("warc-type")
@@ -178,7 +214,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     if kind == "revisit" and h.get("warc-profile") not in NOT_MODIFIED:
                         kind = "duplicate"
                     out.append((h.get("warc-record-id", "").strip("<>"), kind, h.get("warc-target-uri", "").strip("<>"), h.get("warc-date"), headers, hashlib.sha256(body).hexdigest(), len(body), body, status))
-                yield pd.DataFrame(out, columns=["record_id", "type", "url", "ts", "headers", "digest", "n_bytes", "body", "http_status"]).astype({"http_status": "Int32"})
+                    size += len(body)
+                    if len(out) >= 500 or size > 32 << 20:
+                        yield pd.DataFrame(out, columns=names).astype({"http_status": "Int32"})
+                        out, size = [], 0
+                yield pd.DataFrame(out, columns=names).astype({"http_status": "Int32"})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "record_id string, type string, url string, ts string, headers map<string,string>, digest string, n_bytes long, body binary, http_status int")
 
