@@ -148,7 +148,10 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tables: int = TA
     signed = cut(classes.select("id", F.col("label").cast("string").alias("label"), "copies", F.lit(single).alias("single"), "embedding").mapInArrow(_sign_rows(tables, bits), "id long, label string, copies long, single boolean, size int, sig array<int>, raw binary"))
 
     light = signed.select("id", "label", "size", F.posexplode("sig").alias("t", "bucket"))
-    sizes = light.groupBy("label", "size", "t", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    hashes = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    sizes = light.groupBy("label", "size", "t", "bucket").agg(F.count("*").alias("n"), *hashes).where("n > 1")
+    # Of buckets with the same members the one of the first table is compared: there all its pairs have met.
+    sizes = sizes.groupBy("label", "size", "n", "x1", "x2").agg(F.min(F.struct("t", "bucket")).alias("first")).select("label", "size", "n", "first.t", "first.bucket")
     dealt = light.join(sizes, ["label", "size", "t", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("one"), F.greatest(k, F.col("block")).alias("two")))
     dealt = dealt.withColumn("meet", F.explode(meets)).select("id", "size", "t", F.concat_ws("/", "label", "bucket").alias("bucket"), "block", "meet.one", "meet.two")
@@ -161,8 +164,9 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tables: int = TA
     known = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
     kind = vectors.schema["vec_id"].dataType
-    out = rows.join(known, ["label", "embedding"], "left").withColumn("component_id", F.coalesce(F.col("root").cast(kind), F.col("vec_id")))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    alone = rows.where("label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    met = rows.where("label is not null").join(known, ["label", "embedding"]).select("vec_id", F.col("n_links").cast("long"), F.col("root").cast(kind).alias("component_id"), F.col("root").eqNullSafe(F.col("vec_id").cast("long")).alias("kept"))
+    return met.unionByName(alone)
 
 
 def expected_recall(cosine: float = COSINE, tables: int = TABLES, bits: int = BITS) -> float:
