@@ -4,10 +4,10 @@ A known word scores by its log frequency in each language. An unseen word falls
 character n-grams, boundaries included: to the longest length of which any n-gram is known, then
 shorter ones, down to single letters.
 
-The tables are counted on a hash-chosen sample of about ``train_docs`` labelled documents (a
-parameter: beyond it more text no longer moves the frequencies) and hold the ``max_entries`` most
-frequent words and n-grams, so their size is bounded whatever the input. Prediction reads every
-whole text.
+The tables are counted on a hash-chosen sample of the labelled documents, of each language about an
+even share of ``train_chars`` characters (a parameter: beyond it more text no longer moves the
+frequencies). They hold every word and n-gram of the sample with its counts in every language, so
+their size is bounded by the sample. Prediction reads every whole text.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
-TRAIN_DOCS = 20_000
-MAX_ENTRIES = 150_000
+TRAIN_CHARS = 12_000_000
 KEPT_WORDS = 200_000
 UNDETERMINED = "und"
 EVIDENCE = 0.02  # a score this close to an even share tells nothing
+COVER = 4  # n-grams of this length tell whether an unseen word could be of a learned language
+COVERAGE = 0.15  # a text of which less is known is in none of the learned languages
 
 
 def held_out(doc_id):
@@ -42,11 +43,15 @@ def _grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_entries: int = MAX_ENTRIES) -> dict:
+def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> dict:
     """Count words and n-grams by language over the labelled rows (text, lang, doc_id)."""
     rows = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    share = min(1.0, train_docs / max(rows.select("doc_id").count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).select("lang", "text")
+    by_lang = rows.groupBy("lang").agg(F.sum(F.length("text").cast("double")).alias("chars")).collect()  # one row a language
+    each = train_chars / max(len(by_lang), 1)
+    langs = sorted(r["lang"] for r in by_lang)
+    shares = [(r["lang"], math.ceil(min(1.0, each / max(r["chars"], 1)) * (1 << 20))) for r in by_lang]
+    limits = docs.sparkSession.createDataFrame(shares, "lang string, share long")
+    rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < F.col("share")).select("lang", "text")
 
     def count(batches):
         words: dict[str, Counter] = {}
@@ -64,68 +69,85 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, max_entries: int = MAX_EN
         yield flush()
 
     def split(batches):
+        """The word itself as size 0, and its n-grams."""
         for batch in batches:
             out: Counter = Counter()
             for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
+                out[lang, 0, word] += n
                 for size in range(1, LONGEST + 1):
                     for g in _grams(word, size):
                         out[lang, size, g] += n
             yield pd.DataFrame([(*k, v) for k, v in out.items()], columns=["lang", "size", "gram", "n"])
 
     counted = rows.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
-    top = counted.orderBy(F.desc("n"), "lang", "word").limit(max_entries).collect()
     grams = counted.mapInPandas(split, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
-    top_grams = grams.orderBy(F.desc("n"), "lang", "size", "gram").limit(max_entries).collect()
-    counted.unpersist()
-
-    langs = sorted({r["lang"] for r in top} | {r["lang"] for r in top_grams})
+    found = grams.toArrow().combine_chunks()  # as many rows as the sample has words and n-grams
     at = {lang: i for i, lang in enumerate(langs)}
-
-    def logs(found: list[tuple[str, str, int]], names: list[str]) -> np.ndarray:
-        n = np.zeros((len(names), max(len(langs), 1)))
-        index = {w: i for i, w in enumerate(names)}
-        for lang, w, k in found:
-            n[index[w], at[lang]] += k
-        p = np.log((n + 0.1) / (n.sum(0) + 0.1 * len(names) + 1))
-        return (p - p.mean(1, keepdims=True)).astype(np.float32)  # only differences between languages count
-
-    words = sorted({r["word"] for r in top})
-    table = [logs([(r["lang"], r["word"], r["n"]) for r in top], words)]
-    where = {w: i for i, w in enumerate(words)}
+    lang = np.array([at[x] for x in found.column("lang").to_pylist()], np.int16)
+    size, n = (found.column(c).to_numpy() for c in ("size", "n"))
+    names = found.column("gram").to_pylist()
+    base = np.zeros((LONGEST + 1, len(langs)))
     places: list[dict[str, int]] = []
-    for size in range(1, LONGEST + 1):
-        found = [(r["lang"], r["gram"], r["n"]) for r in top_grams if r["size"] == size]
-        names = sorted({g for _, g, _ in found})
-        base = sum(map(len, table))
-        places.append({g: base + i for i, g in enumerate(names)})
-        table.append(logs(found, names))
-    return {"langs": langs, "words": where, "grams": places, "table": np.vstack(table) if langs else np.zeros((0, 1), np.float32)}
+    entry = np.zeros(len(n), np.int64)
+    delta = np.zeros(len(n), np.float32)
+    count_ = 0
+    for k in range(LONGEST + 1):
+        mine = np.flatnonzero(size == k)
+        place: dict[str, int] = {}
+        for i in mine.tolist():
+            entry[i] = place.setdefault(names[i], count_ + len(place))
+        count_ += len(place)
+        places.append(place)
+        total = np.bincount(lang[mine], n[mine], len(langs)) + 0.1 * len(place) + 1
+        base[k] = math.log(0.1) - np.log(total)
+        delta[mine] = np.log((n[mine] + 0.1) / 0.1)
+    order = np.lexsort((lang, entry))
+    first = np.searchsorted(entry[order], np.arange(count_ + 1))
+    return {"langs": langs, "places": places, "base": base, "first": first, "lang": lang[order], "delta": delta[order]}
 
 
 class Predictor:
+    """Scores by the log frequency of an entry in each language: what an entry never seen has, and for
+    the languages that hold it how much more."""
+
     def __init__(self, model: dict):
         self.m, self.unseen = model, {}
-        self.words, self.table = model["words"], model["table"]
+        self.words = model["places"][0]
         self.even = 1 / max(len(model["langs"]), 1)
 
-    def backoff(self, word: str) -> np.ndarray:
+    def total(self, size: int, entries: np.ndarray) -> np.ndarray:
+        first = self.m["first"]
+        start = first[entries]
+        many = first[entries + 1] - start
+        ends = np.cumsum(many)
+        at = np.repeat(start - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+        return len(entries) * self.m["base"][size] + np.bincount(self.m["lang"][at], self.m["delta"][at], len(self.m["langs"]))
+
+    def backoff(self, word: str) -> tuple[np.ndarray, float]:
+        """Scores of an unseen word, and the share of its n-grams of length COVER that are known."""
+        grams = _grams(word, min(COVER, len(word) + 2))
+        place = self.m["places"][min(COVER, len(word) + 2)]
+        cover = sum(g in place for g in grams) / len(grams)
         for n in range(LONGEST, 0, -1):
-            known = [i for g in _grams(word, n) if (i := self.m["grams"][n - 1].get(g)) is not None]
+            place = self.m["places"][n]
+            known = [place[g] for g in _grams(word, n) if g in place]
             if known:
-                return self.table[known].mean(0)
-        return np.zeros(self.table.shape[1], np.float32)
+                return self.total(n, np.array(known)) / len(known), cover
+        return np.zeros(len(self.m["langs"])), cover
 
-    def rejects(self, lang: str, score: float) -> bool:
-        return lang == UNDETERMINED or score < min(self.even + EVIDENCE, 0.99)
+    def rejects(self, lang: str, score: float, coverage: float) -> bool:
+        return lang == UNDETERMINED or score < min(self.even + EVIDENCE, 0.99) or coverage < COVERAGE
 
-    def predict(self, text: str | None) -> tuple[str, float]:
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its score, and how much of the text's letters is known."""
         found = LETTERS.findall(text.lower()) if text else []
         if not found or not self.m["langs"]:
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, 0.0
         at = np.fromiter(map(self.words.get, found, [-1] * len(found)), np.int64, len(found))
         known = at >= 0
-        total = self.table[at[known]].sum(0, dtype=np.float64)
+        total = self.total(0, at[known])
+        letters = np.fromiter(map(len, found), np.int64, len(found))
+        covered = float(letters[known].sum())
         for k in np.flatnonzero(~known):
             w = found[k]
             got = self.unseen.get(w)
@@ -133,11 +155,12 @@ class Predictor:
                 if len(self.unseen) >= KEPT_WORDS:
                     self.unseen.clear()
                 got = self.unseen[w] = self.backoff(w)
-            total += got
+            total += got[0]
+            covered += got[1] * len(w)
         total /= math.sqrt(len(found))
         p = np.exp(total - total.max())
         k = int(p.argmax())
-        return self.m["langs"][k], float(p[k] / p.sum())
+        return self.m["langs"][k], float(p[k] / p.sum()), covered / float(letters.sum())
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -145,18 +168,18 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
 
     Returns doc_id, held_out, lang_pred, score, rejected. A text that is null or has no letter is
     `und` with score 0; letters that no table knows give the first language with an even share.
-    Rejected: `und`, or a score that is hardly above an even share. Without any labelled row all is
-    `und`. Rows are treated one by one, so repeated rows and null ids need no rule.
+    Rejected: `und`, a score that is hardly above an even share, or a text of which hardly a word or
+    n-gram is known. Without any labelled row all is `und`. Rows are treated one by one, so repeated rows and null ids need no rule.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model or fit(docs))  # bounded by max_entries
+    shared = spark.sparkContext.broadcast(model or fit(docs))  # bounded by train_chars
 
     def run(batches):
         p = Predictor(shared.value)
         for batch in batches:
             got = [p.predict(t) for t in batch["text"]]
-            lang, score = zip(*got, strict=True) if got else ((), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score, "rejected": [p.rejects(a, s) for a, s in got]})
+            lang, score, _ = zip(*got, strict=True) if got else ((), (), ())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score, "rejected": [p.rejects(*x) for x in got]})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
@@ -172,7 +195,7 @@ def accepted(docs: DataFrame, model: dict | None = None) -> DataFrame:
             got = [p.predict(t) for t in batch.column("text").to_pylist()]
             keep = pa.array([not p.rejects(*x) for x in got], pa.bool_())
             at = batch.schema.get_field_index("lang")
-            filled = pa.array([a if a is not None else b for a, (b, _) in zip(batch.column(at).to_pylist(), got, strict=True)], pa.string())
+            filled = pa.array([a if a is not None else b for a, (b, *_) in zip(batch.column(at).to_pylist(), got, strict=True)], pa.string())
             yield batch.set_column(at, "lang", filled).filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
