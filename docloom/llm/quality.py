@@ -7,9 +7,9 @@ attention learns from document labels alone which passages tell: with h = tanh(W
 weighs softmax(w . (tanh(V h) * sigmoid(U h))), and the document's score is the sigmoid of a
 linear function of the weighted sum of h.
 
-The network is fitted on the driver to at most ``train_docs`` labelled documents chosen by hash (a
-parameter), each represented by all its passages up to a bound on the numbers sent; every document
-is scored by all its passages.
+The network is fitted on the driver to at most ``train_docs`` labelled documents in an order given by a hash (a
+parameter), fewer if their passages come to more than ``numbers`` numbers. Each is represented by
+all its passages; every document is scored by all its passages.
 """
 
 from __future__ import annotations
@@ -163,27 +163,33 @@ def train(bags: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Networ
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, numbers: int = TRAIN_NUMBERS) -> Network:
-    """Fit to the labelled rows not held out: docs (doc_id, text), labels (doc_id, quality)."""
+    """Fit to labelled rows not held out: docs (doc_id, text), labels (doc_id, quality).
+
+    Labels of one document that disagree count as the highest; of rows that share a doc_id one is taken, by
+    a hash of its text. In hash order documents are taken whole while they fit the bound on numbers.
+    """
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    chosen = known.orderBy(order).limit(train_docs)
-    most = max(1, numbers // (train_docs * FEATURES))
+    chosen = known.orderBy(order, "doc_id").limit(train_docs)
+    text = F.coalesce("text", F.lit(""))
+    joined = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("mark")).join(F.broadcast(chosen), "doc_id")  # train_docs rows at most
+    size = F.greatest(F.ceil(F.length("text") / PASSAGE), F.lit(1)).cast("long") * FEATURES
+    sizes = joined.groupBy("doc_id").agg(F.min(F.struct("mark", size.alias("size"))).alias("least")).select("doc_id", "least.mark", "least.size", order.alias("o"))
+    fits, left = [], numbers
+    for r in sorted(sizes.collect(), key=lambda r: (r["o"], r["doc_id"])):  # train_docs rows at most
+        if r["size"] <= left:
+            fits.append((r["doc_id"], r["mark"]))
+            left -= r["size"]
 
     def rows(batches):
         for batch in batches:
-            got = []
-            for text in batch["text"]:
-                x = encode(text)
-                if len(x) > most:  # an even choice of the passages, for fitting only
-                    x = x[np.linspace(0, len(x) - 1, most).astype(int)]
-                got.append(x.tobytes())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": got})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": [encode(text).tobytes() for text in batch["text"]]})
 
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # train_docs rows at most
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = joined.mapInPandas(rows, f"doc_id {kind}, quality int, x binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-    found = found[: 2 * train_docs]
+    taken = docs.sparkSession.createDataFrame(fits, f"doc_id {kind}, mark long")
+    once = joined.join(F.broadcast(taken), ["doc_id", "mark"]).dropDuplicates(["doc_id"])
+    found = once.select("doc_id", "quality", "text").mapInPandas(rows, f"doc_id {kind}, quality int, x binary").collect()  # bounded by numbers
+    found.sort(key=lambda r: r["doc_id"])
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in found]
     return train(bags, np.array([float(r["quality"] > 0) for r in found]))
 
