@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,4 +105,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     gc.collect()
+    spark.range(1).collect()  # the listener bus holds the last query's plan until another has ended
+    time.sleep(1.1)  # Py4J tells the JVM once a second what Python has let go
     spark._jvm.System.gc()

@@ -23,7 +23,7 @@ import random
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,8 @@ PERIOD = 8192  # the shared bits repeat after so many steps
 CLASSES = 256
 FIRST = 4  # octaves below 2^FIRST are one
 SEED = 20
+SIDE_BY_SIDE = 40  # texts for which it pays to walk together
+TOGETHER = 2_000_000  # characters walked together
 NEAR = 0.9
 BANDS = 16
 BAND = 28  # bits a band, 32 at most
@@ -52,15 +54,38 @@ class Walker:
         step = np.arange(PERIOD)
         ahead = np.where(bits == 1, step, PERIOD)
         stay = np.minimum.accumulate(ahead[:, ::-1], axis=1)[:, ::-1]
-        self.next = (stay + 1 - step).astype(np.int64).tolist()  # steps spent on the character
+        spent = stay + 1 - step  # steps spent on the character
+        self.next = spent.tolist()
+        self.spent = spent.astype(np.uint16).ravel()
         self.samples: list[np.ndarray] = []
         self.signs: list[np.ndarray] = []
+        self.upto: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def ends(self, codes: list[int], start: int = 0) -> list[int]:
         """The step after each character's last."""
         table = self.next
         return list(accumulate(codes, lambda j, c: j + table[c][j % PERIOD], initial=start))[1:]
 
+    def ends_of_many(self, codes: list[np.ndarray], starts: list[int]) -> list[np.ndarray]:
+        """ends() of many texts, which walk side by side as long as enough of them go on."""
+        size = np.array([len(c) for c in codes], np.int64)
+        order = np.argsort(-size, kind="stable")
+        flat = np.concatenate([np.zeros(0, np.uint8), *codes]).astype(np.int64) * PERIOD
+        first = np.cumsum(size) - size
+        out = np.empty(len(flat), np.int64)
+        going = np.searchsorted(-size[order], -np.arange(size.max(initial=0)), side="left")  # how many have a character at each place
+        at, j = first[order], np.array(starts, np.int64)[order]
+        place = 0
+        while place < len(going) and (k := going[place]) >= SIDE_BY_SIDE:
+            here = at[:k] + place
+            j[:k] += self.spent[flat[here] + (j[:k] & (PERIOD - 1))]
+            out[here] = j[:k]
+            place += 1
+        for k in range(going[place] if place < len(going) else 0):
+            rest = at[k] + place, at[k] + size[order[k]]
+            out[rest[0] : rest[1]] = self.ends((flat[rest[0] : rest[1]] // PERIOD).tolist(), int(j[k]))
+        return np.split(out, first[1:])
+
     def octave(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         while len(self.samples) <= k:
             low = 0 if not self.samples else 1 << (FIRST + len(self.samples) - 1)
@@ -70,27 +95,27 @@ class Walker:
             self.signs.append(rng.integers(1, 1 << 62, BITS, dtype=np.int64) | 1)
         return self.samples[k], self.signs[k]
 
+    def octaves(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in self.upto:
+            self.upto[n] = tuple(np.concatenate(x) for x in zip(*map(self.octave, range(n)), strict=True))
+        return self.upto[n]
+
     def digest(self, points: np.ndarray, ends: np.ndarray) -> str:
         """points: code points; ends: as from ends()."""
         steps = int(ends[-1]) if len(ends) else 0
-        octaves = max(0, math.ceil(math.log2(max(steps, 1))) - FIRST) + 1
-        out = []
-        padded = np.append(points, -1)
-        for k in range(octaves):
-            at, sign = self.octave(k)
-            char = padded[np.searchsorted(ends, at, side="right")]
-            mixed = (char.astype(np.int64) + 2) * sign
-            bit = (mixed ^ (mixed >> 31)) >> 17 & 1
-            out.append(np.packbits(bit.astype(np.uint8)).tobytes().hex())
-        return "".join(out)
+        at, sign = self.octaves(max(0, math.ceil(math.log2(max(steps, 1))) - FIRST) + 1)
+        char = np.append(points, -1)[np.searchsorted(ends, at, side="right")]
+        mixed = (char.astype(np.int64) + 2) * sign
+        bit = (mixed ^ (mixed >> 31)) >> 17 & 1
+        return np.packbits(bit.astype(np.uint8)).tobytes().hex()
 
 
 def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def classes(points: np.ndarray) -> list[int]:
-    return ((points * 0x9E3779B1 >> 7) % CLASSES).tolist()
+def classes(points: np.ndarray) -> np.ndarray:
+    return ((points.astype(np.int64) * 0x9E3779B1 >> 7) % CLASSES).astype(np.uint8)
 
 
 def likeness(a: str, b: str) -> float:
@@ -275,40 +300,47 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches):
         bands = Bands()
         w = bands.walker
-        held: tuple | None = None
-
-        def walk(text: str):
-            points = code_points(text)
-            ends = w.ends(classes(points))
-            return points, ends, w.digest(points, np.asarray(ends, np.int64))
+        held: tuple | None = None  # the last document, which waits for its next
 
         def mark_of(mark: str, steps: int) -> int:
             return int.from_bytes(hashlib.blake2b(f"{steps} {mark}".encode(), digest_size=8).digest(), signed=True)
 
-        def finish(now: tuple, after: tuple) -> tuple:
-            doc_id, text, points, ends, mark = now
-            n = len(text)
-            changed = edited(text, after[1])
-            keep = n - n // 3 if n // 3 else n
-            tail = after[2][: n // 3]
-            both = np.concatenate([points[:keep], tail])
-            new_ends = ends[:keep] + w.ends(classes(tail), ends[keep - 1] if keep else 0)
-            other = mark if changed == text else w.digest(both, np.asarray(new_ends, np.int64))
-            return doc_id, n, hashlib.sha256(changed.encode()).hexdigest(), mark, other, likeness(mark, other), likeness(mark, after[4]), (steps := ends[-1] if ends else 0), mark_of(mark, steps)
+        def pieces(batch):
+            """Rows of a batch in portions of some characters."""
+            part, size = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copy")), strict=True):
+                part.append(row)
+                size += len(row[1])
+                if size > TOGETHER:
+                    yield part
+                    part, size = [], 0
+            if part:
+                yield part
 
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "steps", "mark"]
         for batch in batches:
-            out = []
-            for doc_id, text, copy in zip(batch["doc_id"], batch["text"], batch["copy"], strict=True):
-                doc_id = None if pd.isna(doc_id) else doc_id
-                now = (doc_id, text, *walk(text))
-                if held is not None:
-                    out.append(finish(held, now))
-                held = None if copy else now
-            made = pd.DataFrame(out, columns=names).astype({"n_chars": "int64", "near_edited": "float64", "near_next": "float64", "steps": "int64", "mark": "int64"})
-            made["keys"] = bands.keys(made["fingerprint"].tolist(), made["steps"].tolist())
-            yield made
-
-    made, _ = written(ordered_with_next(docs).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, steps long, mark long, keys array<long>"))
+            for part in pieces(batch):
+                points = [code_points(t) for _, t, _ in part]
+                ends = w.ends_of_many([classes(x) for x in points], [0] * len(part))
+                walked = [(d, t, copy, x, e, w.digest(x, e)) for (d, t, copy), x, e in zip(part, points, ends, strict=True)]
+                chain = ([held] if held is not None else []) + walked
+                pairs = [(now, after) for now, after in zip(chain, chain[1:], strict=False) if not now[2]]
+                held = None if walked[-1][2] else walked[-1]
+                keep = [len(now[1]) - len(now[1]) // 3 for now, _ in pairs]
+                tails = [after[3][: len(now[1]) // 3] for now, after in pairs]
+                tail_ends = w.ends_of_many([classes(x) for x in tails], [int(now[4][k - 1]) if k else 0 for (now, _), k in zip(pairs, keep, strict=True)])
+                out = []
+                for (now, after), k, tail, tail_end in zip(pairs, keep, tails, tail_ends, strict=True):
+                    doc_id, text, _, x, e, mark = now
+                    changed = edited(text, after[1])
+                    other = mark if changed == text else w.digest(np.concatenate([x[:k], tail]), np.concatenate([e[:k], tail_end]))
+                    steps = int(e[-1]) if len(e) else 0
+                    out.append((doc_id, len(text), hashlib.sha256(changed.encode()).hexdigest(), mark, other, likeness(mark, other), likeness(mark, after[5]), steps, mark_of(mark, steps)))
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+                keys = pa.array(bands.keys(columns[3], columns[7]), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), keys], [*names, "keys"])
+
+    made, _ = written(ordered_with_next(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, steps long, mark long, keys array<long>"))
     drop(docs.sparkSession)
     return made.join(near_classes(made), "mark").drop("mark", "steps", "keys")
