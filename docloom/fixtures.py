@@ -52,12 +52,16 @@ LETTERS = [
     (3, ["Invented Holder", "Date of Birth", "03-04-1999", "Female"], "Invented Holder", "03-04-1999", None, "Female", None),
     (4, ["Issue Date 01/01/2020", "Male", "05/06/1970"], None, "05/06/1970", None, "Male", None),
     (5, ["nothing here"], None, None, None, None, None),
+    (6, ["Government of India", "Person Alpha", "12/03/1988"], None, "12/03/1988", None, None, None),
+    (7, ["YOB 1977"], None, None, "1977", None, None),
+    (8, ["Male", "1969"], None, None, "1969", "Male", None),
 ]
 # id, lines, number, dob, name
 LICENCES = [
     (1, ["DRIVING LICENCE", "KA00 20000000000", "Name: TEST PERSON S/D/W of X", "DOB: 01-01-1980"], "KA0020000000000", "01-01-1980", "TEST PERSON"),
     (2, ["DL NO", "01/01/2020 01/01/1970", "Invented Holder"], None, "01/01/1970", "DL NO"),
     (3, ["Name", "FIRST LAST", "ADDRESS"], None, None, "FIRST LAST"),
+    (4, ["NAME", "X", "DOB 01/01/1990", "HOLDER NAME", "TEST PERSON", "VALID"], None, "01/01/1990", "TEST PERSON"),
 ]
 # id, texts, number, dob, name, father
 CARDS = [
@@ -74,6 +78,51 @@ SHEETS = [
     (5, "ICSE", ["ENGLISH", "ENGLISH LANGUAGE 80", "85 EIGHTY FIVE", "MATHEMATICS 91", "HINDI", "77"]),
     (6, None, ["nothing"]),
 ]
+# id, subject, marks, certainty; what the rules read from SHEETS
+SHEET_MARKS = [
+    (1, "MANAGEMENT OF TESTS AND SAMPLES", 75, "High"), (1, "NETWORKS", 50, "High"), (2, "ENGINEERING MATHEMATICS", 63, "High"), (2, "PHYSICS", 60, "Low"), (3, "ENGLISH", 78, "High"), (3, "PHYSICS", 78, "High"),
+    (4, "FIRST LANGUAGE KANNADA", 110, None), (4, "SECOND LANGUAGE ENGLISH", 88, None), (4, "MATHEMATICS", 91, None), (5, "ENGLISH", 85, None), (5, "MATHEMATICS", 91, None), (5, "HINDI", 77, None),
+]
+# Sheets whose marks are read as 80, 30 and 40: id, last line, marks by subject after they are reconciled, total
+UNIVERSITY_SHEET = ["TEST UNIVERSITY", "18CS51 ALGEBRA 35 45 80 P", "18CS52 PRACTICE 10 20 30 P", "18CS53 SYSTEMS 20 20 40 P"]
+RECONCILED = [
+    (1, "GRAND TOTAL 138", [70, 28, 40], 138), (2, "GRAND TOTAL 162", [90, 32, 40], 162), (3, "GRAND TOTAL 140", [70, 30, 40], 140), (4, "GRAND TOTAL 148", [80, 28, 40], 148), (5, "GRAND TOTAL 149", [79, 30, 40], 149),
+    (6, "GRAND TOTAL 147", [77, 30, 40], 147), (7, "GRAND TOTAL 146", [80, 30, 40], 146), (8, "GRAND TOTAL 150", [80, 30, 40], 150), (9, "NOTE", [80, 30, 40], 150),
+]
+# id, lines, board, college
+COLLEGES = [
+    (1, ["COLLEGE DETAILS", "TEST SCIENCE COLLEGE, SAMPLE TOWN"], None, "TEST SCIENCE COLLEGE, SAMPLE TOWN"),
+    (2, ["STATE BOARD", "SAMPLE INSTITUTEOFTECHNOLOGY,", "MYSORE 000000"], "X", "SAMPLE INSTITUTE OF TECHNOLOGY, MYSORE 000000"),
+    (3, ["12345-TEST ACADEMY OF ARTS"], None, "TEST ACADEMY OF ARTS"), (4, ["REGISTER OF SCHOOL", "short"], None, None), (5, ["NAME OF THE COLLEGE: INVENTED POLYTECHNIC"], None, "INVENTED POLYTECHNIC"),
+]
+# id, lines, student, father, mother
+PEOPLE = [
+    (1, ["NAME OF THE STUDENT: TEST PERSON", "FATHER'S NAME: OTHER PERSON", "MOTHER'S NAME: THIRD PERSON"], "TEST PERSON", "OTHER PERSON", "THIRD PERSON"),
+    (2, ["TEST PERSON", "NAME OF THE CANDIDATE", "12 MARKS"], "TEST PERSON", None, None),
+    (3, ["THIS IS TO CERTIFY THAT TEST PERSON HAS PASSED", "SON OF", "SMT ALPHA BETA", "SHRI GAMMA DELTA"], "TEST PERSON", "GAMMA DELTA", "ALPHA BETA"),
+    (4, ["nothing here"], None, None, None),
+]
+# id, lines of one recognition and of another, missing fields, known names, student, father, mother agreed on
+AGREED = [
+    (1, ["TEST PERSON MAR 2020", "OTHERA", "OTHERA", "THIRDE", "ENGLISH 90"], ["XX TEST PERSON MAR 2020", "OTHERA", "THIRDE", "ENGLISH 90"], ["student_name", "mother_name", "father_name"], [], "TEST PERSON", "THIRDE", "OTHERA"),
+    (2, ["TEST PERSON MAR 2020", "OTHERA", "ENGLISH 90"], ["TEST PERSON MAR 2020", "OTHERA", "ENGLISH 90"], ["student_name"], ["TEST PERSON"], None, None, None),
+]
+# id, lines, height, width, whether the letter is of the new style
+LETTER_STYLES = [(1, ["To", "Enrolment No 1"], 100, 100, True), (2, ["x"], 116, 100, True), (3, ["x"], 114, 100, False), (4, ["To me", "ENROLMENT"], 100, 100, False), (5, ["to,", "enrolment"], 100, 100, True)]
+# id, box, factor, the box in the page's pixels
+SCALED = [
+    (1, [[10.0, 20.0], [30.0, 20.0], [30.0, 40.0], [10.0, 40.0]], 2.0, [[5.0, 10.0], [15.0, 10.0], [15.0, 20.0], [5.0, 20.0]]), (2, [[10.0], [30.0, 20.0], [30.0, 40.0], [10.0, 40.0]], 2.0, [[0.0, 0.0], [15.0, 10.0], [15.0, 20.0], [5.0, 20.0]]),
+    (3, [[10.0, 20.0], [30.0, 20.0], [30.0, 40.0]], 2.0, [[0.0, 0.0]] * 4), (4, None, 0.5, [[0.0, 0.0]] * 4),
+]
+# id, tokens (text, x, y, width, height), texts in reading order: an upright card, cards turned to either side
+TURNED = [
+    (1, [("SECOND", 0, 50, 90, 10), ("INCOME TAX", 0, 10, 90, 10), ("THIRD", 0, 90, 90, 10)], ["INCOME TAX", "SECOND", "THIRD"]),
+    (2, [("THIRD", 100, 0, 10, 90), ("INCOME TAX", 300, 0, 10, 90), ("SECOND", 200, 0, 10, 90)], ["INCOME TAX", "SECOND", "THIRD"]),
+    (3, [("THIRD", 250, 0, 10, 90), ("SECOND", 150, 0, 10, 90), ("INCOME TAX", 50, 0, 10, 90)], ["INCOME TAX", "SECOND", "THIRD"]),
+    (4, [("LEFT", 10, 0, 10, 90), ("RIGHT", 90, 0, 10, 90)], ["RIGHT", "LEFT"]),
+]
+# id, text, mended text, full name of a board
+SPACINGS = [(1, "CPROGRAMMING LABORTORY", "vtu"), (2, "INSTITUTEOFTECHNOLOGY", "Puc "), (3, "DISCRETEMATHEMATICS  AND HIND1", "other"), (4, "plain", "ICSE"), (5, "ELEDRONICSAND UNX  FORTHE", "SSLC")]
 # id, text, value
 SPELT = [(1, "NINETY FIVE", 95), (2, "ONE HUNDRED AND TWO", 102), (3, "MARKS SEVEN EIGHT ONLY NINE", 15), (4, "HUNDRED", None), (5, "TWO HUNDRED TEN", 210), (6, "", None)]
 # id, subjects (name, marks), other subjects, expected
@@ -96,8 +145,10 @@ def literal(v) -> str:
         return str(v).upper()
     if isinstance(v, str):
         return "'" + v.replace("'", "''") + "'"
-    if isinstance(v, list):
+    if isinstance(v, list) and (not v or isinstance(v[0], str)):
         return "CAST([" + ", ".join(map(literal, v)) + "] AS VARCHAR[])"
+    if isinstance(v, list):
+        return "[" + ", ".join(map(literal, v)) + "]"
     return repr(v)
 
 

@@ -1,18 +1,7 @@
-"""Similarity of short texts by matching blocks (Ratcliff and Obershelp), as a vectorised function."""
-
-from __future__ import annotations
+"""Similarity of short texts by matching blocks (Ratcliff and Obershelp)."""
 
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 
 def ratio_of(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
-
-
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -32,6 +32,11 @@ NUMBER_WORDS = ONES | TENS
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
 
+def let(x: Column, use) -> Column:
+    """use(x), with x computed once a row and held once in the plan however often it is used."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def clean(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
@@ -73,9 +78,25 @@ def last(xs: Column) -> Column:
 
 def most_frequent(xs: Column, least: int = 1) -> Column:
     """The most frequent element, the first met among equals, null below `least` occurrences."""
-    counted = F.transform(F.array_distinct(xs), lambda v: F.struct((-F.size(F.filter(xs, lambda w: w == v))).alias("n"), F.array_position(xs, v).alias("at"), v.alias("v")))
-    best = F.get(F.array_sort(counted), F.lit(0))
-    return F.when(-best["n"] >= least, best["v"])
+    counted = let(xs, lambda a: F.transform(F.array_distinct(a), lambda v: F.struct((-F.size(F.filter(a, lambda w: w == v))).alias("n"), F.array_position(a, v).alias("at"), v.alias("v"))))
+    return let(F.get(F.array_sort(counted), F.lit(0)), lambda best: F.when(-best["n"] >= least, best["v"]))
+
+
+def mode_in(words: Column, least: int = 1) -> Column:
+    """Struct (word, n) of the most frequent of many elements, the first met among equals, null below `least`
+    occurrences: one pass over the sorted elements, so it suits whole texts where most_frequent() suits a few."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    run = lambda w, at, n: F.struct(w.alias("w"), at.alias("at"), n.alias("n"))
+    none = run(F.lit(None).cast("string"), F.lit(0), F.lit(0))
+
+    def step(s: Column, x: Column) -> Column:
+        same = x["w"].eqNullSafe(s["now"]["w"])
+        now = run(x["w"], F.when(same, s["now"]["at"]).otherwise(x["i"]), F.when(same, s["now"]["n"] + 1).otherwise(1))
+        better = (now["n"] > s["best"]["n"]) | ((now["n"] == s["best"]["n"]) & (now["at"] < s["best"]["at"]))
+        return F.struct(now.alias("now"), F.when(better, now).otherwise(s["best"]).alias("best"))
+
+    best = F.aggregate(placed, F.struct(none.alias("now"), none.alias("best")), step, lambda s: s["best"])
+    return let(best, lambda b: F.when(b["n"] >= least, F.struct(b["w"].alias("word"), b["n"].cast("long").alias("n"))))
 
 
 def repair_spacing(x: Column) -> Column:
@@ -84,7 +105,7 @@ def repair_spacing(x: Column) -> Column:
         x = F.replace(x, F.lit(wrong), F.lit(right))
     x = F.regexp_replace(x, r"([A-Z])(OF|AND|FOR|THE)\b", "$1 $2")
     x = F.regexp_replace(x, r"([A-Z])(INSTITUTE|COLLEGE|TECHNOLOGY|UNIVERSITY)\b", "$1 $2")
-    return clean(F.replace(x, F.lit("DISCRETEMATHEMATICS"), F.lit("DISCRETE MATHEMATICS")))
+    return clean(x)
 
 
 def full_name(x: Column) -> Column:
@@ -119,5 +140,5 @@ def obtained_mark(nums: Column, in_words: Column) -> Column:
 
 def title(x: Column) -> Column:
     """Each run of letters with a capital first, as in O'Neil A.B."""
-    chars = F.split(x, "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when((i > 0) & F.regexp_like(F.get(chars, i - 1), F.lit(r"\p{L}")), F.lower(c)).otherwise(F.upper(c))), "")
+    cased = lambda chars: F.transform(chars, lambda c, i: F.when((i > 0) & F.regexp_like(F.get(chars, i - 1), F.lit(r"\p{L}")), F.lower(c)).otherwise(F.upper(c)))
+    return F.array_join(let(F.split(x, ""), cased), "")

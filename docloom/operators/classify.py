@@ -13,9 +13,9 @@ MOST_BYTES = 20 * 1024 * 1024
 BLANK_BELOW = 12.0
 FEWEST_TEXTS = 3
 SSLC = r"S\.?\s*S\.?\s*L\.?\s*C"
-# Letters and digits around these must be absent; spelt out, so that other engines read them alike.
-DL_NUMBER = r"(?:^|[^0-9A-Za-z_])[A-Z]{2}[-\s]?[0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{7}(?:$|[^0-9A-Za-z_])"
-TWELVE_DIGITS = r"(?:^|[^0-9A-Za-z_])[0-9]{4}\s?[0-9]{4}\s?[0-9]{4}(?:$|[^0-9A-Za-z_])"
+# Letters and digits around these must be absent. What begins the match comes first: a look-behind ahead of it is tried at every character.
+DL_NUMBER = r"[A-Z](?<![0-9A-Za-z_][A-Z])[A-Z][-\s]?[0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{7}(?![0-9A-Za-z_])"
+TWELVE_DIGITS = r"[0-9](?<![0-9A-Za-z_][0-9])[0-9]{3}\s?[0-9]{4}\s?[0-9]{4}(?![0-9A-Za-z_])"
 
 # Signs of a marksheet; any one is enough.
 MARKSHEET_WORDS = ("SSLC", "S.S.L.C", "CBSE", "ICSE", "VISVESVARAYA", "SECONDARY EDUCATION", "MARKS STATEMENT CUM CERTIFICATE", "COUNCIL FOR THE INDIAN SCHOOL", "UNIVERSITY", "OFKARNATAKA", "OF-KARNATAKA", "STATEMENT OF MARKS", "CENTRAL BOARD", "INDIAN CERTIFICATE")

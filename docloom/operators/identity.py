@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fuzzy import ratio_of
-from ..functions.text import all_found, first_where, found, has_any, joined, title
+from ..functions.text import all_found, first_where, found, has_any, joined, let, title
 
 # Words that no holder's name has.
 NOT_A_NAME = """government india unique identification authority aadhaar dob year yob male female father mother husband wife address s/o d/o w/o
@@ -47,7 +47,10 @@ def _first_value(items: Column, value) -> Column:
 def birth_date(lines: Column) -> Column:
     """Date, or year, of birth: by a label in its line or the next; near the gender; any date that is not
     one of the card's own; a year in a line about birth; a year in a short line by the gender."""
-    all_lines = _indexed(lines)
+    return let(_indexed(lines), _born_among)
+
+
+def _born_among(all_lines: Column) -> Column:
     own_date = lambda t: has_any(_low(t["x"]), (*CARD_DATES, "gov", "india")) | F.coalesce(has_any(_low(t["before"]), CARD_DATES), F.lit(False))
     usable = F.filter(all_lines, lambda t: ~own_date(t))
     gendered = F.filter(all_lines, lambda t: F.contains(_low(t["x"]), F.lit("male")))
@@ -74,27 +77,35 @@ def holder_name(lines: Column) -> Column:
     """The holder's name: below a line `To`; else between heading and birth or gender, from the latter
     upward; without a heading up to six lines above, then two below. Title case, a fused initial apart."""
     rows = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("x")))
+    return let(rows, _holder_among)
+
+
+def _holder_among(rows: Column) -> Column:
     low = lambda t: _low(t["x"])
-    stop = F.coalesce(F.get(F.filter(rows, lambda t: has_any(low(t), ("dob", "year", "male", "female", "s/o", "w/o"))), F.lit(0))["i"], F.size(lines))
-    head = F.try_element_at(F.filter(rows, lambda t: (t["i"] <= stop) & has_any(low(t), ("government", "india", "aadhaar"))), F.lit(-1))["i"]
+    stop = F.coalesce(F.get(F.filter(rows, lambda t: has_any(low(t), ("dob", "year", "male", "female", "s/o", "w/o"))), F.lit(0))["i"], F.size(rows))
+    head = let(stop, lambda s: F.try_element_at(F.filter(rows, lambda t: (t["i"] <= s) & has_any(low(t), ("government", "india", "aadhaar"))), F.lit(-1))["i"])
     foot = F.get(F.filter(rows, lambda t: has_any(low(t), ("dob", "date of birth", "year of birth", "yob", "male", "female"))), F.lit(0))["i"]
     good = F.filter(rows, lambda t: _name_like(t["x"]))
-    candidate = F.filter(good, lambda t: ~F.startswith(low(t), F.lit("name")))
 
-    to = F.filter(rows, lambda t: low(t).isin("to", "to,"))
-    addressed = F.get(F.flatten(F.transform(to, lambda r: F.filter(good, lambda t: t["i"].between(r["i"] + 1, r["i"] + 3)))), F.lit(0))["x"]
-    up = lambda low_, high: F.try_element_at(F.filter(candidate, lambda t: (t["i"] > low_) & (t["i"] < high)), F.lit(-1))["x"]
-    down = lambda low_, high: F.get(F.filter(candidate, lambda t: (t["i"] > low_) & (t["i"] < high)), F.lit(0))["x"]
-    inside = F.when(head < foot, up(head, foot)).otherwise(down(foot, head))
-    around = F.coalesce(up(foot - 7, foot), down(foot, foot + 3))
-    name = F.coalesce(addressed, F.when(head.isNotNull() & foot.isNotNull(), inside).when(foot.isNotNull(), around))
-    return title(F.regexp_replace(name, "([a-z])([A-Z])$", "$1 $2"))
+    def name(known: Column) -> Column:
+        head, foot, good = known["head"], known["foot"], known["good"]
+        candidate = F.filter(good, lambda t: ~F.startswith(low(t), F.lit("name")))
+        to = F.filter(rows, lambda t: low(t).isin("to", "to,"))
+        addressed = F.get(F.flatten(F.transform(to, lambda r: F.filter(good, lambda t: t["i"].between(r["i"] + 1, r["i"] + 3)))), F.lit(0))["x"]
+        up = lambda low_, high: F.try_element_at(F.filter(candidate, lambda t: (t["i"] > low_) & (t["i"] < high)), F.lit(-1))["x"]
+        down = lambda low_, high: F.get(F.filter(candidate, lambda t: (t["i"] > low_) & (t["i"] < high)), F.lit(0))["x"]
+        inside = F.when(head < foot, up(head, foot)).otherwise(down(foot, head))
+        around = F.coalesce(up(foot - 7, foot), down(foot, foot + 3))
+        return F.coalesce(addressed, F.when(head.isNotNull() & foot.isNotNull(), inside).when(foot.isNotNull(), around))
+
+    found_name = let(F.struct(head.alias("head"), foot.alias("foot"), good.alias("good")), name)
+    return title(F.regexp_replace(found_name, "([a-z])([A-Z])$", "$1 $2"))
 
 
 def aadhaar(lines: Column) -> Column:
-    born = birth_date(lines)
-    year = F.regexp_like(born, F.lit("^[0-9]{4}$"))
-    return F.struct(holder_name(lines).alias("name"), F.when(~year, born).alias("date_of_birth"), F.when(year, born).alias("year_of_birth"), gender(lines).alias("gender"), aadhaar_number(lines).alias("aadhaar_number"))
+    year = lambda born: F.regexp_like(born, F.lit("^[0-9]{4}$"))
+    born = let(birth_date(lines), lambda b: F.struct(F.when(~year(b), b).alias("date"), F.when(year(b), b).alias("year")))
+    return F.struct(holder_name(lines).alias("name"), born["date"].alias("date_of_birth"), born["year"].alias("year_of_birth"), gender(lines).alias("gender"), aadhaar_number(lines).alias("aadhaar_number"))
 
 
 SPACED_DL = r"(?<![0-9A-Za-z_])[A-Z]{2}[-\s]?[0-9]{2}[-\s]?[0-9]{4}[-\s]?[0-9]{7}(?![0-9A-Za-z_])"
@@ -119,23 +130,34 @@ STOP = r"(?:S/D|S/O|D/O|W/O|S/D/W|SON|DAUGHTER|WIFE|D\.O\.B|DOB|D\.0\.B|ADDRESS|
 BOILERPLATE = r"(?i)(?:ADDRESS|ADD\s|ADD\.|S/O|D/O|W/O|S/D|SON OF|DAUGHTER OF|WIFE OF|D\.O\.B|DOB|SIGNATURE|\bSIGN\b|\bHOLDER\b|\bFORM\b|PIN\b|PINCODE|VALID|SEE RULE|\bRULE\b|COV\b|MCWG|\bLMV\b|\bDOI\b|RTO|LICEN[CS]E|AUTHORITY|TRANSPORT|GOVT|GOVERNMENT|\bINDIA\b|REPUBLIC|DRIVING)"
 
 
+def _undated(x: Column) -> Column:
+    return F.trim(F.regexp_replace(x, r"(?s)[:\s-]*[0-9]{2}/[0-9]{2}/[0-9]{4}.*$", ""))
+
+
 def _bare(x: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(x, "^[:\\-•= ]+", ""), r"(?s)[:\s-]*[0-9]{2}/[0-9]{2}/[0-9]{4}.*$", ""))
+    return _undated(F.regexp_replace(x, "^[:\\-•= ]+", ""))
 
 
 def licence_name(lines: Column) -> Column:
     """The name after its label up to a word that ends it; else the first line that looks like a name."""
     labelled = _bare(found(F.array_join(lines, " "), rf"(?i)NAME\s*[:-]?\s*(.+?)(?=\s+{STOP}|$)", 1))
-    at = F.get(F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: F.contains(F.upper(t["x"]), F.lit("NAME"))), F.lit(0))
-    rest = F.slice(lines, at["i"] + 2, F.size(lines))
-    until = F.get(F.filter(F.transform(rest, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: F.regexp_like(t["x"], F.lit("(?i)" + STOP))), F.lit(0))["i"]
-    below = F.filter(F.transform(F.slice(rest, F.lit(1), F.coalesce(until, F.size(rest))), _bare), lambda x: x != "")
-    same = _bare(F.replace(F.regexp_extract(at["x"], "(?is)NAME(.*)$", 1), F.lit(":"), F.lit("")))
-    gathered = F.array_join(F.concat(F.when(F.length(same) > 1, F.array(same)).otherwise(F.array().cast("array<string>")), below), " ")
+    none = F.array().cast("array<string>")
+
+    def below(t: Column) -> Column:
+        """What a line with the label and those after it give, up to one that ends the name."""
+        rest = F.slice(lines, t["i"] + 2, F.size(lines))
+        until = F.array_position(F.transform(rest, lambda x: F.regexp_like(x, F.lit("(?i)" + STOP))), True)
+        upto = F.when(until > 0, (until - 1).cast("int")).otherwise(F.size(rest))
+        parts = F.filter(F.transform(F.slice(rest, F.lit(1), upto), lambda x: F.trim(x)), lambda x: (F.length(x) > 1) | F.endswith(x, F.lit(".")))
+        same = _undated(F.trim(F.replace(F.regexp_extract(t["x"], "(?is)NAME(.*)$", 1), F.lit(":"), F.lit(""))))
+        return F.array_join(F.concat(F.when(F.length(same) > 1, F.array(same)).otherwise(none), F.filter(F.transform(parts, _bare), lambda x: x != "")), " ")
+
+    named = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda t: F.contains(F.upper(t["x"]), F.lit("NAME")))
+    gathered = F.get(F.filter(F.transform(named, below), lambda x: x != ""), F.lit(0))
     words = lambda x: F.size(F.split(F.trim(x), r"\s+"))
     letters = lambda x: F.length(F.regexp_replace(F.trim(x), r"[^\p{L}]", ""))
     like = lambda x: words(x).between(2, 5) & ~F.regexp_like(x, F.lit(BOILERPLATE)) & ~F.regexp_like(x, F.lit("[0-9]")) & (letters(x) >= F.length(F.trim(x)) * 0.8)
-    return F.coalesce(F.when(F.length(labelled) >= 2, labelled), F.when(at.isNotNull() & (gathered != ""), gathered), F.trim(first_where(lines, like)))
+    return F.coalesce(let(labelled, lambda x: F.when(F.length(x) >= 2, x)), gathered, F.trim(first_where(lines, like)))
 
 
 def driving_licence(lines: Column) -> Column:
@@ -171,7 +193,7 @@ def reading_order(tokens: Column) -> Column:
 
 # Parts of a tax card that are no names.
 PAN_NOISE = ("GOVERNMENT", "INCOME", "TAX", "DEPARTMENT", "SIGNATURE", "PERMANENT", "ACCOUNT", "NUMBER", "CARD", "INDIA", "HRROR", "ERROR", "HRD")
-_PREFIX = re.compile(r"^(?:NAME[:\s]*|FATHER['S]*\s*NAME[:\s]*|[SDW]/O[:\s]*)")
+_PREFIXES = tuple(map(re.compile, (r"^NAME[:\s]*", r"^FATHER['S]*\s*NAME[:\s]*", r"^S/O[:\s]*", r"^D/O[:\s]*", r"^W/O[:\s]*")))  # each is taken away once, in this order
 _LABELS = {"name": re.compile(r"NAME\b"), "father": re.compile(r"FATHER\b|FATHERS\s*NAME\b|FATA\b")}
 _HEADING = re.compile(r"INCOME\s*TAX|GOVT\.?\s*OF\s*INDIA|GOVERNMENT\s*OF\s*INDIA")
 
@@ -201,8 +223,8 @@ def pan_names_of(texts: list[str], own_number: str | None) -> tuple[str | None,
         if similar:
             continue
         bare = up
-        while (cut := _PREFIX.sub("", bare, count=1).strip()) != bare:
-            bare = cut
+        for prefix in _PREFIXES:
+            bare = prefix.sub("", bare).strip()
         tight = bare.replace(" ", "")
         wrong = not re.fullmatch(r"[A-Z0-9 .]{2,}", bare) or any(w in bare for w in PAN_NOISE) or tight == own_number or re.fullmatch(r"[A-Z]{5}[0-9]{4}[A-Z]", tight)
         if wrong or (len(bare) > 3 and not re.search("[AEIOUY]", bare)) or (" " not in bare and len(bare) < 3):

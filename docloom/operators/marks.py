@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import MONTHS, all_found, clean, first_where, found, has_all, has_any, joined, last, most_frequent, repair_spacing
+from ..functions.text import MONTHS, all_found, clean, first_where, found, has_all, has_any, joined, last, let, most_frequent, repair_spacing
 
 _NUMBER = r"(?<![0-9A-Za-z_])[0-9]{3,4}(?![0-9A-Za-z_])"
 _USN = "[1I][A-Z]{2}[0-9]{2}[A-Z]{2,3}[A-Z0-9]{2,3}"
@@ -26,6 +26,7 @@ def _within(x: Column, low: int) -> Column:
 
 def total_parts(lines: Column) -> tuple[Column, Column]:
     """The total that a line names, or one of the next two gives, and every number that could be one."""
+    # Words of lines on a total, and of lines on other totals.
     up = F.transform(lines, lambda x: F.regexp_replace(F.upper(x), "([0-9]{3,4})([0-9]{3})([0-9]{3})", "$1 $2 $3"))
     rows = F.transform(up, lambda x, i: F.struct(x.alias("x"), F.get(up, i + 1).alias("next"), F.get(up, i + 2).alias("after")))
     named = F.filter(rows, lambda r: (has_any(r["x"], ("TOTAL", "GRAND")) | F.regexp_like(r["x"], F.lit("T[O0A]TAL"))) & ~has_any(r["x"], ("MAX", "MIN", "SUBJECT", "SCHOLASTIC", "INTERNAL", "EXTERNAL")))
@@ -56,16 +57,22 @@ def register(lines: Column) -> Column:
     labelled = F.coalesce(*[with_digit(F.trim(found(t, p, 1))) for p in REGISTER_LABELS])
     months = "|".join(MONTHS)
     top = F.upper(F.array_join(F.slice(lines, 1, 15), " "))
-    alone = found(top, r"(?<![0-9A-Za-z_])(?=[A-Z0-9]*[0-9])[A-Z0-9]{5,15}(?![0-9A-Za-z_])")
-    alone = F.when(~has_any(alone, FULL_MONTHS), alone)
+    alone = let(found(top, r"(?<![0-9A-Za-z_])(?=[A-Z0-9]*[0-9])[A-Z0-9]{5,15}(?![0-9A-Za-z_])"), lambda x: F.when(~has_any(x, FULL_MONTHS), x))
     bare_usn = found(t, rf"(?<![0-9A-Za-z_]){_USN}(?![0-9A-Za-z_])")
-    value = F.coalesce(labelled, found(t, r"(?<![0-9A-Za-z_])20[0-9]{9}(?![0-9A-Za-z_])"), most_frequent(all_found(t, rf"([0-9]{{5,7}})\s?(?:{months})", 1)), bare_usn, alone)
-    earlier = F.coalesce(found(t, r"(?<![0-9A-Za-z_])20[0-9]{9}(?![0-9A-Za-z_])"), most_frequent(all_found(t, rf"([0-9]{{5,7}})\s?(?:{months})", 1)))
-    usn = F.when(labelled.isNotNull(), F.regexp_like(labelled, F.lit("^" + _USN))).otherwise(earlier.isNull() & bare_usn.isNotNull())
-    value = F.when(usn & F.startswith(value, F.lit("I")), F.concat(F.lit("1"), F.substring(value, 2, 100))).otherwise(value)
+    long_number = found(t, r"(?<![0-9A-Za-z_])20[0-9]{9}(?![0-9A-Za-z_])")
+    by_month = most_frequent(all_found(t, rf"([0-9]{{5,7}})\s?(?:{months})", 1))
     term = found(t, r"(?:SEM(?:ESTER)?|SESSION)\s?[:\-]?\s?\b([0-9IVX]{1,2})\b", 1)
-    term = F.when(~(F.regexp_like(term, F.lit("^[0-9]+$")) & (F.try_to_number(term, F.lit("99")) > 12)) | ~F.regexp_like(term, F.lit("^[0-9]+$")), term)
-    return F.struct(value.alias("number"), F.when(value.isNotNull(), F.when(usn, "USN").otherwise("REG_NO")).alias("kind"), F.when(value.isNull(), term).alias("semester"))
+    digits = lambda x: F.regexp_like(x, F.lit("^[0-9]+$"))
+    semester = let(term, lambda x: F.when(~digits(x) | (F.try_to_number(x, F.lit("99")) <= 12), x))
+
+    def chosen(k: Column) -> Column:
+        usn = F.when(k["labelled"].isNotNull(), F.regexp_like(k["labelled"], F.lit("^" + _USN))).otherwise(k["earlier"].isNull() & k["bare"].isNotNull())
+        value = F.coalesce(k["labelled"], k["earlier"], k["bare"], k["alone"])
+        mended = F.when(usn & F.startswith(value, F.lit("I")), F.concat(F.lit("1"), F.substring(value, 2, 100))).otherwise(value)
+        return F.struct(mended.alias("number"), F.when(value.isNotNull(), F.when(usn, "USN").otherwise("REG_NO")).alias("kind"), F.when(value.isNull(), k["semester"]).alias("semester"))
+
+    kinds = F.struct(labelled.alias("labelled"), F.coalesce(long_number, by_month).alias("earlier"), bare_usn.alias("bare"), alone.alias("alone"), semester.alias("semester"))
+    return let(kinds, chosen)
 
 
 # Words about colleges.
@@ -78,6 +85,7 @@ SAFE_IN_NAME = ("ICSE", "CBSE", "SSLC", "PUC", "VTU")
 
 
 def clean_college(x: Column) -> Column:
+    # What comes before or is misread in names of colleges, removed in this order.
     x = F.trim(F.regexp_replace(x, r"(?i)^(?:NAME\sO[FT]\sTHE\s)?(?:COLLEGE|INSTITUTE|OFFICE|DEPARTMENT|SCHOOL)[:\-\s]*", ""))
     x = F.regexp_replace(x, r"^(?s)(.{0,15}?)[0-9]{3,6}-\s*", "")
     x = F.regexp_replace(x, "([A-Za-z])([0-9]+)([A-Za-z])", "$1 $2 $3")
@@ -105,8 +113,9 @@ def college(lines: Column, board: Column) -> Column:
 
 
 def fill_single_missing(subjects: Column, total: Column) -> Column:
-    """Give the only subject without marks what the others leave of the total, if that is 0 to 200."""
+    """Give the only subject without marks what the others leave of the total, if that is 0 to 200; each subject says whether it was adjusted so."""
     known = F.aggregate(F.filter(subjects, lambda s: s["marks"].isNotNull()), F.lit(0), lambda a, s: a + s["marks"])
     one = F.size(F.filter(subjects, lambda s: s["marks"].isNull())) == 1
     rest = total - known
-    return F.when(one & rest.between(0, 200), F.transform(subjects, lambda s: s.withField("marks", F.coalesce(s["marks"], rest)))).otherwise(subjects)
+    derived = lambda s: s["marks"].isNull() & one & rest.between(0, 200)
+    return F.transform(subjects, lambda s: s.withField("adjusted", F.coalesce(derived(s), F.lit(False))).withField("marks", F.when(derived(s), rest).otherwise(s["marks"])))

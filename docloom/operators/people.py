@@ -217,7 +217,11 @@ def same_subject(a: str, b: str) -> bool:
 def merged(subjects: list[dict], other: list[dict]) -> list[dict]:
     """Subjects of one recognition with marks filled from another; if that has further subjects with
     marks, they are put in, in its order, what only the first has at the end."""
-    out = [s | {"marks": next((o["marks"] for o in other if o["marks"] is not None and same_subject(s["subject"], o["subject"])), None)} if s["marks"] is None else dict(s) for s in subjects]
+    def filled(s: dict) -> dict:
+        found = next((o for o in other if o["marks"] is not None and same_subject(s["subject"], o["subject"])), None) if s["marks"] is None else None
+        return dict(s) if found is None else s | {k: found[k] for k in ("marks", "marks_raw", "adjusted") if k in found}
+
+    out = [filled(s) for s in subjects]
     new = [o for o in other if o["marks"] is not None and o["subject"] and not any(same_subject(s["subject"], o["subject"]) for s in out)]
     if not new:
         return out
@@ -269,7 +273,7 @@ def completed(subjects: list[dict], other: list[dict], total: int | None) -> tup
     if total is None and len(missing) < lost:
         total = known
     if total is not None and len(missing) == 1 and 0 <= total - known <= 200:
-        missing[0]["marks"] = total - known
+        missing[0] |= {"marks": total - known, "marks_raw": None, "adjusted": True}
     return out, total
 
 

@@ -1,4 +1,4 @@
-"""Set and ranking semantics over tables: modes with ties, bag intersection, nearest positions."""
+"""Set semantics over tables: bag intersection, keys by containment."""
 
 from __future__ import annotations
 
@@ -8,25 +8,12 @@ from pyspark.sql import functions as F
 from .sheets import CORE
 
 
-def mode_by(rows: DataFrame, keys: list[str], value: str, pos: str, least: int = 1) -> DataFrame:
-    """The most frequent value per key, the first met among equals, where it occurs `least` times; the
-    counts are aggregated before they move, so frequent values cost no more than rare ones."""
-    counted = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(pos).alias("first"))
-    best = counted.groupBy(*keys).agg(F.max(F.struct("n", (-F.col("first")).alias("early"), value)).alias("b"))
-    return best.where(F.col("b.n") >= least).select(*keys, F.col(f"b.{value}").alias(value), F.col("b.n").alias("n"))
-
-
 def ordered_intersection(a: DataFrame, b: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
     """Rows of a whose value b has too, each row of b used once, in a's order."""
     numbered = lambda x: x.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, value).orderBy(pos)))
     return numbered(a).join(numbered(b).select(*keys, value, "nth"), [*keys, value, "nth"], "left_semi").drop("nth")
 
 
-def nearest(candidates: Column, at: Column) -> Column:
-    """Of candidates (pos, text) the text nearest to a position, the first of equals."""
-    return F.get(F.array_sort(F.transform(candidates, lambda c, i: F.struct(F.abs(c["pos"] - at).alias("d"), i.alias("i"), c["text"].alias("text")))), F.lit(0))["text"]
-
-
 def core_key(name: Column) -> Column:
     """The longest core subject in a name, else the name in capitals."""
     up = F.upper(name)

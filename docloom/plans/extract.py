@@ -18,7 +18,7 @@ TYPES = {
     "aadhaar": "struct<name:string,date_of_birth:string,year_of_birth:string,gender:string,aadhaar_number:string>",
     "pan": "struct<name:string,father_name:string,pan_number:string,date_of_birth:string>",
     "driving_license": "struct<dl_number:string,name:string,dob:string>",
-    "marksheet": "struct<student_name:string,father_name:string,mother_name:string,college_name:string,subjects:array<struct<subject:string,marks:int,certainty:string,additional:boolean>>,total_marks:int,sgpa:double,cgpa:double,university:string,board:string,semester:string,usn:string,register_number:string>",
+    "marksheet": "struct<student_name:string,father_name:string,mother_name:string,college_name:string,subjects:array<struct<subject:string,marks:int,certainty:string,additional:boolean,marks_raw:int,adjusted:boolean>>,total_marks:int,sgpa:double,cgpa:double,university:string,board:string,semester:string,usn:string,register_number:string>",
 }
 
 
@@ -57,31 +57,30 @@ def marksheet(lines: Column) -> list[tuple[str, Column]]:
     ]
 
 
-def _finish(df: DataFrame) -> DataFrame:
-    for name, kind in TYPES.items():
-        df = df.withColumn(name, F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind))
-    return df.select("doc_id", "pass_no", "document_type", "reject_reason", "lines", *TYPES)
-
-
 def extract(documents: DataFrame) -> DataFrame:
     """Typed fields: document_type, reject_reason and one struct per class, the others null.
 
-    Branches by class are filtered apart before any vectorised function, so that each document meets only
-    the reader of its class; none of them shuffles.
+    One pass: a document is classified once, and each reader gets the lines of its own class and nulls for the
+    rest. Nothing shuffles.
     """
     seen = with_class(documents)
-    good = seen.where("reject_reason is null")
-    kind = lambda name: good.where(F.col("document_type") == name)
-    plain = [
-        kind("Aadhaar").withColumn("lines", F.col("texts")).withColumn("aadhaar", identity.aadhaar(F.col("texts"))),
-        kind("PAN").withColumn("lines", F.col("texts")).withColumn("pan", identity.pan(F.col("texts"), identity.reading_order(F.col("tokens")))),
-        kind("Driving License").withColumn("lines", F.col("texts")).withColumn("driving_license", identity.driving_licence(F.col("texts"))),
-        seen.where("reject_reason is not null").withColumn("lines", F.col("texts")),
-    ]
-    sheet = kind("Marksheet").withColumn("lines", lines_of(F.col("tokens"), F.col("height"), F.col("width")))
-    for name, column in marksheet(F.col("lines")):
-        sheet = sheet.withColumn(name, column)
-    return reduce(DataFrame.unionByName, [_finish(x) for x in (*plain, sheet)])
+    kind = F.when(F.col("reject_reason").isNull(), F.col("document_type"))
+    seen = seen.withColumn("kind", kind)
+    of = lambda name, x: F.when(F.col("kind") == name, x)
+    rows = seen.withColumn("lines", F.coalesce(of("Marksheet", lines_of(F.col("tokens"), F.col("height"), F.col("width"))), F.col("texts")))
+    texts = lambda name: of(name, F.col("texts"))
+    rows = rows.withColumns(
+        {
+            "aadhaar": of("Aadhaar", identity.aadhaar(texts("Aadhaar"))),
+            "pan": of("PAN", identity.pan(texts("PAN"), of("PAN", identity.reading_order(F.col("tokens"))))),
+            "driving_license": of("Driving License", identity.driving_licence(texts("Driving License"))),
+            "sheet_lines": of("Marksheet", F.col("lines")),
+        }
+    )
+    for name, column in marksheet(F.col("sheet_lines")):
+        rows = rows.withColumn(name, column)
+    rows = rows.withColumn("marksheet", of("Marksheet", F.col("marksheet")))
+    return rows.select("doc_id", "pass_no", "document_type", "reject_reason", "lines", *[F.col(n).cast(t).alias(n) for n, t in TYPES.items()])
 
 
 def letters(x: Column) -> Column:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows written to the folder the cluster names in spark.checkpoint.dir, or to a temporary one where
-    none is named, so that what follows is planned anew and survives lost executors."""
+    """The rows written to the folder the cluster names in spark.checkpoint.dir, so that what follows is planned
+    anew and survives lost executors. Where none is named, a local session gets a temporary one."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="docloom-"))
+        named = context.getConf().get("spark.checkpoint.dir", "")
+        if not named and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docloom-"))
     return df.checkpoint()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import text as tx
 from .operators import classify, identity, marks, metrics, people, relational, sheets
-from .operators.lines import group_lines, lines_of
-from .plans.extract import extract, recover
+from .operators.lines import group_lines, lines_of, unscale_boxes
+from .plans.extract import extract, marksheet, recover
 from .schema import DOCUMENT
 from .sources.records import as_json, masked
 
@@ -76,8 +78,9 @@ def long_digit_ids(spark, sf_dir):
 
 
 def token_mode(spark, sf_dir):
-    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.all_found(F.col("text"), "[A-Za-z]+")).alias("pos", "word"))
-    return relational.mode_by(words, ["doc_id"], "word", "pos", least=2)
+    """Each document's most frequent word, from the words in its row."""
+    words = _table(spark, sf_dir, "documents").select("doc_id", tx.mode_in(tx.all_found(F.col("text"), "[A-Za-z]+"), least=2).alias("mode"))
+    return words.where("mode is not null").select("doc_id", "mode.*")
 
 
 def repeated_lines(spark, sf_dir):
@@ -116,8 +119,7 @@ def spelt_numbers(spark, sf_dir):
 
 
 def repaired_spacing(spark, sf_dir):
-    rows = [(1, "CPROGRAMMING LABORTORY"), (2, "INSTITUTEOFTECHNOLOGY"), (3, "DISCRETEMATHEMATICS  AND HIND1"), (4, "plain")]
-    return fx.frame(spark, rows, "id long, text string").select("id", tx.repair_spacing(F.col("text")).alias("text"), tx.full_name(F.lit("vtu")).alias("full_name"))
+    return fx.frame(spark, fx.SPACINGS, "id long, text string, board string").select("id", tx.repair_spacing(F.col("text")).alias("text"), tx.full_name(F.col("board")).alias("full_name"))
 
 
 def aadhaar_fields(spark, sf_dir):
@@ -137,6 +139,46 @@ def sheet_subjects(spark, sf_dir):
     return rows.select("id", F.explode(sheets.subjects(F.col("lines"), F.col("board"))).alias("s")).select("id", "s.subject", F.col("s.marks").cast("long").alias("marks"), "s.certainty")
 
 
+def reconciled_marks(spark, sf_dir):
+    """Subjects of a university sheet under several totals, one of them missing."""
+    rows = fx.frame(spark, [(i, [*fx.UNIVERSITY_SHEET, end]) for i, end, *_ in fx.RECONCILED], "id long, lines array<string>")
+    name, sheet = marksheet(F.col("lines"))[0]
+    rows = rows.withColumn(name, sheet).select("id", F.col("sheet.total").cast("long").alias("total"), F.explode("sheet.subjects").alias("s"))
+    return rows.select("id", "s.subject", F.col("s.marks").cast("long").alias("marks"), F.col("s.marks_raw").cast("long").alias("marks_raw"), "s.adjusted", "total")
+
+
+def college_names(spark, sf_dir):
+    return fx.frame(spark, [r[:3] for r in fx.COLLEGES], "id long, lines array<string>, board string").select("id", marks.college(F.col("lines"), F.col("board")).alias("college"))
+
+
+def sheet_people(spark, sf_dir):
+    return fx.frame(spark, [r[:2] for r in fx.PEOPLE], "id long, lines array<string>").select("id", people.people(F.col("lines")).alias("p")).select("id", "p.*")
+
+
+def agreed_names(spark, sf_dir):
+    kind = "array<string>"
+    rows = fx.frame(spark, [r[:5] for r in fx.AGREED], f"id long, a {kind}, b {kind}, missing {kind}, known {kind}")
+    return rows.select("id", people.agreed_names(*[F.col(c) for c in ("a", "b", "missing", "known")]).alias("n")).select("id", "n.*")
+
+
+def letter_styles(spark, sf_dir):
+    rows = fx.frame(spark, [r[:4] for r in fx.LETTER_STYLES], "id long, lines array<string>, height int, width int")
+    return rows.select("id", classify.new_style_aadhaar(F.col("lines"), F.col("height"), F.col("width")).alias("new_style"))
+
+
+def unscaled_boxes(spark, sf_dir):
+    rows = fx.frame(spark, [(i, [(0, "x", box, None)], f) for i, box, f, _ in fx.SCALED], "id long, tokens array<struct<pos:int,text:string,box:array<array<double>>,conf:double>>, factor double")
+    rows = rows.select("id", F.explode(unscale_boxes(F.col("tokens"), F.col("factor"))).alias("t")).select("id", "t.conf", F.posexplode("t.box").alias("k", "p"))
+    return rows.select("id", F.col("k").cast("long").alias("k"), F.col("p")[0].alias("x"), F.col("p")[1].alias("y"), "conf")
+
+
+def reading_orders(spark, sf_dir):
+    box = lambda x, y, w, h: [[float(a), float(b)] for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    rows = [(i, [(k, t, box(*at), 0.9) for k, (t, *at) in enumerate(tokens)]) for i, tokens, _ in fx.TURNED]
+    df = fx.frame(spark, rows, "id long, tokens array<struct<pos:int,text:string,box:array<array<double>>,conf:double>>")
+    return df.select("id", F.posexplode(identity.reading_order(F.col("tokens"))).alias("place", "text")).select("id", F.col("place").cast("long").alias("place"), "text")
+
+
 def _subjects(pairs):
     return [(n, m, None, False) for n, m in pairs]
 
@@ -187,13 +229,17 @@ def extract_documents(spark, sf_dir):
     return as_json(extract(example_documents(spark)))
 
 
+#: The sheet with two marks missing, and a second recognition of it that finds one of them.
+SHEET_OF_TWO = [x.replace("SOCIAL SCIENCE 100 35 80", "SOCIAL SCIENCE 100") for x in SHEET]
+
+
 def recover_documents(spark, sf_dir):
-    first = extract(example_documents(spark))
-    again = [x.replace("MATHEMATICS 100", "MATHEMATICS 100 35 91") for x in SHEET]
-    return as_json(recover(first, extract(spark.createDataFrame([page(again, 401, 2)], DOCUMENT))))
+    first = extract(example_documents(spark).unionByName(spark.createDataFrame([page(SHEET_OF_TWO, 402)], DOCUMENT)))
+    again = [x.replace("MATHEMATICS 100", "MATHEMATICS 100 35 91") for x in SHEET_OF_TWO]
+    return as_json(recover(first, extract(spark.createDataFrame([page(again, 402, 2)], DOCUMENT))))
 
 
-QUERIES = {f.__name__: f for f in (classify_documents, class_counts, reject_reasons, lines_min_text, grouped_lines, grouped_lines_array, line_marks, decimal_pairs, long_digit_ids, token_mode, repeated_lines, core_keys, boards, grade_averages, totals, registers, spelt_numbers, repaired_spacing, aadhaar_fields, licence_fields, pan_fields, sheet_subjects, merged_subjects, single_missing, request_metrics, hourly_requests, masked_ids, extract_documents, recover_documents)}
+QUERIES = {f.__name__: f for f in (classify_documents, class_counts, reject_reasons, lines_min_text, grouped_lines, grouped_lines_array, line_marks, decimal_pairs, long_digit_ids, token_mode, repeated_lines, core_keys, boards, grade_averages, totals, registers, spelt_numbers, repaired_spacing, aadhaar_fields, licence_fields, pan_fields, sheet_subjects, reconciled_marks, college_names, sheet_people, agreed_names, letter_styles, unscaled_boxes, reading_orders, merged_subjects, single_missing, request_metrics, hourly_requests, masked_ids, extract_documents, recover_documents)}
 
 _DOC_LINES = "SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents"
 
@@ -226,6 +272,49 @@ def _expected(rows: list[tuple], names: str, keep: list[int], casts: dict[str, s
     return f"SELECT {columns} FROM {fx.values([tuple(r[k] for k in keep) for r in rows], names)}"
 
 
+def _document(i: int, kind: str | None, lines: list[str], reason: str | None = None, **fields) -> tuple[int, str]:
+    """A document as JSON, nulls left out, with fields that were derived by hand."""
+    have = {"pass_no": 1, "document_type": kind or "Unknown", "reject_reason": reason, "lines": lines} | {k: {n: v for n, v in x.items() if v is not None} for k, x in fields.items()}
+    return i, json.dumps({k: v for k, v in have.items() if v is not None}, separators=(",", ":"), ensure_ascii=False)
+
+
+def _mark(subject: str, value: int, read: bool = True) -> dict:
+    return {"subject": subject, "marks": value, "additional": False} | ({"marks_raw": value} if read else {}) | {"adjusted": not read}
+
+
+def _state_sheet(*subjects: dict) -> dict:
+    return {
+        "student_name": "TEST PERSON", "father_name": "OTHER PERSON", "mother_name": "THIRD PERSON", "subjects": list(subjects), "total_marks": 369,
+        "board": "KARNATAKA STATE SECONDARY EDUCATION EXAMINATION BOARD", "register_number": "AB12345",
+    }
+
+
+_LETTER, _CARD = fx.LETTERS[0], fx.CARDS
+_LANGUAGES = (_mark("FIRST LANGUAGE KANNADA", 110), _mark("SECOND LANGUAGE ENGLISH", 88))
+_EXTRACTED = [
+    _document(101, "Aadhaar", _LETTER[1], aadhaar={"name": _LETTER[2], "date_of_birth": _LETTER[3], "gender": _LETTER[5], "aadhaar_number": _LETTER[6]}),
+    *[_document(100 + k, None, x[1], "unknown_document") for k, x in ((2, fx.LETTERS[1]), (3, fx.LETTERS[2]))],
+    *[_document(200 + k, "PAN", x[1], pan={"name": x[4], "father_name": x[5], "pan_number": x[2], "date_of_birth": x[3]}) for k, x in ((1, _CARD[0]), (2, _CARD[1]))],
+    *[_document(300 + k, "Driving License", x[1], driving_license={"dl_number": x[2], "name": x[4], "dob": x[3]}) for k, x in ((1, fx.LICENCES[0]), (2, fx.LICENCES[1]))],
+    _document(401, "Marksheet", SHEET, marksheet=_state_sheet(*_LANGUAGES, _mark("MATHEMATICS", 91, read=False), _mark("SOCIAL SCIENCE", 80))),
+    _document(501, None, ["a", "b"], "too_little_text"),
+    _document(502, None, ["a", "b", "c"], "unknown_document"),
+]
+_RECOVERED = [*_EXTRACTED, _document(402, "Marksheet", SHEET_OF_TWO, marksheet=_state_sheet(*_LANGUAGES, _mark("MATHEMATICS", 91), _mark("SOCIAL SCIENCE", 80, read=False)))]
+_MARKS_READ = dict(zip(("ALGEBRA", "PRACTICE", "SYSTEMS"), (80, 30, 40), strict=True))
+
+
+def _mended() -> str:
+    """The spacing rules in SQL."""
+    t = "text"
+    for wrong, right in tx.SPACING.items():
+        t = f"replace({t}, {fx.literal(wrong)}, {fx.literal(right)})"
+    for words in ("OF|AND|FOR|THE", "INSTITUTE|COLLEGE|TECHNOLOGY|UNIVERSITY"):
+        t = f"regexp_replace({t}, '([A-Z])({words})\\b', '\\1 \\2', 'g')"
+    return f"trim(regexp_replace({t}, '\\s+', ' ', 'g'))"
+
+
+_NAMES = ", ".join(f"({fx.literal(k)}, {fx.literal(v)})" for k, v in tx.FULL_NAMES.items())
 _PICK = "CASE WHEN len(list_filter(nums, lambda v: v <> 0)) = 0 OR (len(nums) = 1 AND nums[1] IN (100, 125, 150)) OR nums[-1] > 200 THEN NULL ELSE nums[-1] END"
 
 ORACLE_SQL = {
@@ -255,6 +344,17 @@ ORACLE_SQL = {
     "totals": _expected(fx.TOTALS, "id, total", [0, 2], {"total": "BIGINT"}),
     "registers": _expected(fx.REGISTERS, "id, number, kind, semester", [0, 2, 3, 4]),
     "spelt_numbers": _expected(fx.SPELT, "id, value", [0, 2], {"value": "BIGINT"}),
+    "repaired_spacing": f"SELECT CAST(id AS BIGINT) AS id, {_mended()} AS text, coalesce((SELECT n FROM (VALUES {_NAMES}) k(s, n) WHERE s = upper(trim(board))), upper(trim(board))) AS full_name FROM {fx.values(fx.SPACINGS, 'id, text, board')}",
+    "sheet_subjects": _expected(fx.SHEET_MARKS, "id, subject, marks, certainty", [0, 1, 2, 3], {"marks": "BIGINT"}),
+    "reconciled_marks": _expected([(i, s, m, r, m != r, t) for i, _, after, t in fx.RECONCILED for (s, r), m in zip(_MARKS_READ.items(), after, strict=True)], "id, subject, marks, marks_raw, adjusted, total", [0, 1, 2, 3, 4, 5], {"marks": "BIGINT", "marks_raw": "BIGINT", "adjusted": "BOOLEAN", "total": "BIGINT"}),
+    "college_names": _expected(fx.COLLEGES, "id, college", [0, 3]),
+    "sheet_people": _expected(fx.PEOPLE, "id, student_name, father_name, mother_name", [0, 2, 3, 4]),
+    "agreed_names": _expected(fx.AGREED, "id, student_name, father_name, mother_name", [0, 5, 6, 7]),
+    "letter_styles": f"SELECT CAST(id AS BIGINT) AS id, height > CAST(1.15 AS DOUBLE) * width OR (len(list_filter(lines, lambda x: upper(trim(x)) IN ('TO', 'TO,'))) > 0 AND contains(upper(array_to_string(lines, ' ')), 'ENROLMENT')) AS new_style FROM {fx.values([r[:4] for r in fx.LETTER_STYLES], 'id, lines, height, width')}",
+    "unscaled_boxes": _expected([(i, k, x, y, 0.5) for i, _, _, box in fx.SCALED for k, (x, y) in enumerate(box)], "id, k, x, y, conf", [0, 1, 2, 3, 4], {"k": "BIGINT", "x": "DOUBLE", "y": "DOUBLE", "conf": "DOUBLE"}),
+    "reading_orders": _expected([(i, k, t) for i, _, texts in fx.TURNED for k, t in enumerate(texts)], "id, place, text", [0, 1, 2], {"place": "BIGINT"}),
+    "extract_documents": _expected(_EXTRACTED, "doc_id, json", [0, 1], {"doc_id": "BIGINT"}),
+    "recover_documents": _expected(_RECOVERED, "doc_id, json", [0, 1], {"doc_id": "BIGINT"}),
     "aadhaar_fields": _expected(fx.LETTERS, "id, name, date_of_birth, year_of_birth, gender, aadhaar_number", [0, 2, 3, 4, 5, 6]),
     "licence_fields": _expected(fx.LICENCES, "id, dl_number, dob, name", [0, 2, 3, 4]),
     "pan_fields": _expected(fx.CARDS, "id, pan_number, date_of_birth, name, father_name", [0, 2, 3, 4, 5]),

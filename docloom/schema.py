@@ -11,5 +11,6 @@ DOCUMENT = T.StructType(
         T.StructField("width", T.IntegerType()), T.StructField("center_std", T.DoubleType()), T.StructField("pass_no", T.IntegerType()), T.StructField("tokens", TOKENS),
     ]
 )
-SUBJECTS = T.ArrayType(T.StructType([T.StructField("subject", T.StringType()), T.StructField("marks", T.IntegerType()), T.StructField("certainty", T.StringType()), T.StructField("additional", T.BooleanType())]))
+#: marks_raw is the mark as it was read, null if the sheet gave none; adjusted tells that marks was moved or derived.
+SUBJECTS = T.ArrayType(T.StructType([T.StructField("subject", T.StringType()), T.StructField("marks", T.IntegerType()), T.StructField("certainty", T.StringType()), T.StructField("additional", T.BooleanType()), T.StructField("marks_raw", T.IntegerType()), T.StructField("adjusted", T.BooleanType())]))
 REQUEST = "ts timestamp_ntz, ok boolean, latency_ms double"
