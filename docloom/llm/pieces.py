@@ -6,9 +6,10 @@ of any path that reaches it; that is the exact remaining cost for an A* search r
 the end, so the search leaves the queue in order of total score and stops after N paths.
 
 No piece holds a space after another character, so paths of neighbouring words don't interact.
-Lattices are therefore built per word and kept, and the N best of a text are put together from its
-words: only the N - 1 words whose second-best path costs least can differ from the best path in
-any of the N best, and a best-first search over those gives them exactly.
+The forward pass therefore runs per word, over all new words of a batch at once, and also tells what a
+word's second-best path costs. Only the N - 1 words of a text where that is least can differ from the
+best path in any of its N best: for them the A* search gives the N best, and a best-first search over
+those gives the N best of the text exactly. This is the form the method takes here.
 
 Scores: a vocabulary of type unigram brings log probabilities. One of type BPE brings merge ranks,
 for which the log probability of a Zipf law over the rank stands in. A byte costs 10 more than the
@@ -21,17 +22,22 @@ import hashlib
 import heapq
 import math
 import re
+import zlib
 from array import array
 from dataclasses import dataclass, field
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NBEST = 4
-KEPT_WORDS = 400_000  # words whose paths a worker keeps; beyond that it starts afresh
-KEPT_LENGTH = 64
+KEPT_WORDS = 200_000  # words and letters of words whose paths a worker keeps; beyond that it starts afresh
+KEPT_LETTERS = 4_000_000
+LONG_WORD = 64  # longer words are cut where no piece reaches across
+ALPHABET = 0x250  # Latin scripts
 
 
 @dataclass
@@ -159,105 +165,283 @@ def word_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int,
     return out
 
 
+def independent(v: Vocabulary, word: str) -> list[str]:
+    """The parts of a long word between places that no piece reaches across."""
+    out, start, reach = [], 0, 0
+    for i in range(len(word)):
+        reach = max(reach, i + 1)
+        for j in range(i + 1, len(word) + 1):
+            hit = v.starts.get(word[i:j])
+            if hit is None:
+                break
+            if hit:
+                reach = max(reach, j)
+        if reach == i + 1:
+            out.append(word[start:reach])
+            start = reach
+    return out
+
+
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size], one behind the other."""
+    ends = np.cumsum(size)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+
+
+class Decoder:
+    def __init__(self, vocabulary: Vocabulary):
+        surface = [*vocabulary.surface, b""]  # the last for ids that are none
+        self.flat = np.frombuffer(b"".join(surface), np.uint8)
+        self.size = np.array([len(s) for s in surface], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.prefix = vocabulary.dummy_prefix
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of the runs of ids between the offsets."""
+        none = len(self.size) - 1
+        ids = np.where((ids >= 0) & (ids < none), ids, none)
+        raw = _gather(self.flat, self.start[ids], self.size[ids]).tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])[offsets].tolist()
+        parts = (raw[a:b] for a, b in zip(ends, ends[1:], strict=False))
+        return [(x[1:] if self.prefix and x[:1] == b" " else x).decode("utf-8", "replace") for x in parts]
+
+
+class Forward:
+    """The forward pass over the lattices of many words of one length at once.
+
+    The pieces are a trie over an alphabet: the letters and signs of Latin scripts that are pieces
+    themselves. Words with other characters, or long ones, go one by one; the results are the same.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        letters = sorted(c for c in v.pieces if len(c) == 1 and ord(c) < ALPHABET)
+        self.column = np.zeros(ALPHABET + 1, np.int32)
+        self.column[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        fits = set(letters)
+        states = {"": 1}
+        for p in sorted(v.starts, key=len):
+            if p[:-1] in states and p[-1] in fits:
+                states[p] = len(states) + 1
+        self.step = np.zeros((len(states) + 1, len(letters) + 1), np.int32)  # 0 is where no piece goes on
+        self.piece = np.full(len(states) + 1, -1, np.int32)
+        self.score = np.full(len(states) + 1, -np.inf)
+        for p, k in states.items():
+            if p:
+                self.step[states[p[:-1]], self.column[ord(p[-1])]] = k
+                if hit := v.starts[p]:
+                    self.piece[k], self.score[k] = hit[0], hit[1]
+
+    def __call__(self, words: list[str]):
+        """(order, score, loss, size, ids): indices of the words in the order of what follows: the best score, by how much
+        the second best is worse, the number of ids, and the ids one behind the other."""
+        out: list[tuple] = []
+        by_size: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(k)
+        for size, rows in by_size.items():
+            odd = rows
+            if size <= LONG_WORD:
+                points = np.frombuffer("".join([words[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
+                columns = self.column[np.minimum(points, ALPHABET)]
+                fine = (columns > 0).all(1)
+                if fine.any():
+                    out.append((np.array(rows)[fine], *self._solve(columns[fine].T.copy())))
+                odd = [rows[k] for k in np.flatnonzero(~fine)]
+            for k in odd:
+                score, ids, loss = best_two(self.v, words[k])
+                out.append(([k], [score], [loss], [len(ids)], np.array(ids, np.int32)))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _solve(self, columns: np.ndarray):
+        size, n = columns.shape
+        best, second = np.full((size + 1, n), -np.inf), np.full((size + 1, n), -np.inf)
+        start, piece = np.zeros((size + 1, n), np.int64), np.zeros((size + 1, n), np.int32)
+        best[0] = 0
+        for i in range(size):
+            state = np.ones(n, np.int32)
+            for j in range(i + 1, size + 1):
+                state = self.step[state, columns[j - 1]]
+                if not state.any():
+                    break
+                score = self.score[state]
+                x, y = best[i] + score, second[i] + score
+                better = x > best[j]
+                second[j] = np.where(better, np.maximum(best[j], y), np.maximum(second[j], x))
+                np.maximum(best[j], x, out=best[j])
+                start[j][better] = i
+                piece[j][better] = self.piece[state[better]]
+        at, everyone = np.full(n, size), np.arange(n)
+        ids = np.zeros((n, size), np.int32)  # filled from behind
+        count = np.zeros(n, np.int64)
+        while (on := at > 0).any():
+            rows, here = everyone[on], at[on]
+            count[rows] += 1
+            ids[rows, size - count[rows]] = piece[here, rows]
+            at[rows] = start[here, rows]
+        return best[size], best[size] - second[size], count, ids[np.arange(size) >= size - count[:, None]]
+
+
 class Encoder:
+    """Encodes batches of texts. The best path of a word, and what its second best loses, come from the forward
+    pass; the A* search runs for words where a text's N best may differ. Both are kept."""
+
     def __init__(self, vocabulary: Vocabulary, nbest: int = NBEST):
-        self.v, self.n, self.kept = vocabulary, nbest, {}
-
-    def best(self, word: str) -> tuple[float, tuple[int, ...], float]:
-        got = best_two(self.v, word)
-        if len(word) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[word] = got
-        return got
-
-    def encode(self, text: str) -> tuple[array, list, list]:
-        """Ids of the best path; for each of the N best its score and its (word, choice, ids) differences; the words' best."""
-        words = self.v.words.findall(f" {text}" if self.v.dummy_prefix and text else text)
-        kept, new = self.kept.get, self.best
-        found = [kept(w) or new(w) for w in words]
-        ids = array("i", chain.from_iterable([x[1] for x in found]))
-        total = math.fsum([x[0] for x in found])
-        near = heapq.nsmallest(self.n - 1, [(x[2], k) for k, x in enumerate(found) if x[2] < math.inf])
-        options = {k: word_paths(self.v, words[k], self.n) for _, k in near}
+        self.v, self.n = vocabulary, nbest
+        self.decoder = Decoder(vocabulary)
+        self.forward = Forward(vocabulary)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.names: list[str] = []
+        self.searched: dict[int, list[tuple[float, tuple[int, ...]]]] = {}
+        self.score, self.loss, self.size, self.flat = array("d"), array("d"), array("q"), array("i")
+        self.letters = 0
+
+    def _learn(self, words: list[str]) -> None:
+        order, score, loss, size, ids = self.forward(words)
+        first = len(self.names)
+        self.names += [words[k] for k in order.tolist()]
+        self.at.update(zip(self.names[first:], range(first, len(self.names)), strict=True))
+        for mine, new, kind in ((self.score, score, np.float64), (self.loss, loss, np.float64), (self.size, size, np.int64), (self.flat, ids, np.int32)):
+            mine.frombytes(np.ascontiguousarray(new, kind).tobytes())
+        self.letters += sum(map(len, words))
+
+    def paths(self, k: int, best: tuple[int, ...]) -> list[tuple[float, tuple[int, ...]]]:
+        """The N best paths of a word, of equals the one of the forward pass first."""
+        found = self.searched.get(k)
+        if found is None:
+            found = word_paths(self.v, self.names[k], self.n)
+            if found[0][1] != best:
+                rest = [x for x in found if x[1] != best]
+                found = [(found[0][0], best), *rest][: self.n]
+            self.searched[k] = found
+        return found
+
+    def words(self, text: str) -> list[str]:
+        found = self.v.words.findall(f" {text}" if self.v.dummy_prefix and text else text)
+        if max(map(len, found), default=0) > LONG_WORD:
+            found = [part for w in found for part in (independent(self.v, w) if len(w) > LONG_WORD else (w,))]
+        return found
+
+    def choices(self, words: np.ndarray, loss: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
+        """The N best of a text: what each loses against the best, and at which words it has which ids."""
+        few = self.n - 1
+        near = np.arange(len(loss)) if len(loss) <= few else np.flatnonzero(loss <= np.partition(loss, few - 1)[few - 1]) if few else np.arange(0)
+        near = near[np.argsort(loss[near], kind="stable")][:few].tolist()
+        near = [k for k in near if loss[k] < math.inf]
+        options = [self.paths(int(words[k]), tuple(ids[ends[k] : ends[k + 1]].tolist())) for k in near]
         queue: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]  # loss, choices by rank in `near`
-        best: list[tuple[float, tuple[tuple[int, int, tuple[int, ...]], ...]]] = []
+        best = []
         while queue and len(best) < self.n:
-            loss, choice = heapq.heappop(queue)
-            best.append((total - loss, tuple((near[r][1], c, options[near[r][1]][c][1]) for r, c in choice)))
+            lost, choice = heapq.heappop(queue)
+            best.append((lost, [(near[r], options[r][c][1]) for r, c in choice]))
             last = choice[-1] if choice else (-1, 0)
-            if choice:
-                mine = options[near[last[0]][1]]
-                if last[1] + 1 < len(mine):
-                    heapq.heappush(queue, (loss + mine[last[1]][0] - mine[last[1] + 1][0], (*choice[:-1], (last[0], last[1] + 1))))
+            if choice and last[1] + 1 < len(options[last[0]]):
+                mine = options[last[0]]
+                heapq.heappush(queue, (lost + mine[last[1]][0] - mine[last[1] + 1][0], (*choice[:-1], (last[0], last[1] + 1))))
             for r in range(last[0] + 1, len(near)):
-                heapq.heappush(queue, (loss + near[r][0], (*choice, (r, 1))))
-        return ids, best, found
+                heapq.heappush(queue, (lost + options[r][0][0] - options[r][1][0], (*choice, (r, 1))))
+        return best
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[tuple[float, np.ndarray]]]]:
+        """Ids of the best paths of all texts, where each text begins in them, and the N best (score, ids) of each."""
+        if len(self.at) > KEPT_WORDS or self.letters > KEPT_LETTERS:
+            self._clear()
+        by_text = [self.words(t) for t in texts]
+        flat_words = list(chain.from_iterable(by_text))
+        new = dict.fromkeys(w for w in flat_words if w not in self.at)
+        if new:
+            self._learn(list(new))
+        word = np.fromiter(map(self.at.__getitem__, flat_words), np.int64, len(flat_words))
+        score, loss, size = np.array(self.score), np.array(self.loss), np.array(self.size)
+        start = np.cumsum(size) - size
+        count = size[word]
+        ids = _gather(np.array(self.flat, np.int32), start[word], count)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        bounds = np.cumsum([0, *map(len, by_text)])
+        offsets = ends[bounds]
+        best = []
+        for a, b in zip(bounds.tolist(), bounds.tolist()[1:], strict=False):
+            total = float(score[word[a:b]].sum())
+            mine = []
+            for lost, choice in self.choices(word[a:b], loss[word[a:b]], ids, ends[a : b + 1]):
+                at, parts = ends[a], []
+                for k, other in sorted(choice):
+                    parts += [ids[at : ends[a + k]], np.array(other, np.int32)]
+                    at = ends[a + k + 1]
+                mine.append((total - lost, np.concatenate([*parts, ids[at : ends[b]]])))
+            best.append(mine)
+        return ids, offsets, best
 
     def nbest_ids(self, text: str) -> list[tuple[float, list[int]]]:
-        _, best, found = self.encode(text)
-        out = []
-        for score, choice in best:
-            at = {k: ids for k, _, ids in choice}
-            out.append((score, list(chain.from_iterable(at.get(k, x[1]) for k, x in enumerate(found)))))
-        return out
+        return [(score, ids.tolist()) for score, ids in self.encode([text])[2][0]]
 
-    def decode(self, ids) -> str:
-        raw = b"".join(map(self.v.surface.__getitem__, ids))
-        return raw[1 if self.v.dummy_prefix and raw[:1] == b" " else 0 :].decode("utf-8", "replace")
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}  # of a worker process, so that what one task has searched serves the next
 
 
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, nbest: int = NBEST) -> DataFrame:
     """Encode the text of each row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Returns doc_id, n_chars, pieces (ids of the best path), n_pieces, scores (of the N best,
-    descending), nbest_sha256 (of each of the N best's ids as little-endian int32), decoded_sha256
-    (of the pieces decoded again) and round_trip (decoding gave back the text). Null text counts as
-    empty; an empty text has no pieces and one path of score 0. Rows are treated one by one, so
-    repeated rows, null ids and empty tables need no rule.
+    Returns doc_id, n_chars, n_pieces, pieces (ids of the best path), scores (of the N best,
+    descending), others (ids of the second best to the N-th), decoded_sha256 (of the text that the
+    pieces decode to) and round_trip (whether that is the text). A text with fewer than N
+    segmentations has as many as there are. Null text counts as empty; an empty text has no pieces
+    and one path of score 0. Rows are treated one by one, so repeated rows, null ids and empty tables
+    need no rule.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(load(model))  # as large as the vocabulary
+    vocabulary = load(model)
+    key = (f"{model} {zlib.crc32(repr(sorted(vocabulary.pieces.items())).encode())}", nbest)
+    shared = spark.sparkContext.broadcast(vocabulary)  # as large as the vocabulary
 
     def run(batches):
-        encoder = Encoder(shared.value, nbest)
+        encoder = _ENCODERS.get(key)
+        if encoder is None:
+            _ENCODERS.clear()
+            encoder = _ENCODERS[key] = Encoder(shared.value, nbest)
         for batch in batches:
-            values, offsets, rows = array("i"), [0], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                ids, best, found = encoder.encode(text)
-                values.extend(ids)
-                offsets.append(len(values))
-                starts = None
-                hashes = []
-                for _, choice in best:
-                    if not choice:
-                        hashes.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                        continue
-                    if starts is None:
-                        starts, at = [], 0
-                        for x in found:
-                            starts.append(at)
-                            at += len(x[1])
-                    digest, at = hashlib.sha256(), 0
-                    raw = memoryview(ids).cast("B")
-                    for k, _, other in sorted(choice):
-                        digest.update(raw[4 * at : 4 * starts[k]])
-                        digest.update(array("i", other).tobytes())
-                        at = starts[k] + len(found[k][1])
-                    digest.update(raw[4 * at :])
-                    hashes.append(digest.hexdigest())
-                back = encoder.decode(ids)
-                rows.append((len(text), len(ids), [s for s, _ in best], hashes, hashlib.sha256(back.encode()).hexdigest(), back == text))
-            chars, count, scores, hashes, decoded, same = zip(*rows, strict=True) if rows else [()] * 6
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            ids, offsets, best = encoder.encode(texts)
+            back = encoder.decoder.texts(ids, offsets)
+            others = [x for mine in best for _, x in mine[1:]]
+            inner = np.cumsum([0, *map(len, others)])
+            outer = np.cumsum([0, *(len(mine) - 1 for mine in best)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(chars, pa.int64()), pa.array(count, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(values), pa.int32())),
-                    pa.array(scores, pa.list_(pa.float64())), pa.array(hashes, pa.list_(pa.string())), pa.array(decoded, pa.string()), pa.array(same, pa.bool_()),
+                    batch.column("doc_id"), pa.array(list(map(len, texts)), pa.int64()), pa.array(np.diff(offsets), pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
+                    pa.array([[s for s, _ in mine] for mine in best], pa.list_(pa.float64())),
+                    pa.ListArray.from_arrays(pa.array(outer, pa.int32()), pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.concatenate([ids[:0], *others])))),
+                    pa.array([hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back], pa.string()),
+                    pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
                 ],
-                ["doc_id", "n_chars", "n_pieces", "pieces", "scores", "nbest_sha256", "decoded_sha256", "round_trip"],
+                ["doc_id", "n_chars", "n_pieces", "pieces", "scores", "others", "decoded_sha256", "round_trip"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_chars long, n_pieces long, pieces array<int>, scores array<double>, nbest_sha256 array<string>, decoded_sha256 string, round_trip boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_chars long, n_pieces long, pieces array<int>, scores array<double>, others array<array<int>>, decoded_sha256 string, round_trip boolean")
+
+
+def decode(rows: DataFrame, pieces: str = "pieces", model: str = DEFAULT_MODEL) -> DataFrame:
+    """Decode a column of piece ids of ``rows`` (doc_id, array<int>; other columns are ignored).
+
+    Returns doc_id, text. Null ids give a null text, an empty array an empty one. Ids that are null, outside the
+    vocabulary or of control pieces stand for nothing; bytes that make no character become U+FFFD.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(load(model))  # as large as the vocabulary
+
+    def run(batches):
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            lists = batch.column("ids").to_pylist()
+            flat = np.array([-1 if i is None else i for x in lists for i in x or ()], np.int64)
+            texts = decoder.texts(flat, np.cumsum([0, *(len(x or ()) for x in lists)]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if x is None else t for x, t in zip(lists, texts, strict=True)], pa.string())], ["doc_id", "text"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", F.col(pieces).cast("array<int>").alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
