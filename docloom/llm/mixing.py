@@ -21,7 +21,8 @@ from .common import cut
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_PASSES = 3
-RANGES = 1024  # ranges of virtual time between 0 and 1
+ROWS_A_RANGE = 1000  # about so many documents finish in a range of virtual time
+MAX_RANGES = 1 << 20
 BROADCAST_SOURCES = 50_000  # a larger table of sources is joined by shuffling
 
 
@@ -61,6 +62,7 @@ def mix(docs: DataFrame, seed: str = "mix", with_source: bool = False) -> DataFr
     sizes = cut(sizes)
     n = sizes.count()
     digits = min(5, max(2, math.ceil(math.log(max(n, 1) / 1000 + 1, 16))))
+    ranges = min(MAX_RANGES, max(64, n // ROWS_A_RANGE))  # of virtual time between 0 and 1
     targets = cut(source_targets(sizes))
     small = targets.count() <= BROADCAST_SOURCES
     joined = sizes.withColumnRenamed("source", "of").join(F.broadcast(targets) if small else targets, F.col("of").eqNullSafe(F.col("source")))
@@ -74,17 +76,17 @@ def mix(docs: DataFrame, seed: str = "mix", with_source: bool = False) -> DataFr
 
     copies = queued.withColumn("copy", F.explode(F.array(*[F.lit(i) for i in range(MAX_PASSES)])))
     copies = copies.withColumn("finish", F.when(F.col("target") > 0, (F.col("copy") * F.col("source_size") + F.col("upto")).cast("double") / F.col("target")))
-    copies = copies.withColumn("range", F.least(F.floor(F.coalesce("finish", F.lit(2.0)) * RANGES), F.lit(2 * RANGES)))
-    spread = F.when(F.col("range") == 2 * RANGES, F.substring("h", 1, digits)).otherwise(F.lit(""))  # far beyond the cut, order no longer matters
-    copies = copies.withColumn("spread", spread).withColumn("budget_size", F.when(F.col("range") < 2 * RANGES, F.col("size")).otherwise(F.lit(0)))
+    copies = copies.withColumn("range", F.least(F.floor(F.coalesce("finish", F.lit(2.0)) * ranges), F.lit(2 * ranges)))
+    spread = F.when(F.col("range") == 2 * ranges, F.substring("h", 1, digits)).otherwise(F.lit(""))  # far beyond the cut, order no longer matters
+    copies = copies.withColumn("spread", spread).withColumn("budget_size", F.when(F.col("range") < 2 * ranges, F.col("size")).otherwise(F.lit(0)))
     copies = cut(copies.select("doc_id", "source", "size", "source_size", "target", "sid", "cell", "rn", "h", "copy", "finish", "range", "spread", "budget_size"))
     totals = copies.groupBy("range").agg(F.sum("budget_size").alias("n"))
     ahead = totals.withColumn("ahead", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).select("range", "ahead")
     budget = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("budget"))
     queue = Window.partitionBy("range", "spread").orderBy("finish", "h", "doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, 0)
     cum = copies.withColumn("within", F.sum("size").over(queue) - F.col("size"))
-    cum = cum.join(F.broadcast(ahead), "range").join(F.broadcast(budget))  # at most 2 * RANGES + 1 rows, and one
-    got = F.when(F.col("range") < 2 * RANGES, F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("ahead") - F.col("within")))).otherwise(F.lit(0))
+    cum = cum.join(F.broadcast(ahead) if ranges <= BROADCAST_SOURCES else ahead, "range").join(F.broadcast(budget))  # 2 * ranges + 1 rows, and one
+    got = F.when(F.col("range") < 2 * ranges, F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("ahead") - F.col("within")))).otherwise(F.lit(0))
     out = cum.groupBy("sid", "cell", "rn", "doc_id", "source", "size", "source_size", "target").agg(F.sum(got).cast("long").alias("taken"))
     return out.select("doc_id", "size", "source_size", "target", "taken", *(["source"] if with_source else []))
 
@@ -97,20 +99,20 @@ def copies_taken(docs: DataFrame) -> DataFrame:
     order of text. All columns of ``docs`` are kept; n_chars, if there, is counted again.
     """
     mine = ["doc_id", "source", "size"]
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rank = F.row_number().over(Window.partitionBy(*mine).orderBy("text"))
+    sized = docs.select(F.struct("*").alias("row"), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), "text").withColumn("rank", rank)
     taken = mix(docs, with_source=True).select(*[F.col(c).alias(f"{c}_taken") for c in mine], "taken")
     taken = taken.withColumn("rank_taken", F.row_number().over(Window.partitionBy(*[f"{c}_taken" for c in mine]).orderBy("taken")))
-    same = F.col("doc_id").eqNullSafe(F.col("doc_id_taken")) & F.col("source").cast("string").eqNullSafe(F.col("source_taken")) & (F.col("size") == F.col("size_taken"))
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_taken")) & F.col("source").eqNullSafe(F.col("source_taken")) & (F.col("size") == F.col("size_taken"))
     same &= (F.col("rank") <= F.col("rank_taken")) & (F.col("rank") >= F.col("rank_taken"))  # not a key, so that both windows' shuffles serve the join
-    both = sized.withColumn("rank", rank).join(taken, same).where("taken > 0")
+    both = sized.join(taken, same).where("taken > 0")
     copy = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
     both = both.withColumn("copy", copy).withColumn("words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.col("words").cast("int")), " ")
-    both = both.withColumn("text", F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return both.select(docs.columns)
+    text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("text"))
+    made = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return both.select(*[made[c].alias(c) if c in made else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
