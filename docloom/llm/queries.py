@@ -16,7 +16,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("kept_text", "text")
 
 
 def op2_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

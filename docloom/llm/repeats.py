@@ -299,7 +299,7 @@ def _open_windows(length: int, borders: dict[int, tuple]):
     return run
 
 
-def _removed(length: int, keep_text: bool):
+def _removed(length: int):
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
@@ -316,32 +316,22 @@ def _removed(length: int, keep_text: bool):
                     rest.append(raw[at:s])
                     at = e
                 kept = b"".join([*rest, raw[at:]]) if spans else raw
-                for c, v in zip(out, (len(raw), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None), strict=True):
+                for c, v in zip(out, (len(raw), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if spans else text), strict=True):
                     c.append(v)
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string())]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if keep_text:
-                arrays.append(pa.array(out[4], pa.string()))
-                names.append("kept_text")
-            own = [c for c in batch.schema.names if c not in ("text", "cuts")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), *arrays], [*own, *names])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("own"), *arrays], ["own", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """Remove repeated strings of ``length`` bytes from the text of ``docs`` (doc_id, text).
-
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row, with keep_text also the
-    input's other columns under their names and kept_text, of which bytes that no longer make a
-    character are left out. Null text counts as empty; texts shorter than ``length`` stay whole;
-    repeated rows count as different documents, so they lose everything long enough; a null doc_id
-    is an id like any other; an empty table gives an empty result.
-    """
+def _removal(docs: DataFrame, columns: list[str], length: int, gram: int, group: int) -> DataFrame:
+    """Rows (own: a struct of the columns but text, n_bytes, n_removed, n_spans, kept_sha256, kept_text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     keys = {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "x": F.hash(text)}
-    plain = docs.select(F.col("doc_id"), *[c.alias(k) for k, c in keys.items()], text.alias("text"))
+    own = F.struct(*[c for c in columns if c != "text"])
+    plain = docs.select(own.alias("own"), *[c.alias(k) for k, c in keys.items()], text.alias("text"))
     found, at_found = written(plain.where(F.octet_length("text") >= length).select("d", "x", "text").mapInArrow(_stretch_rows(length, gram), "d long, x int, lo long, hi long, a long, key long, cls binary"))
 
     twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -365,14 +355,25 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGT
     shared = open_.groupBy("win").agg(F.count_distinct("cls").alias("n")).where("n > 1").select("win")
     settled = marks.where("win is null").select("cls", "o1", "o2").union(open_.join(shared, "win", "left_semi").select("cls", "o1", "o2"))
     cuts = found.join(settled, "cls").groupBy("d", "x").agg(F.collect_set(F.shiftleft(F.col("lo") + F.col("o1"), 32).bitwiseOR(F.col("lo") + F.col("o2"))).alias("cuts"))
-    cuts, _ = written(cuts)
+    cuts, _ = written(cuts)  # the result reads it
     drop(spark, at_found, at_marks, at_settled)
-    if keep_text:
-        base = docs.withColumn("text", text).withColumns(keys).join(cuts, ["d", "x"], "left").drop("d", "x")
-        own = [f for f in docs.schema.fields if f.name != "text"]
-    else:
-        base = plain.join(cuts, ["d", "x"], "left").select("doc_id", "text", "cuts")
-        own = [docs.schema["doc_id"]]
-    base = base.select(*[f.name for f in own], "text", "cuts")
-    extra = ", kept_text string" if keep_text else ""
-    return base.mapInArrow(_removed(length, keep_text), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + f", n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
+    own_kind = plain.schema["own"].dataType.simpleString()
+    return plain.join(cuts, ["d", "x"], "left").select("own", "text", "cuts").mapInArrow(_removed(length), f"own {own_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """Remove repeated strings of ``length`` bytes from the text of ``docs`` (doc_id, text).
+
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each row; of kept_text,
+    bytes that no longer make a character are left out. Null text counts as empty; texts shorter
+    than ``length`` stay whole; repeated rows count as different documents, so they lose everything
+    long enough; a null doc_id is an id like any other; an empty table gives an empty result.
+    """
+    return _removal(docs, ["doc_id"], length, gram, group).select("own.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """The rows and columns of ``docs`` with kept_text for text; n_chars, if there, is counted again."""
+    out = _removal(docs, docs.columns, length, gram, group)
+    made = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*[made[c].alias(c) if c in made else F.col("own")[c].alias(c) for c in docs.columns])
