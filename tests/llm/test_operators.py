@@ -7,15 +7,20 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from docloom.llm import common, fingerprint, language, mixing, near, pages, pieces, quality, repeats, vectors, warc
+from docloom.llm import cluster, common, fingerprint, html_tree, language, mixing, near, pages, pieces, quality, repeats, vectors, warc
 from docloom.llm.suffixes import LoserTree, common_prefix, decode, front_code
 
-DOC = "doc_id long, text string, source string, lang string, n_chars long, key string, h string, d long, n long"
+DOC = "doc_id long, text string, source string, lang string, n_chars long, key string, h string, d long, n long, x int, size long, rank int, copy int, words int, taken long, cuts string, own string, row string, node long"
+CLASHING = (0, "k", "h", 1, 2, 3, 78, 5, 6, 7, 8, "c", "o", "r", 9)
 
 
 def table(spark, rows):
     """(doc_id, text, source, lang), with columns whose names the operators use inside."""
-    return spark.createDataFrame([(*r, 0, "k", "h", 1, 2) for r in rows], DOC)
+    return spark.createDataFrame([(*r, *CLASHING) for r in rows], DOC)
+
+
+def own_columns(row):
+    return tuple(row)[5:] == CLASHING[1:]
 
 
 def roots(n, links):
@@ -61,9 +66,22 @@ def test_repeats(spark, group):
             parts.append(b[r.randint(0, 40) : r.randint(50, 90)] + r.choice("xyz"))
         texts.append("".join(parts))
     rows = [(i, t, "s", "en") for i, t in enumerate(texts)] + [(7, texts[7], "s", "en"), (None, texts[8], "s", "en")]
-    got = sorted(tuple(x)[1:] for x in repeats.remove_repeats(table(spark, rows), length=40, gram=8, group=group).collect())
-    assert got == sorted(brute_repeats([(t or "").encode() for _, t, *_ in rows], 40))
+    out = repeats.remove_repeats(table(spark, rows), length=40, gram=8, group=group).collect()
+    want = brute_repeats([(t or "").encode() for _, t, *_ in rows], 40)
+    assert sorted(tuple(x)[1:5] for x in out) == sorted(want)
+    assert all(hashlib.sha256(x.kept_text.encode()).hexdigest() == x.kept_sha256 for x in out if "é" not in (texts[x.doc_id or 0] or ""))
     assert repeats.remove_repeats(table(spark, rows).limit(0)).count() == 0
+    kept = repeats.without_repeats(table(spark, rows), length=40, gram=8, group=group).collect()
+    assert all(own_columns(x) and x.n_chars == len(x.text) for x in kept)
+    assert sorted((str(x.doc_id), x.text) for x in kept) == sorted((str(x.doc_id), x.kept_text) for x in out)
+
+
+def test_repeats_in_a_long_text(spark):
+    r = random.Random(25)
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(1_300_000))
+    rows = [(1, long, "s", "en"), (2, "x" + long[700_000:700_600] + "y", "s", "en"), (3, long[:300], "s", "en")]
+    out = {x.doc_id: x for x in repeats.remove_repeats(table(spark, rows)).collect()}
+    assert (out[1].n_removed, out[1].n_spans, out[2].kept_text, out[3].n_removed) == (600, 1, "xy", 0)
 
 
 def test_loser_tree():
@@ -96,13 +114,44 @@ def test_pieces(spark):
         go(0, 0.0, [])
         return sorted(out, key=lambda x: -x[0])[:n]
 
-    for s in ("a", "the cat", "in, on", "x\n漢y", "▁ b", "  z"):
+    for s in ("a", "the cat", "in, on", "x\n漢y", "▁ b", "  z", "aaaaaa"):
         got, want = e.nbest_ids(s), brute(s, pieces.NBEST)
         assert np.allclose([x for x, _ in got], [x for x, _ in want])
-        assert len({tuple(i) for _, i in got}) == len(got) and e.decode(got[0][1]) == s
-    rows = [(1, "Hello, world", "s", "en"), (2, None, "s", "en"), (3, "", "s", "en"), (None, "▁\x00", "s", "en"), (1, "Hello, world", "s", "en")]
-    out = pieces.encode(table(spark, rows)).collect()
-    assert all(x.round_trip for x in out) and [x.n_pieces for x in out if x.doc_id in (2, 3)] == [0, 0]
+        assert len({tuple(i) for _, i in got}) == len(got)
+        assert all(e.decoder.texts(np.array(i), np.array([0, len(i)])) == [s] for _, i in got)
+    rows = [(1, "Hello, world", "s", "en"), (2, None, "s", "en"), (3, "", "s", "en"), (None, "▁\x00", "s", "en"), (1, "Hello, world", "s", "en"), (9, "漢字" * 90 + "b" * 200, "s", "en")]
+    df = pieces.encode(table(spark, rows))
+    out = df.collect()
+    assert all(x.round_trip and len(x.scores) == 1 + len(x.others) for x in out) and [x.n_pieces for x in out if x.doc_id in (2, 3)] == [0, 0]
+    for x in out:
+        text = next(t or "" for i, t, *_ in rows if i == x.doc_id)
+        assert [x.pieces, *x.others] == [i for _, i in e.nbest_ids(text)] and np.allclose(x.scores, [s for s, _ in e.nbest_ids(text)])
+    again = {(x.doc_id, x.text) for x in pieces.decode(df).collect()}
+    assert again == {(i, t or "") for i, t, *_ in rows}
+    second = df.selectExpr("doc_id", "get(others, 0) as ids").where("ids is not null")
+    assert {(x.doc_id, x.text) for x in pieces.decode(second, "ids").collect()} == {(i, t) for i, t, *_ in rows if t and i is not None}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None, -5, 10**6, 1])], "doc_id long, pieces array<int>")
+    assert {x.doc_id: x.text for x in pieces.decode(odd).collect()} == {1: None, 2: "", 3: ""}
+    assert pieces.encode(table(spark, rows).limit(0)).count() == pieces.decode(odd.limit(0)).count() == 0
+
+
+def test_pieces_of_a_long_text():
+    e = pieces.Encoder(pieces.load())
+    r = random.Random(4)
+    text = " ".join("".join(r.choice("etaoinshr") for _ in range(r.randint(1, 9))) for _ in range(200_000)) + "漢" * 100_000
+    ids, offsets, best = e.encode([text, "a"])
+    assert e.decoder.texts(ids, offsets) == [text, "a"]
+    assert all(e.decoder.texts(x, np.array([0, len(x)])) == [text] for _, x in best[0]) and len(best[0]) == pieces.NBEST
+    assert all(a[0] >= b[0] for a, b in zip(best[0], best[0][1:], strict=False))
+
+
+def test_parts_of_a_long_word_are_independent():
+    v = pieces.load()
+    for word in ("internationalisation" * 5, "漢字b" * 30, "0x" * 40 + "\n" * 3):
+        parts = pieces.independent(v, word)
+        assert "".join(parts) == word
+        whole = [s for s, _ in pieces.word_paths(v, word, 1)]
+        assert np.allclose(whole, sum(pieces.word_paths(v, p, 1)[0][0] for p in parts))
 
 
 def test_mix(spark):
@@ -122,6 +171,11 @@ def test_mix(spark):
     copies = mixing.copies_taken(table(spark, rows))
     words = copies.select("text").toPandas()["text"].map(lambda t: len(t.split())).sum()
     assert words == sum(x.taken for x in out)
+    kept = copies.collect()
+    assert all(own_columns(x) and x.n_chars == len(x.text) for x in kept)
+    count = Counter((x.doc_id, x.source) for x in kept)
+    assert all(n <= 3 * sum(x.doc_id == k[0] and x.source == k[1] for x in out) for k, n in count.items())
+    assert mixing.copies_taken(table(spark, rows).limit(0)).count() == 0
 
 
 def test_near_documents(spark):
@@ -167,6 +221,62 @@ def test_near_short_documents(spark):
     assert [got[i] for i in range(n)] == roots(n, links)
 
 
+def test_labels_of_repeats_do_not_part_texts(spark):
+    """A text with one shingle repeated shares sketches with a copy in which nothing repeats."""
+    hashes = near.WordHashes()
+    words = [f"w{k}" for k in range(120)]
+    again = [*words[:5], *words]
+    a, b = (near.shingles(" ".join(t), hashes) for t in (words, again))
+    assert set(near.sketches(near.labelled(a))) & set(near.sketches(near.labelled(b)))
+
+
+def test_near_rows_that_share_ids(spark):
+    r = random.Random(15)
+    text = lambda n=60: [f"w{r.randrange(500)}" for _ in range(n)]
+    one, two = text(), text()
+    near_one = [*one[:30], "x", *one[31:]]
+    join = " ".join
+    rows = [(1, join(one)), (1, join(two)), (2, join(near_one)), (None, join(one)), (None, join(near_one)), (3, None), (3, None), (4, join(two)), (4, join(two)), (5, ""), (6, ""), (0, "short text")]
+    got = near.deduplicated(table(spark, [(*x, "s", "en") for x in rows])).collect()
+    assert sorted((str(x.doc_id), str(x.text)) for x in got) == sorted([("1", join(one)), ("1", join(two)), ("3", "None"), ("3", "None"), ("5", ""), ("0", "short text")])
+    assert all(own_columns(x) for x in got)
+    out = Counter((x.doc_id, x.class_id, x.kept) for x in near.near_duplicates(table(spark, [(*x, "s", "en") for x in rows])).collect())
+    assert out == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True), (None, None, True), (3, 3, True), (3, 3, True), (4, 1, False), (4, 1, False), (5, 5, True), (6, 5, False), (0, 0, True)])
+    long = " ".join(f"w{k}" for k in range(250_000))
+    rows = [(1, long), (2, long.replace("w17 ", "y ")), (3, "w1 w2 w3 w4 w5 w6")]
+    assert {x.doc_id: x.class_id for x in near.near_duplicates(table(spark, [(*x, "s", "en") for x in rows])).collect()} == {1: 1, 2: 1, 3: 3}
+    assert near.deduplicated(table(spark, []).limit(0)).count() == 0
+
+
+def test_classes_over_blocks(spark):
+    """Members of a bucket are linked if close, over blocks of a few: chains that go from block to block, and several classes in one bucket."""
+    r = random.Random(5)
+    value = {k: r.randrange(1000) for k in range(150)}
+    members = [(1, k, 1) for k in range(120)] + [(2, k, 1) for k in range(100, 150)] + [(3, k, 1) for k in range(100, 150)]
+
+    def make():
+        def compare(payloads):
+            v = np.array([p[0] for p in payloads])
+            return np.abs(v[:, None] - v[None, :]) <= 6, lambda i, j: abs(int(v[i]) - int(v[j])) <= 6
+
+        return compare
+
+    links = [(a, b) for a in range(150) for b in range(a) if abs(value[a] - value[b]) <= 6 and ((a < 120 and b < 120) or (a >= 100 and b >= 100))]
+    want = roots(150, links)
+    df = spark.createDataFrame(members, "bucket long, node long, size long")
+    payload = spark.createDataFrame(list(value.items()), "node long, value int")
+    got = {x.node: x.root for x in cluster.linked_classes(df, payload, make, block=7).collect()}
+    assert [got.get(k, k) for k in range(150)] == want and len(set(want)) > 5
+    assert cluster.linked_classes(df.limit(0), payload, make).count() == 0
+
+
+def test_common_counts():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 60, r.integers(0, 40))).astype(np.uint64) for _ in range(70)]
+    got = near.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(70) for j in range(i + 1, 70))
+
+
 def test_alignment_keeps_order():
     a = np.arange(100, dtype=np.uint64)
     assert near.aligned(a, np.delete(a, [3, 50]))
@@ -202,12 +312,57 @@ def test_pages(spark):
     assert got[2] == got[None] == ""
 
 
-def test_decoding_never_contradicts():
+def test_decoding_is_the_best_labelling_without_contradiction():
+    from itertools import product
+
     r = np.random.default_rng(1)
-    for _ in range(50):
-        parents = [-1] + [int(r.integers(0, k)) for k in range(1, 30)]
-        chosen = pages.decode(parents, r.random(30), np.ones(30))
-        assert len(chosen) == 30
+    for _ in range(40):
+        n = int(r.integers(2, 8))
+        parents = [-1] + [int(r.integers(0, k)) for k in range(1, n)]
+        p, weight = r.random(n), 1 + 3 * r.random(n)
+
+        def worth(label, parents=parents, p=p, weight=weight):
+            """label: 0 outside, 1 main, 2 boilerplate within a main part; None if it contradicts its parent's."""
+            total = 0.0
+            for k, x in enumerate(label):
+                up = label[parents[k]] if k else 0
+                if (up == 0 and x == 2) or (up == 1 and x == 0) or (up == 2 and x != 2):
+                    return None
+                total += weight[k] * float(np.log(p[k]) if x == 1 else np.log1p(-p[k]))
+                total -= pages.START * (up == 0 and x == 1) + pages.SWITCH * (up == 1 and x == 2)
+            return total
+
+        best = max((w, x) for x in product(range(3), repeat=n) if (w := worth(x)) is not None)
+        assert pages.decode(parents, p, weight) == [v == 1 for v in best[1]]
+
+
+def test_held_out_pages(spark):
+    """Pages of another seed than the trained ones: nearly all texts are the article's, word for word."""
+    model = pages.trained()
+    grammar = pages.Grammar(seed=77)
+    exact, overlap = 0, []
+    for _ in range(120):
+        page = grammar.page()
+        nodes, _, _ = pages.describe(html_tree.parse(page))
+        want = pages.print_blocks(nodes, [node.judge == "1" for node in nodes])
+        got = pages.extract(page, model)
+        exact += got == want
+        a, b = Counter(got.split()), Counter(want.split())
+        overlap.append(2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values())) if a or b else 1.0)
+    assert exact >= 100 and np.mean(overlap) > 0.94
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for part in ('<a "', "</b>", "<b>", "<div>", "<ul><div>", "<li>", '<a "> "', "<!", "<a b=", "x", "<svg>", "</svg>", "<i><div>", "<p><b>", "&lt", '<p class="a', "<td><table>"):
+        page = "<p>begin</p>" + part * 60_000
+        start = time.time()
+        html_tree.parse(page)
+        assert time.time() - start < 12, part
+    html_tree.parse("<p " + "a" * 1_000_000 + ">t</p>")
+    root = html_tree.parse("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after</p>")
+    assert [x.tag for x in root.items] == ["div", "p"] and root.items[1].items == ["after"]
 
 
 def test_language(spark):
@@ -224,6 +379,23 @@ def test_language(spark):
     assert language.identify(table(spark, rows).limit(0)).count() == 0
 
 
+def test_language_rejects_and_keeps(spark):
+    r = random.Random(3)
+    letters = {"en": "etaoinshrdlu", "fr": "esaitnrulodc", "xx": "zkwyvqjbpmgf"}
+    vocabulary = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 9))) for _ in range(400)] for k, v in letters.items()}
+    make = lambda k: " ".join(r.choice(vocabulary[k]) for _ in range(80))
+    rows = [(i, make("en"), "s", "en") for i in range(300)] + [(300 + i, make("fr"), "s", "fr") for i in range(300)] + [(600 + i, make("xx"), "s", "xx") for i in range(12)]
+    rows += [(1000 + i, " ".join("".join(r.choice("абвгдежзик") for _ in range(6)) for _ in range(50)), "s", None) for i in range(20)]
+    out = {x.doc_id: x for x in language.identify(table(spark, rows)).collect()}
+    assert all(out[i].lang_pred == lang and not out[i].rejected for i, _, _, lang in rows if i < 1000)
+    assert all(out[1000 + i].rejected for i in range(20))
+    model = language.fit(table(spark, rows))
+    learned = {w for i, t, _, lang in rows if lang and not out[i].held_out for w in t.split()}
+    assert learned <= set(model["places"][0])  # nothing that the sample holds is cut away
+    long = " ".join(vocabulary["fr"] * 400)
+    assert language.identify(table(spark, [(1, long, "s", None)]), model).first().lang_pred == "fr"
+
+
 def test_fingerprints(spark):
     r = random.Random(6)
     texts = [None, "", "ab", "abc"] + ["".join(r.choice("abcdefgh é") for _ in range(r.randint(3, 400))) for _ in range(30)]
@@ -271,6 +443,11 @@ def test_quality(spark):
     assert held and all(out[i].predicted == (1 if i % 4 else 0) for i in held)
     assert all(0 <= x.score <= 1 for x in out.values())
     assert quality.score(table(spark, rows[:3])).first().score == 0.5
+    assert quality.score(table(spark, rows).limit(0), labels).count() == 0
+    long = good() * 4000
+    few = quality.fit(table(spark, [*rows, (4, long, "s", "en"), (7, rows[7][1], "s", "en"), (7, "other", "s", "en")]), labels, numbers=40 * quality.FEATURES)
+    assert np.isfinite(few.p["W"]).all()  # the long text doesn't fit the bound, others do
+    assert 0 <= quality.score(table(spark, [(1, long, "s", "en")]), network=few).first().score <= 1
 
 
 def test_revisits(spark):
@@ -299,6 +476,23 @@ def test_revisits(spark):
         if status in ("resolved", "unverified"):
             assert x.digest == base[5] and x.headers == old | {k: v for k, v in (h or {}).items() if k != "content-length"}
     assert got[900].status == got[901].status == "missing" and 902 not in got
+    twice = warc.resolve_revisits(df.union(df)).collect()
+    assert len(twice) == 2 * len(got) and all(got[x.record_id] == x for x in twice)
+    assert warc.resolve_revisits(df.limit(0)).count() == 0
+    alone = warc.resolve_revisits(df.where("type = 'revisit'")).collect()
+    assert len(alone) == len(got) and all(x.status == "missing" for x in alone)
+
+
+def test_damaged_warc():
+    good = warc.record_bytes("response", "http://a/", "2020-01-01T00:00:00Z", "urn:1", b"HTTP/1.1 200 OK\r\n\r\nhi")
+    bad = good.replace(b"Content-Length: 21", b"Content-Length: many")
+    assert bad != good
+    got = [x["block"] for x in warc.records_of(bad + good + b"junk\r\n" + good[:-12])]
+    assert got == [b"HTTP/1.1 200 OK\r\n\r\nhi"] * 2 + [b"HTTP/1.1 200 "]
+    import gzip
+
+    packed = gzip.compress(good * 500) + gzip.compress(good)
+    assert len(list(warc.records_of(packed[:-9]))) >= 1
 
 
 def test_warc_round_trip(spark, tmp_path):
