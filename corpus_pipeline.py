@@ -6,7 +6,6 @@ Stages that filter or change take and return the columns of documents; the last
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.llm import language, mixing, near, pieces, repeats
 from docloom.llm.common import table, tune, written
@@ -19,22 +18,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest doc_id. Of rows that
-    share a doc_id one stays; rows without a doc_id all stay."""
+    """One document of each class of near duplicates, the one with the smallest doc_id; rows are judged
+    by their own text, whatever doc_id they have."""
     tune(spark)
-    gone = near.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left.select(docs.columns)
+    return near.deduplicated(docs)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the strings of 400 bytes and more that occur elsewhere; none goes."""
     tune(spark)
-    out = repeats.remove_repeats(docs, keep_text=True)
-    text = F.col("kept_text")
-    return out.withColumn("text", text).withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    return repeats.without_repeats(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of every document, with the scores of the four best segmentations."""
+    """Pieces of every document, with the four best segmentations."""
     tune(spark)
     return pieces.encode(docs)
 
