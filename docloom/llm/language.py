@@ -108,59 +108,85 @@ def fit(docs: DataFrame, train_chars: int = TRAIN_CHARS) -> dict:
 
 class Predictor:
     """Scores by the log frequency of an entry in each language: what an entry never seen has, and for
-    the languages that hold it how much more."""
+    the languages that hold it how much more. A batch of texts is scored at once."""
 
     def __init__(self, model: dict):
-        self.m, self.unseen = model, {}
-        self.words = model["places"][0]
-        self.even = 1 / max(len(model["langs"]), 1)
-
-    def total(self, size: int, entries: np.ndarray) -> np.ndarray:
+        self.m = model
+        self.langs, self.words = model["langs"], model["places"][0]
+        self.even = 1 / max(len(self.langs), 1)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.unseen: dict[str, int] = {}
+        self.unseen_scores = np.zeros((0, len(self.langs)))
+        self.unseen_cover = np.zeros(0)
+
+    def _sums(self, entries: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        """By owner and language, the sum of what its entries have over an entry never seen."""
         first = self.m["first"]
         start = first[entries]
         many = first[entries + 1] - start
         ends = np.cumsum(many)
         at = np.repeat(start - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
-        return len(entries) * self.m["base"][size] + np.bincount(self.m["lang"][at], self.m["delta"][at], len(self.m["langs"]))
-
-    def backoff(self, word: str) -> tuple[np.ndarray, float]:
-        """Scores of an unseen word, and the share of its n-grams of length COVER that are known."""
-        grams = _grams(word, min(COVER, len(word) + 2))
-        place = self.m["places"][min(COVER, len(word) + 2)]
-        cover = sum(g in place for g in grams) / len(grams)
-        for n in range(LONGEST, 0, -1):
-            place = self.m["places"][n]
-            known = [place[g] for g in _grams(word, n) if g in place]
-            if known:
-                return self.total(n, np.array(known)) / len(known), cover
-        return np.zeros(len(self.m["langs"])), cover
+        size = len(self.langs)
+        return np.bincount(np.repeat(owner, many) * size + self.m["lang"][at], self.m["delta"][at], n * size).reshape(n, size)
+
+    def _known_grams(self, word: str, n: int) -> list[int]:
+        place = self.m["places"][n]
+        return [place[g] for g in _grams(word, n) if g in place]
+
+    def _back_off(self, words: list[str]) -> None:
+        """Scores of unseen words, and the share of their n-grams of length COVER that are known."""
+        entries, owner, count, sizes, cover = [], [], [], [], []
+        for k, w in enumerate(words):
+            some = min(COVER, len(w) + 2)
+            covering = self._known_grams(w, some)
+            cover.append(len(covering) / (len(w) + 3 - some))
+            for n in range(LONGEST, 0, -1):
+                known = covering if n == some and n > 1 else self._known_grams(w, n)
+                if known:
+                    break
+            entries += known
+            owner += [k] * len(known)
+            count.append(max(len(known), 1))
+            sizes.append(n if known else -1)
+        got = self._sums(np.array(entries, np.int64), np.array(owner, np.int64), len(words)) / np.array(count)[:, None]
+        got += np.vstack([self.m["base"], np.zeros(len(self.langs))])[sizes]
+        self.unseen.update(zip(words, range(len(self.unseen), len(self.unseen) + len(words)), strict=True))
+        self.unseen_scores = np.vstack([self.unseen_scores, got])
+        self.unseen_cover = np.append(self.unseen_cover, cover)
 
     def rejects(self, lang: str, score: float, coverage: float) -> bool:
         return lang == UNDETERMINED or score < min(self.even + EVIDENCE, 0.99) or coverage < COVERAGE
 
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """The language, its score, and how much of the text's letters is known."""
-        found = LETTERS.findall(text.lower()) if text else []
-        if not found or not self.m["langs"]:
-            return UNDETERMINED, 0.0, 0.0
-        at = np.fromiter(map(self.words.get, found, [-1] * len(found)), np.int64, len(found))
-        known = at >= 0
-        total = self.total(0, at[known])
-        letters = np.fromiter(map(len, found), np.int64, len(found))
-        covered = float(letters[known].sum())
-        for k in np.flatnonzero(~known):
-            w = found[k]
-            got = self.unseen.get(w)
-            if got is None:
-                if len(self.unseen) >= KEPT_WORDS:
-                    self.unseen.clear()
-                got = self.unseen[w] = self.backoff(w)
-            total += got[0]
-            covered += got[1] * len(w)
-        total /= math.sqrt(len(found))
-        p = np.exp(total - total.max())
-        k = int(p.argmax())
-        return self.m["langs"][k], float(p[k] / p.sum()), covered / float(letters.sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Of each text the language, its score, and how much of its letters is known."""
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        size = np.array([len(x) for x in found], np.int64)
+        if not size.sum() or not self.langs:
+            return [(UNDETERMINED, 0.0, 0.0)] * len(texts)
+        if len(self.unseen) > KEPT_WORDS:
+            self._forget()
+        flat = [w for x in found for w in x]
+        owner = np.repeat(np.arange(len(found)), size)
+        at = np.fromiter(map(self.words.get, flat, [-1] * len(flat)), np.int64, len(flat))
+        letters = np.fromiter(map(len, flat), np.int64, len(flat))
+        known, lost = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        words = [flat[k] for k in lost.tolist()]
+        if new := [w for w in dict.fromkeys(words) if w not in self.unseen]:
+            self._back_off(new)
+        row = np.fromiter(map(self.unseen.__getitem__, words), np.int64, len(words))
+        n = len(found)
+        total = self._sums(at[known], owner[known], n) + np.bincount(owner[known], minlength=n)[:, None] * self.m["base"][0]
+        for k in range(len(self.langs)):
+            total[:, k] += np.bincount(owner[lost], self.unseen_scores[row, k], n)
+        covered = np.bincount(owner[known], letters[known], n) + np.bincount(owner[lost], letters[lost] * self.unseen_cover[row], n)
+        total /= np.sqrt(np.maximum(size, 1))[:, None]
+        p = np.exp(total - total.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        best = p.argmax(1)
+        cover = covered / np.maximum(np.bincount(owner, letters, n), 1)
+        return [(self.langs[b], float(x[b]), float(c)) if k else (UNDETERMINED, 0.0, 0.0) for k, b, x, c in zip(size.tolist(), best.tolist(), p, cover, strict=True)]
 
 
 def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
@@ -177,7 +203,7 @@ def identify(docs: DataFrame, model: dict | None = None) -> DataFrame:
     def run(batches):
         p = Predictor(shared.value)
         for batch in batches:
-            got = [p.predict(t) for t in batch["text"]]
+            got = p.predict(batch["text"].tolist())
             lang, score, _ = zip(*got, strict=True) if got else ((), (), ())
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": lang, "score": score, "rejected": [p.rejects(*x) for x in got]})
 
@@ -192,7 +218,7 @@ def accepted(docs: DataFrame, model: dict | None = None) -> DataFrame:
     def run(batches):
         p = Predictor(shared.value)
         for batch in batches:
-            got = [p.predict(t) for t in batch.column("text").to_pylist()]
+            got = p.predict(batch.column("text").to_pylist())
             keep = pa.array([not p.rejects(*x) for x in got], pa.bool_())
             at = batch.schema.get_field_index("lang")
             filled = pa.array([a if a is not None else b for a, (b, *_) in zip(batch.column(at).to_pylist(), got, strict=True)], pa.string())
