@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import language, mixing, near, pieces, repeats
-from docloom.llm.common import table, tune, written
+from docloom.llm.common import drop, table, tune, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +54,11 @@ ORACLE_SQL = None  # language scores, sketches and lattices are beyond SQL; test
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs, _ = written(docs)
-    return docs
+    """All stages over documents, each written to the shared folder and read again by the next. What a
+    stage has read is deleted once the next has been written; what the result reads stays."""
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES[:-1]:
+        docs, path = written(stage(spark, docs, sf_dir))
+        drop(spark, *before)
+        before = [path]
+    return STAGES[-1][1](spark, docs, sf_dir)
