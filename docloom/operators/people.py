@@ -81,6 +81,7 @@ def _student_at(lines: list[str], k: int) -> tuple[str, bool] | None:
             if len(words) >= 2 and len(words[0]) <= 2 and len(words[-1]) >= 4:
                 name = " ".join(words[1:])
     else:
+        # The words that end a name behind a short label.
         m = re.search(r"(?:NAME|NAM)\s?[:\-]?\s?([A-Z][A-Z\s]{2,40}?)(?=\s+(?:MARKS|TOTAL|RESULT|INTERNAL|EXTERNAL|SUBJECT|SEMESTER|DATE)\b|$)", up)
         name = m[1].strip() if m else ""
         if not name and len(up) <= 25:
