@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_resolve_revisits": op10_resolve_revisits,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op10_resolve_revisits": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_remove_repeats": repeats.ORACLE, "op3_mix_sources": mixing.ORACLE, "op5_near_vectors": vectors.ORACLE, "op10_resolve_revisits": warc.ORACLE}

@@ -377,3 +377,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
     out = _removal(docs, docs.columns, length, gram, group)
     made = {"text": F.col("kept_text")} | ({"n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*[made[c].alias(c) if c in made else F.col("own")[c].alias(c) for c in docs.columns])
+
+
+# The same by brute force: hashes of all windows of 400 bytes.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+f AS MATERIALIZED (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS q FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d)),
+w AS MATERIALIZED (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS g FROM f SEMI JOIN (SELECT q FROM f GROUP BY q HAVING count(*) > 1) USING (q) JOIN d USING (doc_id)),
+s AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) USING (g)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT *, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM s) GROUP BY doc_id, k),
+p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+c AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id),
+k AS (SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept, h) AS kept FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256,
+  decode(unhex(array_to_string(list_filter(regexp_extract_all(kept, '[0-7].|[CD].[89AB].|E.[89AB].[89AB].|F.[89AB].[89AB].[89AB].|..'), lambda x: len(x) > 2 OR x < '8'), ''))) AS text FROM k
+"""
