@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, mixing, near, pages, pieces, quality, repeats, vectors, warc
+from . import codes, fingerprint, language, mixing, near, pages, pieces, quality, repeats, topk, vectors, warc
 from .common import table, tune
 
 
@@ -58,6 +58,16 @@ def op10_resolve_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolved_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return topk.top_k(table(spark, sf_dir, "embeddings"), topk.every())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_remove_repeats": op1_remove_repeats,
     "op2_encode_pieces": op2_encode_pieces,
@@ -69,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_quality": op9_quality,
     "op10_resolve_revisits": op10_resolve_revisits,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_top_rows": op12_top_rows,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_remove_repeats": repeats.ORACLE, "op3_mix_sources": mixing.ORACLE, "op5_near_vectors": vectors.ORACLE, "op10_resolve_revisits": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_remove_repeats": repeats.ORACLE, "op3_mix_sources": mixing.ORACLE, "op5_near_vectors": vectors.ORACLE, "op10_resolve_revisits": warc.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_top_rows": topk.ORACLE}
