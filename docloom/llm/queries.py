@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, fingerprint, language, mixing, near, pages, pieces, quality, repeats, topk, vectors, warc
+from . import codes, fingerprint, language, mixing, near, pages, pieces, quality, repeats, topk, trie, vectors, warc
 from .common import table, tune
 
 
@@ -68,6 +68,10 @@ def op12_top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), topk.every())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_remove_repeats": op1_remove_repeats,
     "op2_encode_pieces": op2_encode_pieces,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_resolve_revisits": op10_resolve_revisits,
     "op11_vector_codes": op11_vector_codes,
     "op12_top_rows": op12_top_rows,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_remove_repeats": repeats.ORACLE, "op3_mix_sources": mixing.ORACLE, "op5_near_vectors": vectors.ORACLE, "op10_resolve_revisits": warc.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_top_rows": topk.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_remove_repeats": repeats.ORACLE, "op3_mix_sources": mixing.ORACLE, "op5_near_vectors": vectors.ORACLE, "op10_resolve_revisits": warc.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_top_rows": topk.ORACLE, "op13_prefix_trie": trie.ORACLE}
