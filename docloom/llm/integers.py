@@ -26,8 +26,10 @@ def floors(column: pa.ListArray, scale: int) -> dict[int, tuple[np.ndarray, np.n
     out = {}
     for size in np.unique(sizes[fine]).tolist():
         rows = np.flatnonzero(fine & (sizes == size))
-        whole = np.floor(x[starts[rows][:, None] + np.arange(size)] * scale)
-        if ((whole * whole).sum(1) >= NORM_LIMIT).any():
+        with np.errstate(over="ignore"):
+            whole = np.floor(x[starts[rows][:, None] + np.arange(size)] * scale)
+            large = ((whole * whole).sum(1) >= NORM_LIMIT).any()
+        if large:
             raise ArithmeticError(f"a vector's components are too large for sums of {scale} times their value in a long")
         out[size] = rows, whole.astype(np.int64)
     return out
