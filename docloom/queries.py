@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from . import tables
 from .functions import text as tx
 from .operators import classify, identity, marks, metrics, people, relational, sheets
 from .operators.lines import group_lines, lines_of, unscale_boxes
@@ -226,7 +227,7 @@ def example_documents(spark) -> DataFrame:
 
 
 def extract_documents(spark, sf_dir):
-    return as_json(extract(example_documents(spark)))
+    return as_json(extract(example_documents(spark)), mask=False, lines=True)
 
 
 #: The sheet with two marks missing, and a second recognition of it that finds one of them.
@@ -236,10 +237,12 @@ SHEET_OF_TWO = [x.replace("SOCIAL SCIENCE 100 35 80", "SOCIAL SCIENCE 100") for
 def recover_documents(spark, sf_dir):
     first = extract(example_documents(spark).unionByName(spark.createDataFrame([page(SHEET_OF_TWO, 402)], DOCUMENT)))
     again = [x.replace("MATHEMATICS 100", "MATHEMATICS 100 35 91") for x in SHEET_OF_TWO]
-    return as_json(recover(first, extract(spark.createDataFrame([page(again, 402, 2)], DOCUMENT))))
+    return as_json(recover(first, extract(spark.createDataFrame([page(again, 402, 2)], DOCUMENT))), mask=False, lines=True)
 
 
-QUERIES = {f.__name__: f for f in (classify_documents, class_counts, reject_reasons, lines_min_text, grouped_lines, grouped_lines_array, line_marks, decimal_pairs, long_digit_ids, token_mode, repeated_lines, core_keys, boards, grade_averages, totals, registers, spelt_numbers, repaired_spacing, aadhaar_fields, licence_fields, pan_fields, sheet_subjects, reconciled_marks, college_names, sheet_people, agreed_names, letter_styles, unscaled_boxes, reading_orders, merged_subjects, single_missing, request_metrics, hourly_requests, masked_ids, extract_documents, recover_documents)}
+#: Queries over given tables, which are registered; and rules shown on invented rows, which the tests run.
+QUERIES = {f.__name__: f for f in (classify_documents, class_counts, lines_min_text, line_marks, decimal_pairs, long_digit_ids, token_mode, repeated_lines, request_metrics, hourly_requests)} | tables.QUERIES
+EXAMPLES = {f.__name__: f for f in (reject_reasons, grouped_lines, grouped_lines_array, core_keys, boards, grade_averages, totals, registers, spelt_numbers, repaired_spacing, aadhaar_fields, licence_fields, pan_fields, sheet_subjects, reconciled_marks, college_names, sheet_people, agreed_names, letter_styles, unscaled_boxes, reading_orders, merged_subjects, single_missing, masked_ids, extract_documents, recover_documents)}
 
 _DOC_LINES = "SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents"
 
@@ -317,7 +320,7 @@ def _mended() -> str:
 _NAMES = ", ".join(f"({fx.literal(k)}, {fx.literal(v)})" for k, v in tx.FULL_NAMES.items())
 _PICK = "CASE WHEN len(list_filter(nums, lambda v: v <> 0)) = 0 OR (len(nums) = 1 AND nums[1] IN (100, 125, 150)) OR nums[-1] > 200 THEN NULL ELSE nums[-1] END"
 
-ORACLE_SQL = {
+_SQL = {
     "classify_documents": _CLASSIFIED,
     "class_counts": f"SELECT document_type, count(*) AS n FROM ({_CLASSIFIED}) GROUP BY document_type",
     "reject_reasons": f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN coalesce(mime, '') <> '' AND NOT starts_with(mime, 'image/') THEN 'unsupported_type' WHEN length = 0 THEN 'empty_file' WHEN length > 20971520 THEN 'too_large'
@@ -364,3 +367,6 @@ ORACLE_SQL = {
     "hourly_requests": f"SELECT date_trunc('hour', ts) AS start, count(*) AS requests_total, CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS requests_error, round(coalesce(sum(latency_ms) FILTER (WHERE ok) / count(*), 0), 6) AS avg_latency_ms FROM ({_REQUESTS}) GROUP BY 1",
     "masked_ids": _expected([(1, "XXXXXXXX2222"), (2, "AB-1"), (3, None), (4, "XXXX XXXXXXX0000")], "id, masked", [0, 1]),
 }
+
+ORACLE_SQL = {name: _SQL[name] for name in QUERIES if name in _SQL} | tables.ORACLE_SQL
+EXAMPLE_SQL = {name: _SQL[name] for name in EXAMPLES}

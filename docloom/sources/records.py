@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..schema import DOCUMENT
 
+#: Identifiers within texts, as java.util.regex has it; sources/uploads.py masks the same.
+IDENTIFIERS = r"(?<![0-9A-Za-z])(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|[A-Z]{5}[0-9]{4}[A-Z]|[A-Z]{2}[ -]?[0-9]{2}[ -]?[0-9]{4}[ -]?[0-9]{7})(?![0-9A-Za-z])"
+
 
 class Recogniser(Protocol):
     """What an engine for images has to offer: per image its size, a flatness measure, and tokens.
@@ -45,20 +48,46 @@ def masked(x: Column, shown: int = 4) -> Column:
     return F.concat(F.regexp_replace(F.substring(x, F.lit(1), keep), "[A-Za-z0-9]", "X"), F.substring(x, keep + 1, F.lit(shown)))
 
 
+def masked_texts(x: Column) -> Column:
+    """Texts with every identifier in them masked: twelve digits in fours, tax and licence numbers."""
+    hidden = lambda t: F.array_join(F.transform(F.split(F.regexp_replace(t, f"({IDENTIFIERS})", "\u0001$1\u0001"), "\u0001", -1), lambda p, k: F.when(k % 2 == 1, masked(p)).otherwise(p)), "")
+    return F.transform(x, hidden)
+
+
+def _without(lines: Column, identifier: Column) -> Column:
+    """Lines with an identifier masked as it was read, whatever its pattern."""
+    return F.transform(lines, lambda t: F.replace(t, identifier, masked(identifier)))
+
+
+#: Where results hold identifiers.
+IDENTIFYING = {"aadhaar": ("aadhaar_number",), "pan": ("pan_number",), "driving_license": ("dl_number",), "marksheet": ("usn", "register_number")}
+
+
 def mask_identifiers(results: DataFrame) -> DataFrame:
-    """Results with their identifiers masked, as sinks should have them."""
-    return (
-        results.withColumn("aadhaar", F.col("aadhaar").withField("aadhaar_number", masked(F.col("aadhaar.aadhaar_number"))))
-        .withColumn("pan", F.col("pan").withField("pan_number", masked(F.col("pan.pan_number"))))
-        .withColumn("driving_license", F.col("driving_license").withField("dl_number", masked(F.col("driving_license.dl_number"))))
-    )
+    """Results as sinks have to have them: identifying fields masked, and identifiers within the lines as well."""
+    out, lines = results, masked_texts(F.col("lines"))
+    for struct, fields in IDENTIFYING.items():
+        for field in fields:
+            lines = _without(lines, F.coalesce(F.col(f"{struct}.{field}"), F.lit("")))
+    out = out.withColumn("lines", lines)
+    for struct, fields in IDENTIFYING.items():
+        for field in fields:
+            out = out.withColumn(struct, F.col(struct).withField(field, masked(F.col(f"{struct}.{field}"))))
+    return out
+
+
+def for_sink(results: DataFrame, mask: bool = True, lines: bool = False) -> DataFrame:
+    """What leaves the package: the fields that were read, identifiers masked, the lines they were read from left behind. Every sink goes through here."""
+    out = mask_identifiers(results) if mask else results
+    return out if lines else out.drop("lines")
 
 
-def as_json(results: DataFrame) -> DataFrame:
-    """One JSON text per document, null fields left out."""
-    return results.select("doc_id", F.to_json(F.struct(*[c for c in results.columns if c != "doc_id"])).alias("json"))
+def as_json(results: DataFrame, mask: bool = True, lines: bool = False) -> DataFrame:
+    """One JSON text per document, null fields left out; identifiers and lines as in for_sink."""
+    out = for_sink(results, mask, lines)
+    return out.select("doc_id", F.to_json(F.struct(*[c for c in out.columns if c != "doc_id"])).alias("json"))
 
 
-def write_results(results: DataFrame, path: str, kind: str = "parquet", mask: bool = True) -> None:
-    """Results partitioned by document type, identifiers masked unless told otherwise."""
-    (mask_identifiers(results) if mask else results).write.partitionBy("document_type").format(kind).mode("overwrite").save(path)
+def write_results(results: DataFrame, path: str, kind: str = "parquet", mask: bool = True, lines: bool = False) -> None:
+    """Results partitioned by document type; identifiers and lines as in for_sink."""
+    for_sink(results, mask, lines).write.partitionBy("document_type").format(kind).mode("overwrite").save(path)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .operators import close_match, fuzzy_join, merging, nearest, ranges, runs, selection
 from .operators.sheets import CORE
+from .plans.stages import shared_folder
+from .sources import uploads
 from .streaming import caches
 
 
@@ -121,7 +123,17 @@ def cached_requests(spark, sf_dir):
     return out.select(F.col("key").cast("long").alias("user_id"), F.col("at").cast("timestamp_ntz").alias("ts"), F.col("tie").alias("event_id"), "item", "outcome", "evicted", F.col("held").cast("long").alias("held"))
 
 
-QUERIES = {f.__name__: f for f in (fuzzy_words, fuzzy_append, nearest_clicks, nearest_clicks_of_all, event_sessions, event_bursts, longest_shared_runs, closest_words, line_medians, merged_turns, cached_requests)}
+def page_uploads(spark, sf_dir):
+    """Pages written as uploads and read again: what came through of each."""
+    pages = _table(spark, sf_dir, "pages")
+    uploads.register(spark)
+    folder = shared_folder(spark)
+    pages.select(F.format_string("pages/%d.html", "page_id").alias("name"), F.encode("html", "UTF-8").alias("content")).write.format("uploads").mode("append").option("mask", "false").save(folder)
+    back = spark.read.format("uploads").load(folder).where("mime = 'text/html' and length > 0")
+    return back.select(F.regexp_extract("name", "([0-9]+)[.]html", 1).cast("long").alias("page_id"), "mime", "length", F.sha2("content", 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (fuzzy_words, fuzzy_append, nearest_clicks, nearest_clicks_of_all, event_sessions, event_bursts, longest_shared_runs, closest_words, line_medians, merged_turns, cached_requests, page_uploads)}
 
 _CORE = ", ".join(f"({k}, '{c}')" for k, c in enumerate(CORE))
 
@@ -225,4 +237,5 @@ k AS (SELECT u.*, row_number() OVER (PARTITION BY u.user_id, u.r ORDER BY last_r
 h AS (SELECT user_id, r, count(*) FILTER (WHERE fresh AND place <= {CACHE_SIZE}) AS n, coalesce(bool_or(same AND fresh AND place <= {CACHE_SIZE}), false) AS hit, max(CASE WHEN fresh AND place = {CACHE_SIZE} THEN item END) AS oldest FROM k GROUP BY user_id, r)
 SELECT e.user_id, ts, event_id, item, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN NOT hit THEN oldest END AS evicted, CAST(least({CACHE_SIZE}, coalesce(n, 0) + CASE WHEN coalesce(hit, false) THEN 0 ELSE 1 END) AS BIGINT) AS held FROM e LEFT JOIN h ON h.user_id = e.user_id AND h.r = e.r
 UNION ALL SELECT user_id, last_ts + INTERVAL {CACHE_DAYS} DAY, NULL, item, 'idle', item, NULL FROM k WHERE NOT fresh AND was AND place <= {CACHE_SIZE}""",
+    "page_uploads": "SELECT page_id, 'text/html' AS mime, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS sha256 FROM pages WHERE html <> ''",
 }

@@ -24,15 +24,15 @@ def rows(pdf):
     return sorted(repr(tuple(map(plain, r))) for r in pdf[names].astype(object).itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL | q.EXAMPLE_SQL))
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     if not os.path.isdir(DATA):
         pytest.skip("no tables here")
     con = duckdb.connect()
-    for t in ("documents", "events", "pages"):
+    for t in ("documents", "events", "pages", "part", "lineitem", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
-    assert rows(q.QUERIES[name](spark, DATA).toPandas()) == rows(con.execute(q.ORACLE_SQL[name]).df())
+    assert rows((q.QUERIES | q.EXAMPLES)[name](spark, DATA).toPandas()) == rows(con.execute((q.ORACLE_SQL | q.EXAMPLE_SQL)[name]).df())
 
 
 def test_every_fixture_class_is_as_written(spark):
