@@ -83,7 +83,7 @@ def _stretch_rows(length: int, gram: int):
                 digest = xxhash.xxh3_128_digest
                 for c, v in zip(cols, ([d] * len(lo), [x] * len(lo), lo, hi, a, key, [digest(bytes((p - s).to_bytes(4, "little")) + bytes(view[s : t + length])) for s, t, p in zip(lo, hi, a, strict=True)]), strict=True):
                     c.extend(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["d", "x", "lo", "hi", "a", "key", "cls"])
 
     return run
@@ -329,10 +329,12 @@ def _removal(docs: DataFrame, columns: list[str], length: int, gram: int, group:
     """Rows (own: a struct of the columns but text, n_bytes, n_removed, n_spans, kept_sha256, kept_text)."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    keys = {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "x": F.hash(text)}
+    # Rows are known by their id, of any type, and 128 bits of their text; rows without an id don't meet those with one.
+    no_id = F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.lit("+"))
+    keys = {"d": F.xxhash64("doc_id"), "x": F.unhex(F.md5(F.concat(no_id, text)))}
     own = F.struct(*[c for c in columns if c != "text"])
     plain = docs.select(own.alias("own"), *[c.alias(k) for k, c in keys.items()], text.alias("text"))
-    found, at_found = written(plain.where(F.octet_length("text") >= length).select("d", "x", "text").mapInArrow(_stretch_rows(length, gram), "d long, x int, lo long, hi long, a long, key long, cls binary"))
+    found, at_found = written(plain.where(F.octet_length("text") >= length).select("d", "x", "text").mapInArrow(_stretch_rows(length, gram), "d long, x binary, lo long, hi long, a long, key long, cls binary"))
 
     twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     classes = found.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("d", "x", "lo", "hi", "a")).alias("rep")).join(twice, "key")
@@ -367,7 +369,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text of each row; of kept_text,
     bytes that no longer make a character are left out. Null text counts as empty; texts shorter
     than ``length`` stay whole; repeated rows count as different documents, so they lose everything
-    long enough; a null doc_id is an id like any other; an empty table gives an empty result.
+    long enough; a doc_id may be of any type, repeated or null; an empty table gives an empty result.
     """
     return _removal(docs, ["doc_id"], length, gram, group).select("own.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 
