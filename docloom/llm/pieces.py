@@ -137,21 +137,26 @@ def best_two(v: Vocabulary, word: str) -> tuple[float, tuple[int, ...], float]:
             if second[start] + score > two:
                 two = second[start] + score
         second[j] = two
-    ids, at = (), size
+    parts, at = [], size
     while at:
         at, some = back[at]
-        ids = some + ids
-    return best[size], ids, best[size] - second[size]
+        parts.append(some)
+    return best[size], tuple(i for some in reversed(parts) for i in some), best[size] - second[size]
 
 
 def word_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best paths through the lattice of one word, best first."""
+    """The n best paths through the lattice of one word, best first.
+
+    Of equal scores the one nearest to its end goes on, and no place is left more than n times: what follows
+    a place on one of the n best paths is among its own n best. So a run of equal letters takes time in
+    proportion to its length.
+    """
     into, best = lattice(v, word)
     size = len(word)
-    queue = [(-best[size], 0, size, 0.0, None)]
-    ticket, out = 1, []
+    queue = [(-best[size], size, 0, 0.0, None)]
+    ticket, out, visits = 1, [], [0] * (size + 1)
     while queue and len(out) < n:
-        f, _, at, done, path = heapq.heappop(queue)
+        f, at, _, done, path = heapq.heappop(queue)
         if at == 0:
             ids: list[int] = []
             while path is not None:
@@ -159,8 +164,11 @@ def word_paths(v: Vocabulary, word: str, n: int) -> list[tuple[float, tuple[int,
                 path = path[1]
             out.append((-f, tuple(ids)))
             continue
+        visits[at] += 1
+        if visits[at] > n:
+            continue
         for start, ids, score in into[at]:
-            heapq.heappush(queue, (-(best[start] + score + done), ticket, start, done + score, (ids, path)))
+            heapq.heappush(queue, (-(best[start] + score + done), start, ticket, done + score, (ids, path)))
             ticket += 1
     return out
 
