@@ -28,6 +28,11 @@ BLOCK = 1024
 SEED = 5
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that their squares neither overflow nor vanish; exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def signatures(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
     planes = np.random.default_rng([SEED, x.shape[1]]).standard_normal((x.shape[1], tables * bits))
     signs = (x @ planes > 0).reshape(len(x), tables, bits)
@@ -59,7 +64,7 @@ def _sign_rows(tables: int, bits: int):
             for k, v in enumerate(vectors):
                 by_size.setdefault(len(v), []).append(k)
             for rows in by_size.values():
-                x = np.array([vectors[k] for k in rows], np.float64)
+                x = scaled(np.array([vectors[k] for k in rows], np.float64))
                 for k, s in zip(rows, signatures(x, tables, bits), strict=True):
                     sig[k] = s.tolist()
             raw = [np.asarray(v, np.float32 if single else np.float64).tobytes() for v, single in zip(vectors, batch.column("single").to_pylist(), strict=True)]
@@ -85,7 +90,7 @@ def _compare(threshold: float):
             block = np.array([r[3] for r in held])
             sig = np.array([r[4] for r in held], np.int32)
             kind = np.float32 if held[0][5] else np.float64
-            x = np.stack([np.frombuffer(r[6], kind) for r in held]).astype(np.float64)
+            x = scaled(np.stack([np.frombuffer(r[6], kind) for r in held]).astype(np.float64))
             held.clear()
             x /= np.sqrt((x * x).sum(1))[:, None]
             rows = np.flatnonzero(block == one)
@@ -134,9 +139,8 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tables: int = TA
 
     Returns vec_id, n_links, component_id, kept, one row per input row. Vectors that are null, empty,
     zero or hold a null or non-finite component, and rows with a null label or vec_id, link with
-    nothing (component_id = vec_id, kept). Vectors of different sizes don't link. Rows with one
-    vec_id count as several vectors and as one node of the components. An empty table gives an empty
-    result.
+    nothing (component_id = vec_id, kept). Vectors of different sizes don't link. Rows that share a
+    vec_id, in one label or several, are vectors of their own. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     single = "float" in vectors.schema["embedding"].dataType.simpleString()
@@ -144,7 +148,8 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tables: int = TA
     fine = e.isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))) & F.exists(e, lambda v: v != 0)
     rows = vectors.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), F.col("label")).alias("label"), "embedding")
     rows = rows.withColumn("embedding", F.when(F.col("label").isNotNull(), e))
-    classes = cut(rows.where("label is not null").groupBy("label", "embedding").agg(F.min(F.col("vec_id").cast("long")).alias("id"), F.count("*").alias("copies")))
+    classes = rows.where("label is not null").groupBy("label", "embedding").agg(F.min(F.col("vec_id").cast("long")).alias("least"), F.count("*").alias("copies"))
+    classes = cut(cut(classes).withColumn("id", F.monotonically_increasing_id()))  # a number of its own for each vector: ids may be shared
     signed = cut(classes.select("id", F.col("label").cast("string").alias("label"), "copies", F.lit(single).alias("single"), "embedding").mapInArrow(_sign_rows(tables, bits), "id long, label string, copies long, single boolean, size int, sig array<int>, raw binary"))
 
     light = signed.select("id", "label", "size", F.posexplode("sig").alias("t", "bucket"))
@@ -161,8 +166,9 @@ def near_vectors(vectors: DataFrame, threshold: float = COSINE, tables: int = TA
 
     links = met.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(met.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root"))
+    known = classes.join(links, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id"))
+    several = known.where("root is not null").groupBy("group").agg(F.min("least").alias("smallest"))
+    known = known.join(several, "group", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("root"))
     kind = vectors.schema["vec_id"].dataType
     alone = rows.where("label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     met = rows.where("label is not null").join(known, ["label", "embedding"]).select("vec_id", F.col("n_links").cast("long"), F.col("root").cast(kind).alias("component_id"), F.col("root").eqNullSafe(F.col("vec_id").cast("long")).alias("kept"))
