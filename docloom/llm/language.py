@@ -13,16 +13,16 @@ their size is bounded by the sample. Prediction reads every whole text.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # numbers such as ½ or ① are none, vowel signs stay in their word
 LONGEST = 5
 TRAIN_CHARS = 12_000_000
 KEPT_WORDS = 200_000
