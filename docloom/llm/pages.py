@@ -8,7 +8,9 @@ boilerplate but boilerplate holds no main part, and a change of label between pa
 its price, so that ancestors and descendants never contradict each other.
 
 There are no labelled pages; the trees are trained on pages made here from a grammar of layouts
-(wrappers, menus, adverts, notices, side columns, comments, forms, articles of every length).
+(wrappers, menus, adverts, notices, side columns, comments, forms, articles of every length) and on plain
+pages: text, lines, paragraphs or table cells right in the body. Where the trees find no main part on
+a page that holds prose, everything outside of menus, notices and the like is its main text.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BAD_TAGS = frozenset("nav aside footer header form menu dialog fieldset address".split())
 CONTROLS = frozenset("input label output meter progress".split())
 MAKES_BLOCK = re.compile(r"\s+")
-TRAIN_PAGES = 700
+TRAIN_PAGES, PLAIN_PAGES = 700, 150
+PROSE = 80  # letters of a block that is read as prose where the trees find no main part
 SWITCH = 2.0  # price of boilerplate inside a main part
 START = 3.0  # price of a main part
 SEED = 6
@@ -194,10 +197,40 @@ def extract_many(pages: list[str], model: Boosted) -> list[str]:
     for nodes, parents, x in described:
         mine = p[at : at + len(nodes)]
         at += len(nodes)
-        out.append(print_blocks(nodes, decode(parents, mine, 1 + x[:, len(STRUCTURE) + 1])))
+        text = print_blocks(nodes, decode(parents, mine, 1 + x[:, len(STRUCTURE) + 1]))
+        out.append(text or print_blocks(nodes, prose(nodes, parents)))
     return out
 
 
+def prose(nodes: list[Node], parents: list[int]) -> list[bool]:
+    """Where no main part was found: the nodes outside of menus, notices and the like, if any text in them stands
+    for prose, that is, has PROSE letters or more between two borders of which less than half are links."""
+    chosen: list[bool] = []
+    found = False
+    for node, up in zip(nodes, parents, strict=True):
+        around = node.tag in BAD_TAGS or node.tag in CONTROLS or any(w in BAD for w in node.tokens)
+        chosen.append(not around and (up < 0 or chosen[up]))
+        if chosen[-1]:
+            text, linked = _run(node)
+            found |= text >= PROSE and 2 * linked < text
+    return chosen if found else [False] * len(nodes)
+
+
+def _run(node: Node) -> tuple[int, int]:
+    """Letters right in a block, inline elements included, and those of them in links."""
+    text = linked = 0
+    stack: list[tuple[Node | str, bool]] = [(item, False) for item in node.items]
+    while stack:
+        item, link = stack.pop()
+        if isinstance(item, str):
+            size = sum(map(str.isalnum, item))
+            text += size
+            linked += size * link
+        elif item.tag in INLINE:
+            stack.extend((x, link or item.tag == "a") for x in item.items)
+    return text, linked
+
+
 class Grammar:
     """Pages of many layouts whose nodes carry data-judge = 1 in the main text and 0 elsewhere."""
 
@@ -305,13 +338,39 @@ class Grammar:
             inside = self.tag("div", inside, 0, "wrapper container page row site outer")
         return f"<html><head><title>{self.words(2, 8)}</title><style>p{{}}</style></head><body>{''.join(before[:1])}{inside}{''.join(after[k:])}</body></html>"
 
+    def plain(self) -> tuple[str, str]:
+        """A page without an article of its own: text, lines, paragraphs or table cells right in the body or in plain
+        boxes, with little around them; and the judgement of the body."""
+        r = self.r
+        kind = r.randint(0, 5)
+        texts = [self.words(6, 160) for _ in range(r.randint(2, 12))]
+        lines = r.choice(["<br>", "<br><br>", "<br/>\n<br/>"]).join(texts)
+        paragraphs = "".join(self.tag("p", t, 1, close=r.random() < 0.8) for t in texts)
+        heading = self.tag(r.choice(["h1", "h2"]), self.words(2, 10)[:60], 1) if r.random() < 0.5 else ""
+        if kind == 0:
+            inside = heading + (lines if r.random() < 0.7 else " ".join(texts))
+        elif kind in (1, 2):
+            inside = heading + paragraphs
+        elif kind == 3:
+            inside = self.tag("div", heading + lines, 1)
+        elif kind == 4:
+            cells = "".join(self.tag("tr", self.tag("td", t if r.random() < 0.5 else self.tag("p", t, 1), 1), 1) for t in texts)
+            inside = heading + self.tag("table", cells, 1)
+        else:
+            inside = heading + paragraphs
+            for _ in range(r.randint(3, 40)):
+                inside = self.tag("div", inside, 1)
+        junk = [self.junk() if r.random() < 0.4 else "" for _ in range(2)]
+        return f"<html><body>{junk[0]}{inside}{junk[1]}</body></html>", "1" if kind < 3 else "0"
+
 
 @functools.cache
-def trained(pages: int = TRAIN_PAGES) -> Boosted:
-    grammar = Grammar()
+def trained(pages: int = TRAIN_PAGES, plain: int = PLAIN_PAGES) -> Boosted:
+    grammar, other = Grammar(), Grammar(SEED + 1)
     xs, ys = [], []
-    for _ in range(pages):
-        nodes, _, x = describe(parse(grammar.page()))
+    for page, body in [*((grammar.page(), "0") for _ in range(pages)), *(other.plain() for _ in range(plain))]:
+        nodes, _, x = describe(parse(page))
+        nodes[0].judge = body
         xs.append(x)
         ys += [float(node.judge == "1") for node in nodes]
     return boost(np.vstack(xs).astype(np.float64), np.array(ys))
@@ -321,7 +380,8 @@ def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """Main text of each row of ``pages`` (page_id, url, html; other columns are ignored).
 
     Returns page_id, url, text, n_chars. Null html counts as empty; a page without a main part gives
-    an empty text. Broken markup is read as browsers do in the common cases. Rows are treated one by
+    an empty text. Broken markup is read as browsers do in the common cases; elements nested more than
+    512 deep (html_tree.DEEPEST) count as siblings, with all their text. Rows are treated one by
     one, so repeated rows and null ids need no rule; an empty table gives an empty result.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())  # sixty small trees
