@@ -26,8 +26,8 @@ FULL_NAMES = {
     "KARNATAKA PU BOARD (NEW)": "KARNATAKA SCHOOL EXAMINATION AND ASSESSMENT BOARD, BENGALURU",
 }
 # Number words.
-ONES = dict(zip("ZERO ONE TWO THREE FOUR FIVE SIX SEVEN EIGHT NINE TEN ELEVEN TWELVE THIRTEEN FOURTEEN FIFTEEN SIXTEEN SEVENTEEN EIGHTEEN NINETEEN".split(), range(20), strict=True))
-TENS = dict(zip("TWENTY THIRTY FORTY FIFTY SIXTY SEVENTY EIGHTY NINETY".split(), range(20, 100, 10), strict=True))
+ONES = {"ZERO": 0, "ONE": 1, "TWO": 2, "THREE": 3, "FOUR": 4, "FIVE": 5, "SIX": 6, "SEVEN": 7, "EIGHT": 8, "NINE": 9, "TEN": 10, "ELEVEN": 11, "TWELVE": 12, "THIRTEEN": 13, "FOURTEEN": 14, "FIFTEEN": 15, "SIXTEEN": 16, "SEVENTEEN": 17, "EIGHTEEN": 18, "NINETEEN": 19}
+TENS = {"TWENTY": 20, "THIRTY": 30, "FORTY": 40, "FIFTY": 50, "SIXTY": 60, "SEVENTY": 70, "EIGHTY": 80, "NINETY": 90}
 NUMBER_WORDS = ONES | TENS
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 

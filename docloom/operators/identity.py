@@ -13,9 +13,12 @@ from ..functions.fuzzy import ratio_of
 from ..functions.text import all_found, first_where, found, has_any, joined, let, title
 
 # Words that no holder's name has.
-NOT_A_NAME = """government india unique identification authority aadhaar dob year yob male female father mother husband wife address s/o d/o w/o
-vill dist state pin help download generated issue rural urban road cross main street lane layout nagar colony block sector phase near opp behind
-district disict bengaluru bangalore vid crop adjust edit share send delete lens more favourite file scan page search menu home back""".split()
+NOT_A_NAME = [
+    "government", "india", "unique", "identification", "authority", "aadhaar", "dob", "year", "yob", "male", "female", "father", "mother", "husband", "wife", "address", "s/o",
+    "d/o", "w/o", "vill", "dist", "state", "pin", "help", "download", "generated", "issue", "rural", "urban", "road", "cross", "main", "street", "lane", "layout", "nagar",
+    "colony", "block", "sector", "phase", "near", "opp", "behind", "district", "disict", "bengaluru", "bangalore", "vid", "crop", "adjust", "edit", "share", "send", "delete",
+    "lens", "more", "favourite", "file", "scan", "page", "search", "menu", "home", "back",
+]
 CARD_DATES = ("issue", "generated", "download", "print", "update")
 DATE = r"[0-9]{2}[/-][0-9]{2}[/-][0-9]{4}"
 YEAR = r"(?<![0-9A-Za-z_])(?:19|20)[0-9]{2}(?![0-9A-Za-z_])"

@@ -19,7 +19,7 @@ NOT_STUDENT = ("FATHER", "MOTHER", "FATHWER", "MOTHWR", "SCHOOL", "BOARD", "UNIV
 NEXT_NOISE = ("DATE", "RESULT", "MARKS", "TOTAL", "REGISTER", "MONTH")
 ABOVE_STUDENT = ("GOVERNMENT", "KARNATAKA", "BOARD", "DEPARTMENT", "CERTIFICATE", "EXAMINATION", "REGISTER", "DATE", "RESULF", "RESULT", "MARKS", "TOTAL", "MOTHER", "FATHER")
 ABOVE_PARENT = ("GOVERNMENT", "KARNATAKA", "BOARD", "DEPARTMENT", "CERTIFICATE", "EXAMINATION", "REGISTER", "DATE", "MOTHER", "FATHER", "NAME", "CANDIDATE")
-HEADER_WORDS = "SUBJECTS SUBJECT LANGUAGES LANGUAGE OPTIONALS OPTIONAL PARTICULARS REGISTER MONTH YEAR MARKS OBTAINED FIGURES WORDS TOTAL MAXIMUM BOARD UNIVERSITY COLLEGE DEPARTMENT EXAMINATION CERTIFICATE CANDIDATE STUDENT PRINCIPAL DIRECTOR SIGNATURE".split()
+HEADER_WORDS = ["SUBJECTS", "SUBJECT", "LANGUAGES", "LANGUAGE", "OPTIONALS", "OPTIONAL", "PARTICULARS", "REGISTER", "MONTH", "YEAR", "MARKS", "OBTAINED", "FIGURES", "WORDS", "TOTAL", "MAXIMUM", "BOARD", "UNIVERSITY", "COLLEGE", "DEPARTMENT", "EXAMINATION", "CERTIFICATE", "CANDIDATE", "STUDENT", "PRINCIPAL", "DIRECTOR", "SIGNATURE"]
 PARENTS = {"father": (re.compile("FATHER|HUSBAND|FATHWER"), ("FATHER", "FATHERS"), "MOTHER"), "mother": (re.compile("MOTHER"), ("MOTHER", "MOTHERS"), "FATHER")}
 
 
@@ -146,9 +146,9 @@ def people_of(lines: list[str]) -> tuple[str | None, str | None, str | None]:
 # Agreement of two recognitions
 
 # Words of the header zone that belong to no name.
-STOP_WORDS = frozenset("MONTH YEAR NAME CANDIDATE CANDIDATES REGISTER MOTHER FATHER MOTHERS FATHERS HUSBAND CERTIFICATE EXAMINATION EDUCATION DEPARTMENT GOVERNMENT DETAILS PASSED COMPLETED KARNATAKA UNIVERSITY SECOND COURSE".split())
+STOP_WORDS = frozenset(["MONTH", "YEAR", "NAME", "CANDIDATE", "CANDIDATES", "REGISTER", "MOTHER", "FATHER", "MOTHERS", "FATHERS", "HUSBAND", "CERTIFICATE", "EXAMINATION", "EDUCATION", "DEPARTMENT", "GOVERNMENT", "DETAILS", "PASSED", "COMPLETED", "KARNATAKA", "UNIVERSITY", "SECOND", "COURSE"])
 STOP_PHRASES = ("THIS IS TO", "FOLLOWING DETAILS", "SECOND YEAR", "PRE-UNIVERSITY", "PRE UNIVERSITY", "SCHOOL EXAMINATION", "MARKS STATEMENT")
-ZONE_END = "ENGLISH HINDI KANNADA SANSKRIT URDU TAMIL TELUGU MATHEMATICS MATHS PHYSICS CHEMISTRY BIOLOGY COMPUTER HISTORY GEOGRAPHY ECONOMICS POLITICAL SOCIOLOGY ACCOUNTANCY BUSINESS ELECTRONICS".split()
+ZONE_END = ["ENGLISH", "HINDI", "KANNADA", "SANSKRIT", "URDU", "TAMIL", "TELUGU", "MATHEMATICS", "MATHS", "PHYSICS", "CHEMISTRY", "BIOLOGY", "COMPUTER", "HISTORY", "GEOGRAPHY", "ECONOMICS", "POLITICAL", "SOCIOLOGY", "ACCOUNTANCY", "BUSINESS", "ELECTRONICS"]
 _WHEN = re.compile(rf"(?:{'|'.join(MONTHS)})[A-Z]*\s?20\d{{2}}")
 
 

@@ -21,9 +21,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table in fewer pieces than there are tasks, dealt to all of them; a table in many pieces stays as it is."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as arrays of lines."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    return spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
 
 
 def classify_documents(spark, sf_dir):
@@ -79,9 +85,12 @@ def long_digit_ids(spark, sf_dir):
 
 
 def token_mode(spark, sf_dir):
-    """Each document's most frequent word, from the words in its row."""
-    words = _table(spark, sf_dir, "documents").select("doc_id", tx.mode_in(tx.all_found(F.col("text"), "[A-Za-z]+"), least=2).alias("mode"))
-    return words.where("mode is not null").select("doc_id", "mode.*")
+    """Each document's most frequent word, the first met among equals: words are counted before anything moves, then
+    one candidate a document and task does."""
+    words = spread(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(tx.all_found(F.col("text"), "[A-Za-z]+")).alias("pos", "word"))
+    counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    best = counted.where("n >= 2").groupBy("doc_id").agg(F.min(F.struct((-F.col("n")).alias("low"), "first", "word")).alias("best"))
+    return best.select("doc_id", "best.word", (-F.col("best.low")).alias("n"))
 
 
 def repeated_lines(spark, sf_dir):
