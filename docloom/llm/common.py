@@ -91,10 +91,15 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+#: Written intermediates that are still there.
+_WRITTEN: set[str] = set()
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and read it again; with the path, for drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -102,9 +107,15 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
 def drop(spark: SparkSession, *paths: str) -> None:
     """Delete written intermediates and let Spark clear the shuffle files nobody refers to any more."""
     for path in paths:
+        _WRITTEN.discard(path)
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
     gc.collect()
     spark.range(1).collect()  # the listener bus holds the last query's plan until another has ended
     time.sleep(1.1)  # Py4J tells the JVM once a second what Python has let go
     spark._jvm.System.gc()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all written intermediates of this driver, once the results that read them have been saved."""
+    drop(spark, *list(_WRITTEN))

@@ -6,7 +6,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from docloom.llm import language, pages, pieces, repeats, vectors
+from docloom.llm import common, language, pages, pieces, repeats, vectors
 
 
 def test_texts_of_one_hash_keep_apart(spark):
@@ -99,3 +99,13 @@ def test_pages_of_other_seeds():
             n, exact, lost = n + 1, exact + (got == want), lost + (want != "" and got == "")
     print(exact, lost, n)
     assert lost <= 1 and exact >= 0.8 * n
+
+
+def test_intermediates_can_be_released(spark):
+    import os
+
+    df, path = common.written(spark.range(10))
+    folder = path.removeprefix("file:")
+    assert df.count() == 10 and os.path.isdir(folder)
+    common.release(spark)
+    assert not os.path.isdir(folder) and not common._WRITTEN
