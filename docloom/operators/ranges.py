@@ -44,6 +44,18 @@ def numbered(rows: DataFrame, order: list, name: str = "place", parts: int | Non
     return ranged.withColumn(name, place.cast("long")).drop("part", "seq")
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list, name: str = "rank", parts: int | None = None) -> DataFrame:
+    """``rows`` with their rank, from 1, within equal ``keys`` (nulls are equal) by ``order``; rows equal in it are ranked in any order.
+    A key may hold all rows: a part hands on how many rows of a key it has."""
+    ranged = in_ranges(rows, [*keys, *order], parts)
+    spans = ranged.groupBy(*keys, "part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    renamed, same = on_keys([*keys, "part"], "__of_")
+    inner = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("seq"))
+    out = ranged.withColumn("__inner", inner).join(spans.withColumn("__before", before).select(*renamed, "__before"), same)
+    return out.withColumn(name, F.col("__before") + F.col("__inner")).select(*rows.columns, name)
+
+
 def micros(time: Column, kind: str) -> Column:
     """A time column as microseconds, times without a zone as they stand; numbers pass through."""
     if kind == "timestamp_ntz":

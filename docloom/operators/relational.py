@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import on_keys, ranked
 from .sheets import CORE
 
 
@@ -14,6 +15,30 @@ def ordered_intersection(a: DataFrame, b: DataFrame, keys: list[str], value: str
     return numbered(a).join(numbered(b).select(*keys, value, "nth"), [*keys, value, "nth"], "left_semi").drop("nth")
 
 
+def ordered_difference(a: DataFrame, b: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
+    """Rows of a without one row of b of the same value for each, the first ones of a going; nulls are values. A value may have
+    any number of rows."""
+    renamed, same = on_keys([*keys, value], "__b_")
+    gone = b.groupBy(*keys, value).agg(F.count("*").alias("__n")).select(*renamed, "__n")
+    placed = ranked(a, [*keys, value], order, "__nth").join(gone, same, "left")
+    return placed.where(F.col("__nth") > F.coalesce("__n", F.lit(0))).select(*a.columns)
+
+
+def zip_by_rank(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of a with ``other``, a struct of the row of b that has the same rank by ``order`` within equal ``keys``, null where b has
+    fewer. A key may hold all rows."""
+    renamed, same = on_keys([*keys, "__rank"], "__b_")
+    other = ranked(b, keys, order, "__rank").withColumn("other", F.struct(*b.columns)).select(*renamed, "other")
+    return ranked(a, keys, order, "__rank").join(other, same, "left").select(*a.columns, "other")
+
+
+def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, the first by ``order``, of equals by all columns: one candidate a key and task is what moves."""
+    rest = [c for c in rows.columns if c not in (*keys, *order)]
+    first = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("first"))
+    return first.select(*[F.col(c) if c in keys else F.col(f"first.{c}").alias(c) for c in rows.columns])
+
+
 def core_key(name: Column) -> Column:
     """The longest core subject in a name, else the name in capitals."""
     up = F.upper(name)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import close_match, fuzzy_join, merging, nearest, ranges, runs, selection
+from .operators import close_match, fuzzy_join, merging, nearest, ranges, relational, runs, selection, sheets
+from .operators.lines import group_lines
 from .operators.sheets import CORE
 from .plans.stages import shared_folder
 from .sources import uploads
@@ -133,7 +135,51 @@ def page_uploads(spark, sf_dir):
     return back.select(F.regexp_extract("name", "([0-9]+)[.]html", 1).cast("long").alias("page_id"), "mime", "length", F.sha2("content", 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (fuzzy_words, fuzzy_append, nearest_clicks, nearest_clicks_of_all, event_sessions, event_bursts, longest_shared_runs, closest_words, line_medians, merged_turns, cached_requests, page_uploads)}
+def order_lines(spark, sf_dir):
+    """Items of an order as tokens on a page, by quantity downwards and by discount from the left, put into lines by their gaps."""
+    items = _table(spark, sf_dir, "lineitem")
+    x, y = F.round(F.col("l_discount") * 1000), F.col("l_quantity") * 4
+    tokens = items.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey")).alias("pos"), F.concat_ws("", F.lower("l_returnflag"), "l_linenumber").alias("text"), x.alias("x"), y.alias("y"), (x + 12).alias("x_end"), F.lit(1200).alias("height"), F.lit(200).alias("width"))
+    return group_lines(tokens).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
+
+
+def answered_turns(spark, sf_dir):
+    """The k-th turn of the user in a conversation with the k-th one of the assistant."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", "role")
+    users, others = (turns.where(F.col("role") == role).drop("role") for role in ("user", "assistant"))
+    return relational.zip_by_rank(users, others, ["conv_id"], ["turn"]).select("conv_id", "turn", F.col("other.turn").alias("answer"), F.length("text").cast("long").alias("n_asked"), F.length("other.text").cast("long").alias("n_answered"))
+
+
+def new_lines(spark, sf_dir):
+    """Lines of a document that the one of the next id doesn't have as often."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    after = lines.select((F.col("doc_id") - 1).alias("doc_id"), "line", "pos")
+    return relational.ordered_difference(lines, after, ["doc_id"], "line", ["pos"]).select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+
+
+def first_words(spark, sf_dir):
+    """Where each word of the documents occurs first."""
+    words = _words(_table(spark, sf_dir, "documents"), "doc_id")
+    return relational.first_rows(words, ["word"], ["doc_id", "pos"]).select("word", "doc_id", F.col("pos").cast("long").alias("pos"))
+
+
+#: Three numbers in a row of which the third is the sum of the others, as parts and total stand on a sheet.
+ADDS_UP = sheets.Pattern("one two total", ("one two total", lambda a, b, c: a + b == c > 0))
+
+
+def number_sums(spark, sf_dir):
+    """Numbers of up to three digits in a page of which two in a row add up to the next."""
+    def run(batches):
+        for batch in batches:
+            found = [(page, v["one"], v["two"], v["total"]) for page, numbers in zip(batch.column("page_id").to_pylist(), batch.column("numbers").to_pylist(), strict=True) for v in ADDS_UP.find(numbers)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*found, strict=True)) or [()] * 4], ["page_id", "one", "two", "total"])
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.transform(F.regexp_extract_all("html", F.lit("[0-9]+"), F.lit(0)), lambda n: F.when(F.length(n) <= 3, n.cast("long"))).alias("numbers"))
+    pages = pages.select("page_id", F.filter("numbers", lambda n: n.isNotNull()).alias("numbers"))
+    return pages.mapInArrow(run, "page_id long, one long, two long, total long").groupBy("page_id", "one", "two", "total").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (fuzzy_words, fuzzy_append, nearest_clicks, nearest_clicks_of_all, event_sessions, event_bursts, longest_shared_runs, closest_words, line_medians, merged_turns, cached_requests, page_uploads, order_lines, answered_turns, new_lines, first_words, number_sums)}
 
 _CORE = ", ".join(f"({k}, '{c}')" for k, c in enumerate(CORE))
 
@@ -238,4 +284,19 @@ h AS (SELECT user_id, r, count(*) FILTER (WHERE fresh AND place <= {CACHE_SIZE})
 SELECT e.user_id, ts, event_id, item, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN NOT hit THEN oldest END AS evicted, CAST(least({CACHE_SIZE}, coalesce(n, 0) + CASE WHEN coalesce(hit, false) THEN 0 ELSE 1 END) AS BIGINT) AS held FROM e LEFT JOIN h ON h.user_id = e.user_id AND h.r = e.r
 UNION ALL SELECT user_id, last_ts + INTERVAL {CACHE_DAYS} DAY, NULL, item, 'idle', item, NULL FROM k WHERE NOT fresh AND was AND place <= {CACHE_SIZE}""",
     "page_uploads": "SELECT page_id, 'text/html' AS mime, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS sha256 FROM pages WHERE html <> ''",
+    "order_lines": """WITH t AS (SELECT l_orderkey AS doc_id, l_linenumber * CAST(1000000000 AS BIGINT) + l_partkey AS pos, lower(l_returnflag) || CAST(l_linenumber AS VARCHAR) AS text, round(l_discount * 1000) AS x, l_quantity * 4 AS y FROM lineitem),
+a AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY doc_id ORDER BY y, pos) <= 12 THEN 0 ELSE 1 END AS n FROM t),
+b AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY y, pos ROWS UNBOUNDED PRECEDING) AS r FROM a),
+c AS (SELECT *, CASE WHEN lag(r) OVER w = r AND x - (lag(x) OVER w + 12) <= 50 THEN 0 ELSE 1 END AS m, row_number() OVER w AS nth FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY r, x, y, pos)),
+d AS (SELECT *, sum(m) OVER (PARTITION BY doc_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS k FROM c)
+SELECT doc_id, CAST(k AS BIGINT) AS line_no, upper(string_agg(text, ' ' ORDER BY nth)) AS line FROM d GROUP BY doc_id, k""",
+    "answered_turns": """WITH t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations)
+SELECT a.conv_id, a.turn, b.turn AS answer, CAST(length(a.text) AS BIGINT) AS n_asked, CAST(length(b.text) AS BIGINT) AS n_answered FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND a.k = b.k AND b.role = 'assistant' WHERE a.role = 'user'""",
+    "new_lines": """WITH l AS (SELECT doc_id, unnest(w) AS line, CAST(unnest(range(len(w))) AS BIGINT) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS nth FROM l), g AS (SELECT doc_id - 1 AS doc_id, line, count(*) AS n FROM l GROUP BY ALL)
+SELECT n.doc_id, n.pos, n.line FROM n LEFT JOIN g ON n.doc_id = g.doc_id AND n.line = g.line WHERE n.nth > coalesce(g.n, 0)""",
+    "first_words": f"""SELECT word, doc_id, CAST(pos AS BIGINT) AS pos FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY doc_id, pos) AS k FROM ({_words_sql("documents", "doc_id")})) WHERE k = 1""",
+    "number_sums": """WITH p AS (SELECT page_id, list_transform(list_filter(regexp_extract_all(html, '[0-9]+'), lambda x: length(x) <= 3), lambda x: CAST(x AS BIGINT)) AS v FROM pages),
+w AS (SELECT page_id, v[i] AS one, v[i + 1] AS two, v[i + 2] AS total FROM (SELECT page_id, v, unnest(range(1, len(v) - 1)) AS i FROM p))
+SELECT page_id, one, two, total, count(*) AS n FROM w WHERE one + two = total AND total > 0 GROUP BY ALL""",
 }

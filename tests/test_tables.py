@@ -375,3 +375,39 @@ def test_no_sink_writes_an_identifier(spark, tmp_path):
     assert any(json.loads(x) for t in texts for x in t.splitlines())
     letters = lambda t: re.sub("[^0-9A-Za-z]", "", t)
     assert not [s for s in secret for t in texts if letters(s) in letters(t)]
+
+
+def test_ranks_differences_and_zips(spark):
+    from docloom.operators import relational
+
+    r = random.Random(2)
+    a = [(r.choice([1, 1, 1, None]), r.choice(["x", "y", None]), i) for i in range(300)]
+    b = [(r.choice([1, 1, 1, None]), r.choice(["x", "y", None]), i) for i in range(120)]
+    x, y = (spark.createDataFrame(rows, "k int, v string, i int") for rows in (a, b))
+    seen, want = {}, []
+    for row in a:
+        seen[row[0]] = seen.get(row[0], 0) + 1
+        want.append((*row, seen[row[0]]))
+    assert ordered(ranges.ranked(x, ["k"], ["i"], parts=5).collect()) == ordered(want)
+    left, rest = {}, []
+    for k, v, _ in b:
+        left[k, v] = left.get((k, v), 0) + 1
+    for k, v, i in a:
+        if left.get((k, v), 0):
+            left[k, v] -= 1
+        else:
+            rest.append((k, v, i))
+    assert ordered(relational.ordered_difference(x, y, ["k"], "v", ["i"]).collect()) == ordered(rest)
+    others = {k: [row for row in b if row[0] == k] for k in (1, None)}
+    zipped = [(*row, others[row[0]][n - 1] if n <= len(others[row[0]]) else None) for *row, n in want]
+    assert ordered((*z[:3], z.other and tuple(z.other)) for z in relational.zip_by_rank(x, y, ["k"], ["i"]).collect()) == ordered(zipped)
+    firsts = relational.first_rows(x, ["v"], ["i"])
+    assert firsts.columns == ["k", "v", "i"] and ordered(firsts.collect()) == ordered(next(row for row in a if row[1] == v) for v in ("x", "y", None))
+
+
+def test_patterns_find_every_place():
+    from docloom.operators.sheets import Pattern
+
+    sums = Pattern("a b both", ("a b both", lambda a, b, c: a + b == c), ("a", lambda a: a > 1))
+    assert [tuple(v.values()) for v in sums.find([1, 1, 2, 3, 5, 8, 0])] == [(2, 3, 5), (3, 5, 8)]
+    assert sums.read([2, None, 9]) == {"a": 2, "b": None, "both": 9} and sums.read([1, None, 9]) is None and list(sums.find([2, 3])) == []
