@@ -166,8 +166,11 @@ SAME = [(c, t, "user", f"turn {t}") for c in range(60) for t in range(12)]
 ODD = [(None, 0, "user", "lost"), (7, None, None, None), (7, None, "user", "a"), (7, 1, "user", "b"), (7, 1, "user", "a"), (7, 1, "user", "a"), (-3, 0, "u", "x"), (-5, 0, "u", "y"), (-5, 1, "u", "z"), (3, 0, "u", "y"), (2**62, 5, "u", "y")]
 
 
-@pytest.mark.parametrize("rows", [talk(60, 1), talk(80, 2, texts=1), talk(40, 3, low=-20), SAME, ODD, [(9, t, "user", "long") for t in range(300)] + SAME, [(9, 0, "user", "same")] * 50, [(None, 1, "a", "b")], []])
-@pytest.mark.parametrize("cell", [trie.CELL, 4])
+LONG = [(9, t, "user", "long") for t in range(300)] + SAME
+TALKS = [talk(60, 1), talk(80, 2, texts=1) + talk(40, 3, low=-20), ODD, LONG, [(9, 0, "user", "same")] * 50, [(None, 1, "a", "b")], []]
+
+
+@pytest.mark.parametrize(("rows", "cell"), [*((rows, 4) for rows in TALKS), (TALKS[1], trie.CELL), (LONG, trie.CELL)])
 def test_trie_equals_plain_prefixes(spark, rows, cell):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, depth int, seq int").repartition(3)
     got = trie.prefix_trie(df, cell=cell)
