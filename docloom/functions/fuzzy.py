@@ -25,7 +25,7 @@ def alike(a: str, b: str, least: float) -> bool:
     both = len(a) + len(b)
     if 2 * min(len(a), len(b)) < least * both - TINY:
         return False
-    if 2 * sum((Counter(a) & Counter(b)).values()) < least * both - TINY:
+    if 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) < least * both - TINY:
         return False
     return ratio_of(a, b) >= least
 

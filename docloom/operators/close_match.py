@@ -15,6 +15,7 @@ larger one is joined by the pairs of rare letters, both sides dealt by key.
 from __future__ import annotations
 
 from collections import defaultdict
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import pyarrow as pa
@@ -45,6 +46,7 @@ class Index:
         self.cutoff, self.places = cutoff, places
         self.by_letters: dict[str, list[str]] = defaultdict(list)
         self.by_pairs: dict[str, list[str]] = defaultdict(list)
+        self.bags = {e: frozenset(fz.letters(e)) for e in entries}
         lengths = {len(e) for e in entries}
         self.lengths = sorted(n for n in lengths if n <= SHORT)
         for e in sorted(set(entries)):
@@ -68,8 +70,13 @@ class Index:
     def closest(self, word: str) -> tuple[str, float] | None:
         if not word:
             return None
-        best = max(((fz.ratio_of(e, word), e) for e in self.candidates(word) if fz.alike(e, word, self.cutoff)), default=None)
-        return None if best is None else (best[1], best[0])
+        matcher = SequenceMatcher(None, "", word)  # which keeps what it knows of its second text
+        bag, best = frozenset(fz.letters(word)), (self.cutoff, "")
+        for entry in self.candidates(word):
+            if 2 * len(bag & self.bags[entry]) >= best[0] * (len(entry) + len(word)) - fz.TINY:
+                matcher.set_seq1(entry)
+                best = max(best, (matcher.ratio(), entry))
+        return (best[1], best[0]) if best[1] else None
 
 
 def _look_up(entries: list[str], cutoff: float, places: dict[str, int]):
