@@ -73,18 +73,18 @@ def stretches(raw: bytes, length: int = LENGTH, gram: int = GRAM):
 def _stretch_rows(length: int, gram: int):
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-            for d, x, text in zip(*(batch.column(c).to_pylist() for c in ("d", "x", "text")), strict=True):
+            cols: list[list] = [[] for _ in range(8)]
+            for d, x, y, text in zip(*(batch.column(c).to_pylist() for c in ("d", "x", "y", "text")), strict=True):
                 raw = text.encode()
                 if len(raw) < length:
                     continue
                 lo, hi, a, key = (v.tolist() for v in stretches(raw, length, gram))
                 view = memoryview(raw)
                 digest = xxhash.xxh3_128_digest
-                for c, v in zip(cols, ([d] * len(lo), [x] * len(lo), lo, hi, a, key, [digest(bytes((p - s).to_bytes(4, "little")) + bytes(view[s : t + length])) for s, t, p in zip(lo, hi, a, strict=True)]), strict=True):
+                for c, v in zip(cols, ([d] * len(lo), [x] * len(lo), [y] * len(lo), lo, hi, a, key, [digest(bytes((p - s).to_bytes(4, "little")) + bytes(view[s : t + length])) for s, t, p in zip(lo, hi, a, strict=True)]), strict=True):
                     c.extend(v)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["d", "x", "lo", "hi", "a", "key", "cls"])
+            kinds = (*[pa.int64()] * 7, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["d", "x", "y", "lo", "hi", "a", "key", "cls"])
 
     return run
 
@@ -330,17 +330,16 @@ def _removal(docs: DataFrame, columns: list[str], length: int, gram: int, group:
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     # Rows are known by their id, of any type, and 128 bits of their text; rows without an id don't meet those with one.
-    no_id = F.when(F.col("doc_id").isNull(), F.lit("-")).otherwise(F.lit("+"))
-    keys = {"d": F.xxhash64("doc_id"), "x": F.unhex(F.md5(F.concat(no_id, text)))}
+    keys = {"d": F.xxhash64("doc_id"), **{k: F.xxhash64(F.lit(k), F.col("doc_id").isNull(), text) for k in ("x", "y")}}
     own = F.struct(*[c for c in columns if c != "text"])
     plain = docs.select(own.alias("own"), *[c.alias(k) for k, c in keys.items()], text.alias("text"))
-    found, at_found = written(plain.where(F.octet_length("text") >= length).select("d", "x", "text").mapInArrow(_stretch_rows(length, gram), "d long, x binary, lo long, hi long, a long, key long, cls binary"))
+    found, at_found = written(plain.where(F.octet_length("text") >= length).select("d", "x", "y", "text").mapInArrow(_stretch_rows(length, gram), "d long, x long, y long, lo long, hi long, a long, key long, cls binary"))
 
     twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    classes = found.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("d", "x", "lo", "hi", "a")).alias("rep")).join(twice, "key")
-    reps = classes.select("rep.d", "rep.x", F.struct("rep.lo", "rep.hi", "rep.a", "cls", "n").alias("r")).groupBy("d", "x").agg(F.collect_list("r").alias("reps"))
-    sources = plain.where(F.octet_length("text") >= length).select("d", "x", "text")
-    strings, at_strings = written(sources.join(reps, ["d", "x"]).select("text", "reps").mapInArrow(_contexts(length), "s binary, first int, cls binary, n long"))
+    classes = found.groupBy("key", "cls").agg(F.count("*").alias("n"), F.min(F.struct("d", "x", "y", "lo", "hi", "a")).alias("rep")).join(twice, "key")
+    reps = classes.select("rep.d", "rep.x", "rep.y", F.struct("rep.lo", "rep.hi", "rep.a", "cls", "n").alias("r")).groupBy("d", "x", "y").agg(F.collect_list("r").alias("reps"))
+    sources = plain.where(F.octet_length("text") >= length).select("d", "x", "y", "text")
+    strings, at_strings = written(sources.join(reps, ["d", "x", "y"]).select("text", "reps").mapInArrow(_contexts(length), "s binary, first int, cls binary, n long"))
     drop(spark)
     size = strings.agg(F.coalesce(F.sum(F.octet_length("s")), F.lit(0)), F.count("*")).first()
 
@@ -356,11 +355,11 @@ def _removal(docs: DataFrame, columns: list[str], length: int, gram: int, group:
     open_ = marks.where("win is not null")
     shared = open_.groupBy("win").agg(F.count_distinct("cls").alias("n")).where("n > 1").select("win")
     settled = marks.where("win is null").select("cls", "o1", "o2").union(open_.join(shared, "win", "left_semi").select("cls", "o1", "o2"))
-    cuts = found.join(settled, "cls").groupBy("d", "x").agg(F.collect_set(F.shiftleft(F.col("lo") + F.col("o1"), 32).bitwiseOR(F.col("lo") + F.col("o2"))).alias("cuts"))
+    cuts = found.join(settled, "cls").groupBy("d", "x", "y").agg(F.collect_set(F.shiftleft(F.col("lo") + F.col("o1"), 32).bitwiseOR(F.col("lo") + F.col("o2"))).alias("cuts"))
     cuts, _ = written(cuts)  # the result reads it
     drop(spark, at_found, at_marks, at_settled)
     own_kind = plain.schema["own"].dataType.simpleString()
-    return plain.join(cuts, ["d", "x"], "left").select("own", "text", "cuts").mapInArrow(_removed(length), f"own {own_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    return plain.join(cuts, ["d", "x", "y"], "left").select("own", "text", "cuts").mapInArrow(_removed(length), f"own {own_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
