@@ -39,7 +39,7 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tune(spark)
+    tune(spark, 300)  # the words of a batch are held at once, beside the tables
     return language.identify(table(spark, sf_dir, "documents"))
 
 
