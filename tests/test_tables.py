@@ -7,7 +7,7 @@ import os
 import random
 import re
 import time
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from difflib import get_close_matches
 
 import pytest
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom import queries as q
 from docloom import tables
 from docloom.functions import fuzzy as fz
-from docloom.operators import close_match, fuzzy_join, merging, nearest, people, ranges, runs, selection
+from docloom.operators import close_match, fuzzy_join, merging, nearest, people, ranges, relational, runs, selection
 
 DATA = "/root/testdata/sf0.001"
 
@@ -408,6 +408,36 @@ def test_ranks_differences_and_zips(spark):
     assert firsts.columns == ["k", "v", "i"] and ordered(firsts.collect()) == ordered(next(row for row in a if row[1] == v) for v in ("x", "y", None))
 
 
+@pytest.mark.parametrize(("most", "few"), [(1 << 16, 1 << 16), (1 << 16, 0), (5, 1 << 16), (5, 0)])
+def test_a_difference_ranks_values_that_both_have(spark, most, few):
+    r = random.Random(4)
+    rows = lambda n, m: [(r.choice([1, 2, None]), r.choice(["hot", None, *map(str, range(m))]), i) for i in range(n)]
+    a, b = rows(400, 90), rows(200, 60)
+    x, y = spark.createDataFrame(a, "k int, v string, i int"), spark.createDataFrame(b, "k long, v string, i int")
+    left, want = Counter((k, v) for k, v, _ in b), []
+    for row in a:
+        if left[row[:2]]:
+            left[row[:2]] -= 1
+        else:
+            want.append(row)
+    assert ordered(relational.ordered_difference(x, y, ["k"], "v", ["i"], most, few).collect()) == ordered(want)
+    assert relational.ordered_difference(x.limit(0), y, ["k"], "v", ["i"], most, few).count() == 0
+    assert relational.ordered_difference(x, y.limit(0), ["k"], "v", ["i"], most, few).count() == len(a)
+
+
+def test_a_difference_writes_no_copy_of_its_rows(spark):
+    from pathlib import Path
+
+    from docloom.plans.stages import checkpoint_dir
+
+    size = lambda: sum(f.stat().st_size for f in Path(checkpoint_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    text = F.concat_ws("", *[F.sha2(F.concat_ws("-", "i", F.lit(k)), 512) for k in range(8)])
+    a = spark.range(3000).select((F.col("id") % 30).alias("k"), F.col("id").alias("i")).withColumn("v", text)
+    before = size()
+    left = relational.ordered_difference(a, a.where("i % 10 = 0"), ["k"], "v", ["i"]).agg(F.count("*").alias("n"), F.sum(F.length("v")).alias("bytes")).first()
+    assert left.n == 2700 and size() - before < 0.2 * left.bytes
+
+
 def test_patterns_find_every_place():
     from docloom.operators.sheets import Pattern
 
