@@ -9,8 +9,10 @@ before it, so the work is dealt by ranges of (key, position), and parts settle w
   candidates behind the border are taken.
 * All parts run at once, first as if nothing were handed on. Parts to which something else is handed than they
   ran with run again, until none is left. The first part is right from the start, and a part is right once the
-  one before it is, so the result is that of one pass in order; as a rule few parts run twice, because a free
-  candidate between two asking rows keeps them apart.
+  one before it is, so the result is that of one pass in order.
+* How far a change goes depends on the rows: where about as many ask as there are candidates, over many times
+  `within`. So parts are as large as a task can hold (ROWS_A_PART), however many partitions a shuffle has, and where
+  changes go on, neighbouring parts run one after the other in a task, at most CHAIN of them, one held at a time.
 
 Within a part, free candidates are found by pointers that skip taken ones, so time grows with the rows.
 """
@@ -29,6 +31,8 @@ from .ranges import in_ranges, micros
 ROWS = "part int, what int, key string, at double, seq long"
 OWN, AHEAD, FREE, TAKEN = 0, 1, 2, 3  # what a row is to a part; own rows that ask are ASKS
 ASKS = 4
+ROWS_A_PART = 1 << 16
+CHAIN = 16
 
 
 class Free:
@@ -110,14 +114,20 @@ def serve(rows: list[tuple[int, str, float, int]], within: float) -> tuple[list[
     return pairs, sorted(handed, key=lambda r: r[3])
 
 
-def _server(within: float, hand_on: bool):
-    """Over rows sorted by part: what each part hands to the next one, or the pairs that it finds."""
+def _server(within: float, hand_on: bool, chain: int = 1, goes_on: frozenset[int] = frozenset()):
+    """Over rows sorted by part: what each part hands to the next one, or the pairs that it finds. Of ``chain`` parts that are
+    numbered together, each gets what the one before has just found."""
 
     def run(batches):
         part, rows = None, []
+        last, before = None, []
 
         def settle():
+            nonlocal last, before
+            if last is not None and last + 1 == part and part % chain and part in goes_on:
+                rows.extend(before)
             pairs, handed = serve(rows, within)
+            last, before = part, handed
             if hand_on:
                 made = [(part + 1, *h) for h in handed]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*made, strict=True)) or [()] * 5, (pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int64()), strict=True)], ["part", "what", "key", "at", "seq"])
@@ -137,6 +147,10 @@ def _server(within: float, hand_on: bool):
     return run
 
 
+def _chained(head: int, chain: int) -> range:
+    return range(head, (head // chain + 1) * chain)
+
+
 def nearest_free(asking: DataFrame, candidates: DataFrame, keys: list[str], at: str, tie: list[str], within: float, parts: int | None = None) -> DataFrame:
     """The rows of ``asking`` (all columns) with ``candidate``, a struct of the columns of ``candidates``, and ``distance``.
 
@@ -154,6 +168,7 @@ def nearest_free(asking: DataFrame, candidates: DataFrame, keys: list[str], at:
         usable = usable & c
     slim = lambda x, asks: x.where(usable).select(F.to_json(F.struct(*keys)).alias("key"), micros(F.col(at), kind).cast("double").alias("at"), *[F.col(c).alias(f"tie{k}") for k, c in enumerate(tie)], F.lit(asks).alias("asks"), F.struct(*x.columns).alias("row"))
     both = slim(asking, True).withColumn("given", F.lit(None).cast(slim(candidates, False).schema["row"].dataType)).unionByName(slim(candidates, False).withColumnRenamed("row", "given"), allowMissingColumns=True)
+    parts = parts or max(1, -(-both.count() // ROWS_A_PART))
     rows = in_ranges(both, ["key", "at", *[f"tie{k}" for k in range(len(tie))], "asks"], parts)
     borders = rows.groupBy("part").agg(F.min(F.struct("key", "at")).alias("first"), F.max(F.struct("key", "at")).alias("last")).orderBy("part").collect()  # a row a part
     index = {b.part: k for k, b in enumerate(borders)}  # parts without rows are passed over
@@ -170,25 +185,29 @@ def nearest_free(asking: DataFrame, candidates: DataFrame, keys: list[str], at:
         seen = own.unionByName(near.select("part", F.lit(AHEAD).alias("what"), "key", "at", "seq"))
     seen = checkpointed(seen)
 
-    def run(handed: DataFrame | None, only: list[int] | None, hand_on: bool) -> DataFrame:
-        todo = seen if only is None else seen.where(F.col("part").isin(only))
+    goes_on = frozenset(k + 1 for k, b in enumerate(borders[:-1]) if borders[k + 1].first.key == b.last.key)  # a part hands to the next only where the key goes on
+
+    def run(handed: DataFrame | None, heads: list[int] | None, chain: int = 1) -> DataFrame:
+        """Pairs of all parts, or what is handed on by the parts from each of ``heads`` to the end of its chain."""
+        todo = seen if heads is None else seen.where(F.col("part").isin([k for h in heads for k in _chained(h, chain)]))
         if handed is not None:
-            todo = todo.unionByName(handed if only is None else handed.where(F.col("part").isin(only)))
-        n = max(1, min(len(borders), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        return todo.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_server(reach, hand_on), ROWS if hand_on else "ask long, got long")
+            todo = todo.unionByName(handed if heads is None else handed.where(F.col("part").isin(heads)))
+        n = max(1, min(2 * len(borders if heads is None else heads), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        dealt = todo.repartition(n, F.floor(F.col("part") / chain)).sortWithinPartitions("part")
+        return dealt.mapInArrow(_server(reach, heads is not None, chain, goes_on), ROWS if heads is not None else "ask long, got long")
 
-    # A part hands to the next only where the key goes on.
-    goes_on = [k + 1 for k, b in enumerate(borders[:-1]) if borders[k + 1].first.key == b.last.key]
     digest = lambda x: {r.part: (r.n, r.h) for r in x.groupBy("part").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("what", "seq")).alias("h")).collect()}
-    handed, known, dirty = None, {}, [k - 1 for k in goes_on]
+    handed, known, dirty, chain, rounds = None, {}, [k - 1 for k in sorted(goes_on)], 1, 0
     while dirty:
-        new = run(handed, dirty, True).where(F.col("part").isin(goes_on))
-        given = [k + 1 for k in dirty if k + 1 in goes_on]
-        handed = checkpointed(new if handed is None else handed.where(~F.col("part").isin(given)).unionByName(new))
-        now = digest(handed)
-        dirty = [k for k in goes_on if now.get(k) != known.get(k) and k + 1 in goes_on]
-        known = now
-    pairs = run(handed, None, False)
+        heads = list({k // chain: k for k in reversed(dirty)}.values())  # the first of each chain
+        ran = {k for h in heads for k in _chained(h, chain)}
+        new = run(handed, heads, chain).where(F.col("part").isin([k + 1 for k in sorted(ran) if k + 1 in goes_on]))
+        handed = checkpointed(new if handed is None else handed.where(~F.col("part").isin([k + 1 for k in ran])).unionByName(new))
+        now, follow = digest(handed), ran.difference(heads)  # those had what is handed on now
+        dirty = [k for k in sorted(goes_on) if now.get(k) != known.get(k) and k + 1 in goes_on and k not in follow]
+        known, rounds = now, rounds + 1
+        chain = min(CHAIN, 2 * chain) if rounds > 1 else 1
+    pairs = run(handed, None)
 
     shape = rows.schema["given"].dataType.simpleString()
     candidate = F.col("given").cast(shape).alias("candidate")

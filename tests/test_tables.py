@@ -155,6 +155,39 @@ def test_nearest_free(spark, n, m, span, within, keys):
     assert {x.id: (x.candidate.id, x.distance) for x in got if x.candidate} == nearest_by_hand(asking, candidates, within)
 
 
+def test_a_change_that_goes_through_all_parts_takes_few_rounds(spark, monkeypatch):
+    """One asking row too many moves every later one on by a candidate."""
+    asking = [(0, -1, -1), *[(0, 10 * i, i) for i in range(640)]]
+    candidates = [(0, 10 * i + 4, 10_000 + i) for i in range(640)]
+    a, c = (spark.createDataFrame(x, "k int, at int, id int") for x in (asking, candidates))
+    rounds = []
+    monkeypatch.setattr(nearest, "checkpointed", lambda x, f=nearest.checkpointed: (rounds.append(x), f(x))[1])
+    got = nearest.nearest_free(a, c, ["k"], "at", ["id"], 100, parts=32).collect()
+    assert {x.id: (x.candidate.id, x.distance) for x in got if x.candidate} == nearest_by_hand(asking, candidates, 100)
+    assert len(rounds) <= 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nearest_in_chains(spark, monkeypatch, seed):
+    r = random.Random(seed)
+    monkeypatch.setattr(nearest, "CHAIN", 4)
+    asking = [(0 if r.random() < 0.8 else 1, r.randrange(1500), i) for i in range(500)]
+    candidates = [(0 if r.random() < 0.8 else 1, r.randrange(1500), 10_000 + i) for i in range(490)]
+    a, c = (spark.createDataFrame(x, "k int, at int, id int") for x in (asking, candidates))
+    got = nearest.nearest_free(a, c, ["k"], "at", ["id"], 30, parts=40).collect()
+    assert {x.id: (x.candidate.id, x.distance) for x in got if x.candidate} == nearest_by_hand(asking, candidates, 30)
+
+
+def test_parts_follow_the_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(nearest, "in_ranges", lambda rows, order, parts=None, f=nearest.in_ranges: (seen.append(parts), f(rows, order, parts))[1])
+    a = spark.range(50).select(F.lit(0).alias("k"), F.col("id").alias("at"), "id")
+    nearest.nearest_free(a, a, ["k"], "at", ["id"], 3)
+    monkeypatch.setattr(nearest, "ROWS_A_PART", 10)
+    nearest.nearest_free(a, a, ["k"], "at", ["id"], 3)
+    assert seen == [1, 10]
+
+
 def test_a_part_hands_on_what_crosses_its_border():
     rows = [(nearest.OWN, "k", 1.0, 1), (nearest.OWN, "k", 8.0, 2), (nearest.ASKS, "k", 9.0, 3), (nearest.AHEAD, "k", 9.5, 4), (nearest.AHEAD, "k", 30.0, 5)]
     assert nearest.serve(rows, 5) == ([(3, 4)], [(nearest.FREE, "k", 8.0, 2), (nearest.TAKEN, "k", 9.5, 4)])
