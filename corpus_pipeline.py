@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document, with the four best segmentations."""
-    tune(spark)
+    tune(spark, 500)  # all arrays of a batch are held at once, beside the vocabulary
     return pieces.encode(docs)
 
 

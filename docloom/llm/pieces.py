@@ -24,8 +24,8 @@ import math
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ KEPT_WORDS = 200_000  # words and letters of words whose paths a worker keeps; b
 KEPT_LETTERS = 4_000_000
 LONG_WORD = 64  # longer words are cut where no piece reaches across
 ALPHABET = 0x250  # Latin scripts
+BLOCK = 1 << 16  # ids that are decoded at once
 
 
 @dataclass
@@ -210,7 +211,8 @@ class Decoder:
         """The texts of the runs of ids between the offsets."""
         none = len(self.size) - 1
         ids = np.where((ids >= 0) & (ids < none), ids, none)
-        raw = _gather(self.flat, self.start[ids], self.size[ids]).tobytes()
+        blocks = (ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK))  # places are eight times as large as what lies there
+        raw = b"".join(_gather(self.flat, self.start[some], self.size[some]).tobytes() for some in blocks)
         ends = np.concatenate([[0], np.cumsum(self.size[ids])])[offsets].tolist()
         parts = (raw[a:b] for a, b in zip(ends, ends[1:], strict=False))
         return [(x[1:] if self.prefix and x[:1] == b" " else x).decode("utf-8", "replace") for x in parts]
@@ -233,12 +235,15 @@ class Forward:
         for p in sorted(v.starts, key=len):
             if p[:-1] in states and p[-1] in fits:
                 states[p] = len(states) + 1
-        self.step = np.zeros((len(states) + 1, len(letters) + 1), np.int32)  # 0 is where no piece goes on
+        inner = {states[p[:-1]] for p in states if p}
+        self.row = np.zeros(len(states) + 1, np.min_scalar_type(len(inner)))
+        self.row[sorted(inner)] = np.arange(1, len(inner) + 1)
+        self.step = np.zeros((len(inner) + 1, len(letters) + 1), np.min_scalar_type(len(states)))  # a row for each state that goes on; 0 is where no piece does
         self.piece = np.full(len(states) + 1, -1, np.int32)
         self.score = np.full(len(states) + 1, -np.inf)
         for p, k in states.items():
             if p:
-                self.step[states[p[:-1]], self.column[ord(p[-1])]] = k
+                self.step[self.row[states[p[:-1]]], self.column[ord(p[-1])]] = k
                 if hit := v.starts[p]:
                     self.piece[k], self.score[k] = hit[0], hit[1]
 
@@ -271,7 +276,7 @@ class Forward:
         for i in range(size):
             state = np.ones(n, np.int32)
             for j in range(i + 1, size + 1):
-                state = self.step[state, columns[j - 1]]
+                state = self.step[self.row[state], columns[j - 1]]
                 if not state.any():
                     break
                 score = self.score[state]
@@ -309,12 +314,19 @@ class Encoder:
         self.score, self.loss, self.size, self.flat = array("d"), array("d"), array("q"), array("i")
         self.letters = 0
 
+    def _numbered(self, words: list[str]) -> Iterator[int]:
+        """The numbers of words; new ones get the next."""
+        for w in words:
+            if w not in self.at:
+                self.at[w] = len(self.names)
+                self.names.append(w)
+        return map(self.at.__getitem__, words)
+
     def _learn(self, words: list[str]) -> None:
         order, score, loss, size, ids = self.forward(words)
-        first = len(self.names)
-        self.names += [words[k] for k in order.tolist()]
-        self.at.update(zip(self.names[first:], range(first, len(self.names)), strict=True))
-        for mine, new, kind in ((self.score, score, np.float64), (self.loss, loss, np.float64), (self.size, size, np.int64), (self.flat, ids, np.int32)):
+        turn = np.argsort(order)
+        ids = _gather(ids, (np.cumsum(size) - size)[turn], size[turn])
+        for mine, new, kind in ((self.score, score[turn], np.float64), (self.loss, loss[turn], np.float64), (self.size, size[turn], np.int64), (self.flat, ids, np.int32)):
             mine.frombytes(np.ascontiguousarray(new, kind).tobytes())
         self.letters += sum(map(len, words))
 
@@ -359,21 +371,21 @@ class Encoder:
         """Ids of the best paths of all texts, where each text begins in them, and the N best (score, ids) of each."""
         if len(self.at) > KEPT_WORDS or self.letters > KEPT_LETTERS:
             self._clear()
-        by_text = [self.words(t) for t in texts]
-        flat_words = list(chain.from_iterable(by_text))
-        new = dict.fromkeys(w for w in flat_words if w not in self.at)
-        if new:
-            self._learn(list(new))
-        word = np.fromiter(map(self.at.__getitem__, flat_words), np.int64, len(flat_words))
+        numbers, bounds = array("q"), [0]
+        for t in texts:  # the strings of one text at a time
+            numbers.extend(self._numbered(self.words(t)))
+            bounds.append(len(numbers))
+        if new := self.names[len(self.score) :]:
+            self._learn(new)
+        word = np.array(numbers, np.int64)
         score, loss, size = np.array(self.score), np.array(self.loss), np.array(self.size)
         start = np.cumsum(size) - size
         count = size[word]
         ids = _gather(np.array(self.flat, np.int32), start[word], count)
         ends = np.concatenate([[0], np.cumsum(count)])
-        bounds = np.cumsum([0, *map(len, by_text)])
         offsets = ends[bounds]
         best = []
-        for a, b in zip(bounds.tolist(), bounds.tolist()[1:], strict=False):
+        for a, b in zip(bounds, bounds[1:], strict=False):
             total = float(score[word[a:b]].sum())
             mine = []
             for lost, choice in self.choices(word[a:b], loss[word[a:b]], ids, ends[a : b + 1]):
