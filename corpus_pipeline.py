@@ -25,9 +25,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the strings of 400 bytes and more that occur elsewhere; none goes."""
+    """Every document without the strings of 400 bytes and more that occur elsewhere, and without the passages of
+    more than 50 words that another document has too; none goes."""
     tune(spark)
-    return repeats.without_repeats(docs)
+    return repeats.without_repeats(docs, words=51)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
